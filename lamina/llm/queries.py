@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, packing, quality_rules, sharding, simhash, sstable, tokens, toxicity, warc
+from lamina.llm import decontaminate, langid, licenses, packing, quality_rules, sharding, simhash, sstable, tokens, toxicity, warc
 from lamina.llm.common import held_out, prepare, table
 
 
@@ -22,6 +22,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "toxicity.score", "toxicity.predicted")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", F.round("best_dice", 9).alias("best_dice"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -40,6 +45,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(warc.decide(table(spark, sf_dir, "pages")))).drop("path", "frame")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = langid.identify(docs, langid.fit(docs))
+    return named.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -57,16 +68,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: ASCII white space and A-Z, as DuckDB's patterns write them.
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
-_ITEM_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')"
+_ITEM_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+
+def _template_rows() -> str:
+    return ", ".join(f"('{lic}', {n}, {len(g)}, '{x}')" for lic, n, g in licenses.template_bigrams() for x in g)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_licenses": rf"""
+            WITH t(license, template, b, gram) AS (VALUES {_template_rows()}),
+            d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+            u AS (SELECT r, row_number() OVER () AS u, unit FROM (SELECT r, unnest(list_distinct([text] || regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n') || string_split(text, chr(10)))) AS unit FROM d)),
+            w AS (SELECT r, u, list_filter(string_split(lower(regexp_replace(unit, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM u),
+            g AS (SELECT DISTINCT r, u, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, u, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w)),
+            a AS (SELECT u, count(*) AS a FROM g GROUP BY u),
+            o AS (SELECT r, u, license, template, b, count(*) AS n FROM g JOIN t USING (gram) GROUP BY ALL),
+            m AS (SELECT r, license, max(2 * n / (a + b)) AS dice FROM o JOIN a USING (u) WHERE 2 * n / (a + b) >= 0.8 GROUP BY r, license),
+            k AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice FROM m GROUP BY r)
+            SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 9) AS best_dice FROM d LEFT JOIN k USING (r)""",
         "op10_quality_rules": rf"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
-                              list_filter(string_split(coalesce(text, ''), chr(10)), s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+                              list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM documents),
             n AS (SELECT *, row_number() OVER () AS r, len(w) AS n_words FROM d),
             g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, n_words - 2)) AS i FROM n)),
             t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
@@ -74,7 +100,7 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT doc_id, n_words::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
                          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
                          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-                         len(list_filter(w, x -> lower(x) IN ({_STOPS}))) AS n_stop,
+                         len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop,
                          length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters
                   FROM n LEFT JOIN c USING (r)),
             b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
