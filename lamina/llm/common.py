@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,3 +83,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is faster and the same where all characters are single bytes."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a name for ``value``.
+
+    Catalyst copies an expression into every place that uses its alias, even into lambdas, where it
+    would be made anew for each element. A lambda's variable is made once.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def with_struct(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` plus the column ``name``, which later filters and projections don't copy: a generator makes it."""
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))

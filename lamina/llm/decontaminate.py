@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ascii_lower, materialize
+from lamina.llm.common import ascii_lower, let, materialize, with_struct
 
 WINDOW = 13
 #: Characters between words, once A-Z are lower case.
@@ -103,34 +103,41 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
         return F.flatten(F.transform(c["at"], windows))
 
-    judged = keyed.join(candidates, "_key", "left").withColumn("_w", words_of(F.col(text_col)))
-    judged = judged.withColumn(
-        "_s",
-        F.when(F.col("candidates").isNull(), F.array().cast("array<struct<item:string,first:int,words:int,ids:array<string>>>")).otherwise(
-            F.flatten(F.transform("candidates", lambda c: verify(F.col("_w"), c)))
-        ),
-    )
-    covered = F.aggregate(
-        F.sort_array(F.transform("_s", lambda s: F.struct(s["first"].alias("a"), (s["first"] + s["words"]).alias("b")))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda t, s: F.struct((t["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], t["end"]))).cast("long").alias("n"), F.greatest(t["end"], s["b"]).alias("end")),
-        lambda t: t["n"],
-    )
-    judged = judged.withColumn("_n", F.size("_w").cast("long")).withColumn("_hit", covered).withColumn(
-        "_ids", F.array_sort(F.array_distinct(F.flatten(F.transform("_s", lambda s: s["ids"]))))
-    )
-    out = judged.withColumn(
+    def hits(s: Column) -> Column:
+        """Words of a text inside at least one of the spans."""
+        return F.aggregate(
+            F.sort_array(F.transform(s, lambda x: F.struct(x["first"].alias("a"), (x["first"] + x["words"]).alias("b")))),
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+            lambda t, x: F.struct((t["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], t["end"]))).cast("long").alias("n"), F.greatest(t["end"], x["b"]).alias("end")),
+            lambda t: t["n"],
+        )
+
+    def verdict(n: Column, s: Column) -> Column:
+        return let(
+            hits(s),
+            lambda hit: let(
+                F.array_sort(F.array_distinct(F.flatten(F.transform(s, lambda x: x["ids"])))),
+                lambda ids: F.struct(
+                    n.alias("n_words"), hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
+                    F.transform(s, lambda x: F.struct(x["item"].alias("item"), x["first"].alias("first"), x["words"].alias("words"))).alias("spans"),
+                    ((hit > 0) & (20 * hit >= n)).alias("contaminated"),
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<item:string,first:int,words:int,ids:array<string>>>")
+    judged = with_struct(
+        keyed.join(candidates, "_key", "left"),
         "overlap",
-        F.struct(
-            F.col("_n").alias("n_words"),
-            F.col("_hit").alias("n_hit"),
-            F.size("_ids").cast("long").alias("n_items"),
-            F.col("_ids").alias("item_ids"),
-            F.transform("_s", lambda s: F.struct(s["item"].alias("item"), s["first"].alias("first"), s["words"].alias("words"))).alias("spans"),
-            ((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("_n"))).alias("contaminated"),
+        let(
+            words_of(F.col(text_col)),
+            lambda w: let(
+                F.coalesce(F.flatten(F.transform("candidates", lambda c: verify(w, c))), none),
+                lambda s: verdict(F.size(w).cast("long"), s),
+            ),
         ),
     )
-    return out.select(*[c for c in docs.columns if c != "overlap"], "overlap")
+    return judged.select(*[c for c in docs.columns if c != "overlap"], "overlap")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import let
+
 THRESHOLD = 0.8
 SEPARATOR = "[^A-Za-z0-9]+"
 
@@ -67,9 +69,13 @@ def words_of(text: Column) -> Column:
 
 def bigrams_of(words: Column) -> Column:
     """Distinct bigrams of a word array; none for fewer than two words."""
-    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))))
-    )
+
+    def pairs(w: Column) -> Column:
+        return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+        )
+
+    return let(words, pairs)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -86,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     units = rows.select("key", F.explode(F.array_distinct(F.flatten(F.array(F.array("text"), F.split("text", r"\n[\x20\x09-\x0D]*\n"), F.split("text", "\n"))))).alias("unit"))
     # The whole text always holds what its lines hold, so the guard runs on units, before bigrams are made.
     units = units.select("key", F.xxhash64("unit").alias("u"), words_of(F.col("unit")).alias("w")).filter(F.arrays_overlap("w", guards))
-    grams = units.select("key", "u", bigrams_of(F.col("w")).alias("g")).withColumn("a", F.size("g"))
+    grams = units.select("key", "u", F.explode(F.array(bigrams_of(F.col("w")))).alias("g")).withColumn("a", F.size("g"))
     listed = spark.createDataFrame([(lic, n, len(g), x) for lic, n, g in templates for x in g], "license string, template int, b int, gram string")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = sorted({len(g) for _, _, g in templates})

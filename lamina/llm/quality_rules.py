@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import let, with_struct
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "the of and to in a is that for on with as by it be at from are this was or an not have but they you all were their which will one there when who "
@@ -87,33 +89,40 @@ def words_covered(starts: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
-    """``docs`` with one struct column ``_m`` of counts and ratios."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measures(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> Column:
+    """Struct of counts of a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
     stops = sorted(set(stop_words))
-    # Each step names a value that the next uses more than once, so that Catalyst keeps it in a projection of its own.
-    out = docs.withColumn("_w", words_of(F.col(text_col))).withColumn("_l", F.filter(F.split(text, "\n"), lambda s: F.regexp_like(s, F.lit(r"[^\x20\x09-\x0D]"))))
-    out = out.withColumn("_p", trigrams(F.col("_w")))
-    out = out.withColumn("_h", F.transform("_p", lambda p: p["h"]))
-    n_words, n_lines = F.size("_w").cast("long"), F.size("_l").cast("long")
-    counts = F.struct(
-        n_words.alias("n_words"),
-        kept_characters(text, WORD_SEPARATOR).alias("word_chars"),
-        kept_characters(text, r"[^#*$%&|<>]+").alias("n_symbols"),
-        n_lines.alias("n_lines"),
-        (n_lines - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        words_covered(repeated_at(F.col("_p"), F.col("_h"))).alias("n_repeat_words"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(*stops))).cast("long").alias("n_stop_words"),
-        kept_characters(text, r"\P{Lu}+").alias("n_upper"),
-        kept_characters(text, r"\P{L}+").alias("n_letters"),
+    lines = F.filter(F.split(text, "\n"), lambda s: F.regexp_like(s, F.lit(r"[^\x20\x09-\x0D]")))
+
+    def counts(w: Column, n_repeat_words: Column) -> Column:
+        return let(
+            lines,
+            lambda line: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                kept_characters(text, WORD_SEPARATOR).alias("word_chars"),
+                kept_characters(text, r"[^#*$%&|<>]+").alias("n_symbols"),
+                F.size(line).cast("long").alias("n_lines"),
+                (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
+                n_repeat_words.alias("n_repeat_words"),
+                F.size(F.filter(w, lambda x: F.lower(x).isin(*stops))).cast("long").alias("n_stop_words"),
+                kept_characters(text, r"\P{Lu}+").alias("n_upper"),
+                kept_characters(text, r"\P{L}+").alias("n_letters"),
+            ),
+        )
+
+    return let(
+        words_of(text),
+        lambda w: let(trigrams(w), lambda pairs: let(F.transform(pairs, lambda p: p["h"]), lambda hashes: counts(w, words_covered(repeated_at(pairs, hashes))))),
     )
-    return out.withColumn("_m", counts).drop("_w", "_l", "_p", "_h")
 
 
 def ratio(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(f"_m.{part}"), F.col(f"_m.{whole}")), F.lit(0.0))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper", "n_letters")
+
 #: What a rule may name.
 MEASURES = {
     "n_words": lambda: F.col("_m.n_words"),
@@ -144,10 +153,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     Null and empty texts have no words and are rejected as too short; repeated rows and ties get
     equal verdicts; further columns pass through, but one named ``quality`` is replaced.
     """
-    m = measures(docs, text_col)
-    m = m.withColumn("_v", violations(rules))
+    m = with_struct(docs.drop("quality"), "_m", measures(F.col(text_col)))
     base = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    return m.withColumn(
-        "quality",
-        F.struct("_m.*", F.col("_v").alias("violations"), base.alias("base_failed"), (~base & (F.size("_v") == 0)).alias("kept")),
-    ).drop("_m", "_v")
+    verdict = let(violations(rules), lambda v: F.struct(*[F.col(f"_m.{n}").alias(n) for n in COUNTS], v.alias("violations"), base.alias("base_failed"), (~base & (F.size(v) == 0)).alias("kept")))
+    return m.withColumn("quality", verdict).drop("_m")
