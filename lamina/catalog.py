@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from lamina.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "sequence_split"
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("state_queries",)
+
+for _m in MODULES:
+    import_module(f"lamina.plans.{_m}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
