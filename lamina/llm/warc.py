@@ -37,17 +37,18 @@ DATE = "1970-01-01T00:00:00Z"
 
 def record_bytes(row: dict) -> bytes:
     """One WARC/1.1 record. Revisits carry the digest and size of the full payload but no block."""
-    block = row["payload"] if row["record_type"] == "response" else b""
+    revisit = row["revisit"]
+    block = b"" if revisit else row["payload"]
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{row['record_id']}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{row['record_id']}>", f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}", "Content-Type: text/html; charset=utf-8",
     ]
     if row["page_id"] is not None:
         head.append(f"X-Page-ID: {row['page_id']}")
     if row["url"] is not None:
         head.append("WARC-Target-URI: " + row["url"].replace("\r", "%0D").replace("\n", "%0A"))
-    if row["record_type"] == "revisit":
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
+    if revisit:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{row['first_key']}>"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -132,35 +133,29 @@ class Bundle:
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_id, record_type, refers_to), one row per page.
+    """(page_id, url, payload, payload_bytes, payload_digest, first_id, first_key, key, equals), one row per page.
 
-    Null payloads are empty. A page without an id is stored whole and nothing refers to it. Of rows
-    with one id and one payload, the first by url is the response and the others revisit it; their
-    record ids get a running number. Without a url column, urls are null; other columns are ignored.
+    Of the rows with one digest, the least (id, url) is the response; ``first_key`` names its record and
+    ``equals`` says how many rows are that very row (id, url and payload), of which ``write`` takes one.
+    Null payloads are empty. A page without an id is stored whole and nothing refers to it. Without a
+    url column, urls are null; other columns are ignored; an empty table gives no rows.
     """
     url = F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.length("payload").cast("bigint")).withColumn("payload_digest", F.sha2("payload", 256))
-    # Where copies exist, only their digests and ids are shuffled to find the first.
-    first = (
-        rows.filter((F.col("payload_bytes") >= DEDUP_BYTES) & F.col("page_id").isNotNull())
-        .groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-        .filter("copies > 1").drop("copies")
-    )
-    again = pages.groupBy(F.col(id_col).cast("bigint").alias("page_id")).agg(F.count("*").alias("n")).filter("n > 1 or page_id is null").select("page_id", F.lit(True).alias("again"))
-    joined = rows.join(first, "payload_digest", "left").join(again, rows.page_id.eqNullSafe(again.page_id), "left").drop(again.page_id)
-    # Only ids that occur twice need a number; the window runs over these alone.
-    w = Window.partitionBy("page_id", "payload_digest", "_r").orderBy("url", "payload_digest")
-    once = joined.filter("again is null").withColumn("k", F.lit(1))
-    twice = joined.filter("again is not null").withColumn("_r", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "payload_digest"), F.lit(997)))).withColumn("k", F.row_number().over(w)).drop("_r")
-    rows = once.unionByName(twice)
-    revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("first_id")) | (F.col("k") > 1))
-    return rows.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.concat(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.sha2(F.concat_ws("|", "url", "payload_digest"), 256))), F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k"), F.lit("-"), F.col("payload_digest"))).otherwise(F.lit(""))).alias("record_id"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+    rows = rows.withColumns(
+        {
+            "payload_bytes": F.length("payload").cast("bigint"),
+            "payload_digest": F.sha2("payload", 256),
+            "url_hash": F.xxhash64("url"),
+        }
     )
+    # Only digests and ids are shuffled to find the first; payloads are shuffled once, to meet it.
+    counted = rows.filter((F.col("payload_bytes") >= DEDUP_BYTES) & F.col("page_id").isNotNull()).groupBy("payload_digest", "page_id", "url_hash").agg(F.count("*").alias("n"))
+    first = counted.groupBy("payload_digest").agg(F.min(F.struct("page_id", "url_hash", "n")).alias("f"), F.sum("n").alias("copies")).filter("copies > 1")
+    joined = rows.join(first.select("payload_digest", "f"), "payload_digest", "left")
+    name = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.substring("payload_digest", 1, 16), F.hex("url_hash"))
+    first_name = F.when(F.col("f").isNotNull() & F.col("page_id").isNotNull(), F.concat_ws(":", "f.page_id", F.substring("payload_digest", 1, 16), F.hex("f.url_hash")))
+    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", name.alias("key"), first_name.alias("first_key"), F.coalesce("f.n", F.lit(1)).alias("equals"))
 
 
 MANIFEST = "path string, records bigint, frames bigint, bytes bigint"
@@ -168,7 +163,10 @@ ROWS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type
 
 
 def write(decided: DataFrame) -> DataFrame:
-    """Write bundles, one or more for each partition; returns (path, records, frames, bytes)."""
+    """Write bundles, one or more for each partition; returns (path, records, frames, bytes).
+
+    Equal rows come from one join partition, where the first that is met is the response.
+    """
     spark = prepare(decided.sparkSession)
     folder = shared_dir(spark, "warc")
 
@@ -177,12 +175,19 @@ def write(decided: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, rows, k = TaskContext.get().partitionId(), (r for b in batches for r in b.to_pylist()), 0
-        row, made = next(rows, None), []
+        row, made, running = next(rows, None), [], 0
+        seen: set[str] = set()  # first records that occur as several equal rows
         while row is not None:
             path = f"{folder}/part-{part:05d}-{k:04d}.warc.zst"
             with files.publish(path) as out:
                 w = BundleWriter(out)
                 while row is not None and w.bytes < BUNDLE_BYTES:
+                    first, running = row["key"] == row["first_key"], running + 1
+                    if first and row["equals"] > 1:
+                        first = row["key"] not in seen
+                        seen.add(row["key"])
+                    row["revisit"] = row["first_key"] is not None and not first
+                    row["record_id"] = row["key"] if first else f"{row['key']}:{part}:{running}"
                     w.add(row["record_id"], record_bytes(row))
                     row = next(rows, None)
                 w.close()
@@ -212,7 +217,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         for head, block in parse_records(bundle.frame(i)):
                             kind = head["WARC-Type"]
                             seen = (len(block), hashlib.sha256(block).hexdigest()) if kind == "response" else (int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].partition(":")[2])
-                            to = int(head["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">")) if kind == "revisit" else None
+                            to = int(head["WARC-Refers-To"].split(":")[2]) if kind == "revisit" else None
                             out.append((int(x) if (x := head.get("X-Page-ID")) else None, *seen, kind, to, path, i))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
