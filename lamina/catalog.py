@@ -7,7 +7,7 @@ from importlib import import_module
 from lamina.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "sequence_split"
-MODULES = ("state_queries", "sequence_queries", "map_queries", "stack_queries")
+MODULES = ("state_queries", "sequence_queries", "map_queries", "stack_queries", "path_queries")
 
 for _m in MODULES:
     import_module(f"lamina.plans.{_m}")

@@ -175,3 +175,13 @@ def test_noise_ceiling_borrows_from_neighbours(spark):
     rows = [(0, float(i % 5), 0.1) for i in range(100)] + [(1, 3.0, 0.1)] * 10
     out = {r.bin: (r.ceiling, r.borrowed) for r in maps.noise_ceiling(spark.createDataFrame(rows, "bin int, v double, spread double"), "bin", "v", "spread").collect()}
     assert out[0][0] == pytest.approx(2 + 6 * 1.4826) and out[1] == (out[0][0], True)
+
+
+def test_manifest_file_and_functions(spark, tmp_path):
+    from lamina.sources import sinks
+
+    df = spark.createDataFrame([(2, 'b "x"', None), (1, "ä,é", True)], "k int, s string, b boolean")
+    sinks.write_manifest(df.repartition(3), f"file://{tmp_path}/m.csv", ["k"])
+    assert (tmp_path / "m.csv").read_bytes().decode("utf-8-sig").splitlines() == ['"k","s","b"', '"1","ä,é","true"', '"2","b ""x""",""']
+    sinks.register_functions(spark)
+    assert spark.sql("SELECT map_similarity(array(0D, 1D, 2D), array(0D, 1D, 2D)) AS s").first().s == pytest.approx(1.0)
