@@ -2,7 +2,7 @@
 
 Both vocabularies are applied chunk by chunk: a cut in front of a chunk never changes the ids on
 either side, so the ids of a text are the ids of its chunks, joined. Chunks repeat very often;
-each worker keeps those that it has met (at most ``CACHE`` of them, then it begins anew).
+each worker keeps the first ``CACHE`` that it meets, and of later ones a batch's worth.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 END = 1
-CACHE = 1_200_000
+CACHE = 1_000_000
 #: Characters with the Unicode property White_Space, which the tokenizers' own patterns mean by \s.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: With the byte-level pattern a single blank belongs to the word after it, and of a run of white
@@ -39,31 +39,56 @@ class Encoder:
         keeps = self.raw("a b") != self.raw("a") + self.raw("b")
         self.pattern = KEEPS_SPACE if keeps else DROPS_SPACE
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.keeps = keeps
         self.known: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}  # ids of a blank and the word
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        """Chunks of a text. ``split`` does the same as the pattern but for four control characters."""
-        if self.pattern is KEEPS_SPACE or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    def cut(self, text: str) -> list[str] | list[list[str]]:
+        """Chunks of a text; or, if only single blanks and line ends part its words, the words of each line."""
+        words = text.split()
+        if self.keeps:
+            lines = [line.split(" ") for line in text.split("\n")]
+            return lines if list(chain.from_iterable(lines)) == words else self.pattern.findall(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these four for white space
             return self.pattern.findall(text)
-        return text.split()
+        return words
 
-    def encode(self, texts: list[str | None]) -> Iterable[bytes]:
-        """Ids of each text. A text that holds a special token's string is encoded whole: it is cut there first."""
-        whole = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        chunks = [[] if i in whole or not t else self.cut(t) for i, t in enumerate(texts)]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list(set(chain.from_iterable(chunks)).difference(known))
+    def learn(self, known: dict[str, bytes], chunks: Iterable[str], before: str) -> list[str]:
+        """Add ids of chunks that aren't known; returns those to forget after this batch, if the cache is full."""
+        new = list(set(chunks).difference(known))
+        room = max(0, CACHE - len(self.known) - len(self.after_blank))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([before + c for c in part] if before else part, add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
-        for i, cs in enumerate(chunks):
-            yield self.raw(texts[i]) if i in whole else b"".join(map(known.__getitem__, cs))
+        return new[room:]
+
+    def encode(self, texts: list[str | None]) -> Iterable[bytes]:
+        """Ids of each text. A text that holds a special token's string is encoded whole: it is cut there first."""
+        whole = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        if not self.keeps:  # such vocabularies lower-case
+            texts = [t.lower() if t and t.isascii() and i not in whole else t for i, t in enumerate(texts)]
+        cuts = [[] if i in whole or not t else self.cut(t) for i, t in enumerate(texts)]
+        by_line = [bool(c) and isinstance(c[0], list) for c in cuts]
+        flat = chain.from_iterable(c for c, lines in zip(cuts, by_line, strict=True) if not lines)
+        firsts = (line[0] for c, lines in zip(cuts, by_line, strict=True) if lines for line in c)
+        others = chain.from_iterable(chain.from_iterable(line[1:] for line in c) for c, lines in zip(cuts, by_line, strict=True) if lines)
+        spare = self.learn(self.known, chain(flat, firsts, ["\n"] if self.keeps else []), "")
+        spare_after = self.learn(self.after_blank, others, " ")
+        plain, spaced = self.known.__getitem__, self.after_blank.__getitem__
+        for i, (c, lines) in enumerate(zip(cuts, by_line, strict=True)):
+            if i in whole:
+                yield self.raw(texts[i])
+            elif lines:
+                yield plain("\n").join([plain(line[0]) + b"".join(map(spaced, line[1:])) for line in c])
+            else:
+                yield b"".join(map(plain, c))
+        for known, keys in ((self.known, spare), (self.after_blank, spare_after)):
+            for c in keys:
+                del known[c]
 
 
 def encoder(path: str) -> Encoder:
