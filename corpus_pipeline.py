@@ -33,6 +33,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     chosen = chosen.join(single, chosen.doc_id.eqNullSafe(single.doc_id)).select(chosen.doc_id, "fp", "single")
     alone = docs.join(chosen.filter("single").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     among = chosen.filter("not single").select("doc_id", "fp")
+    if among.isEmpty():
+        return alone
     rows = simhash.with_fingerprint(docs.join(among, docs.doc_id.eqNullSafe(among.doc_id), "left_semi"))
     rows = rows.join(among, rows.doc_id.eqNullSafe(among.doc_id) & (rows.fp == among.fp), "left_semi")
     first = rows.groupBy("doc_id", "fp").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")

@@ -159,8 +159,8 @@ def thresholds(expected: np.ndarray, probes: np.ndarray, total: int) -> np.ndarr
     """
     groups, options, rows = expected.shape
     cost = expected + PROBE_COST * probes[:, :, None]
-    low = -groups
-    best = np.full((total - low + 1, rows), np.inf)
+    low, high = -groups, total + groups  # later groups may take -1 each
+    best = np.full((high - low + 1, rows), np.inf)
     best[-low] = 0
     choice = []
     for g in range(groups):
@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(hashed.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct")
     roots = materialize(link(distinct.select("fp", "copies"), distance), "roots")
-    least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join below meets two plain exchanges: adaptive execution may split a root of very many fingerprints.
+    least = materialize(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = materialize(roots.join(least, "root").select("fp", "root", "component_id"), "components")
-    discard(distinct)
-    discard(roots)
+    for done in (distinct, roots, least):
+        discard(done)
     return hashed.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
