@@ -38,3 +38,20 @@ def islands(rows: DataFrame, source: str, order: list[str], mark: Column) -> Dat
     w = Window.partitionBy(source).orderBy(*order)
     changed = F.coalesce(mark != F.lag(mark).over(w), F.lit(False)).cast("int")
     return rows.withColumn("_c", changed).withColumn("island", F.sum("_c").over(w)).drop("_c")
+
+
+def global_rank(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` plus their 1-based place in the whole order, without one task for all rows.
+
+    Rows are dealt by range; each part is ranked alone and the sizes of the parts before it are added.
+    The dealt rows are kept, so that counting and ranking see the same parts. Ties may fall either
+    way: end ``order`` with a unique column.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    sizes, before, offsets = dealt.groupBy("_part").count().collect(), 0, []  # a row for each part
+    for r in sorted(sizes):
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(offsets, "_part int, _before bigint")
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(starts), "_part")
+    return ranked.withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_before", "_k")

@@ -76,9 +76,9 @@ def sequence_numbering(spark, sf):
 
 @query("natural_sort", """SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(lower(p_brand), '^[^0-9]*'), CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_partkey) AS k FROM part""")
 def natural_sort(spark, sf):
-    """Ranks of brand names in natural order; the single window is the report itself."""
+    """Ranks of brand names in natural order."""
     p = table(spark, sf, "part").select("p_partkey", sequence.natural_key(F.col("p_brand")).alias("key"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("key", "p_partkey")).cast("bigint").alias("k"))
+    return sequence.global_rank(p, ["key", "p_partkey"], "k").select("p_partkey", "k")
 
 
 @query("scan_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY (CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END) IS NULL, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END, CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), doc_id) AS k FROM documents")
@@ -165,8 +165,8 @@ def backend_alias(spark, sf):
 def list_filter(spark, sf):
     """Optional equality predicates, ANDed; order with nulls last."""
     e = table(spark, sf, "events").filter((F.col("event_type") == "click") & (F.col("user_id") < 50))
-    w = Window.orderBy(F.when(F.col("event_id") % 3 != 0, F.col("value")).asc_nulls_last(), "event_id")
-    return e.select("event_id", F.row_number().over(w).cast("bigint").alias("k"))
+    order = [F.when(F.col("event_id") % 3 != 0, F.col("value")).asc_nulls_last(), F.col("event_id")]
+    return sequence.global_rank(e, order, "k").select("event_id", "k")
 
 
 @query("point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
