@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 END = 1
-CACHE = 1_000_000
+CACHE = 800_000
 #: Characters with the Unicode property White_Space, which the tokenizers' own patterns mean by \s.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: With the byte-level pattern a single blank belongs to the word after it, and of a run of white
@@ -46,46 +46,51 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def cut(self, text: str) -> list[str] | list[list[str]]:
-        """Chunks of a text; or, if only single blanks and line ends part its words, the words of each line."""
+    def cut(self, text: str) -> tuple[dict[str, bytes], list[str]]:
+        """Chunks of a text and the table that knows them. In ``after_blank`` a word stands for a blank and itself."""
         words = text.split()
         if self.keeps:
-            lines = [line.split(" ") for line in text.split("\n")]
-            return lines if list(chain.from_iterable(lines)) == words else self.pattern.findall(text)
+            # Equal only if single blanks and line ends are all the white space that there is.
+            if " ".join(words) == text.replace("\n", " "):
+                return self.after_blank, text.replace("\n", " \n").split(" ")
+            return self.known, self.pattern.findall(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these four for white space
-            return self.pattern.findall(text)
-        return words
-
-    def learn(self, known: dict[str, bytes], chunks: Iterable[str], before: str) -> list[str]:
-        """Add ids of chunks that aren't known; returns those to forget after this batch, if the cache is full."""
-        new = list(set(chunks).difference(known))
-        room = max(0, CACHE - len(self.known) - len(self.after_blank))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([before + c for c in part] if before else part, add_special_tokens=False), strict=True):
+            return self.known, self.pattern.findall(text)
+        return self.known, words
+
+    def learn(self, known: dict[str, bytes], new: set[str]) -> list[str]:
+        """Add the ids of new chunks; returns those to forget after this batch, if the cache is full."""
+        room, listed = max(0, CACHE - len(self.known) - len(self.after_blank)), list(new)
+        whole = listed if known is self.known else [c if c[0] == "\n" else " " + c for c in listed]
+        for at in range(0, len(listed), 20_000):
+            for c, e in zip(listed[at : at + 20_000], self.tokenizer.encode_batch_fast(whole[at : at + 20_000], add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
-        return new[room:]
+        return listed[room:]
 
     def encode(self, texts: list[str | None]) -> Iterable[bytes]:
         """Ids of each text. A text that holds a special token's string is encoded whole: it is cut there first."""
-        whole = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        if not self.keeps:  # such vocabularies lower-case
-            texts = [t.lower() if t and t.isascii() and i not in whole else t for i, t in enumerate(texts)]
-        cuts = [[] if i in whole or not t else self.cut(t) for i, t in enumerate(texts)]
-        by_line = [bool(c) and isinstance(c[0], list) for c in cuts]
-        flat = chain.from_iterable(c for c, lines in zip(cuts, by_line, strict=True) if not lines)
-        firsts = (line[0] for c, lines in zip(cuts, by_line, strict=True) if lines for line in c)
-        others = chain.from_iterable(chain.from_iterable(line[1:] for line in c) for c, lines in zip(cuts, by_line, strict=True) if lines)
-        spare = self.learn(self.known, chain(flat, firsts, ["\n"] if self.keeps else []), "")
-        spare_after = self.learn(self.after_blank, others, " ")
-        plain, spaced = self.known.__getitem__, self.after_blank.__getitem__
-        for i, (c, lines) in enumerate(zip(cuts, by_line, strict=True)):
-            if i in whole:
-                yield self.raw(texts[i])
-            elif lines:
-                yield plain("\n").join([plain(line[0]) + b"".join(map(spaced, line[1:])) for line in c])
+        rows, new, new_after = [], set(), set()
+        for t in texts:
+            if not t:
+                rows.append(([], [], [], self.known))
+            elif any(s in t for s in self.special):
+                rows.append(([], [self.raw(t)], [], self.known))
             else:
-                yield b"".join(map(plain, c))
+                known, chunks = self.cut(t.lower() if not self.keeps and t.isascii() else t)  # such vocabularies lower-case
+                ids = list(map(known.get, chunks))
+                if known is self.after_blank:  # but no blank leads the first word
+                    ids[0] = self.known.get(chunks[0])
+                    if ids[0] is None:
+                        new.add(chunks[0])
+                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+                missing = new if known is self.known else new_after
+                missing.update([chunks[i] for i in gaps if i or known is self.known])
+                rows.append((chunks, ids, gaps, known))
+        spare, spare_after = self.learn(self.known, new), self.learn(self.after_blank, new_after)
+        for chunks, ids, gaps, known in rows:
+            for i in gaps:
+                ids[i] = (known if i else self.known)[chunks[i]]
+            yield b"".join(ids)
         for known, keys in ((self.known, spare), (self.after_blank, spare_after)):
             for c in keys:
                 del known[c]
@@ -98,11 +103,21 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Characters of text that are cut into chunks at a time.
+AT_ONCE = 2_000_000
+
+
 def documents(texts: Iterable[str | None], path: str, end: int = END) -> Iterable[np.ndarray]:
     """Ids of each text with the end id; null counts as empty."""
-    e, tail = encoder(path), np.array([end], dtype="<u4").tobytes()
-    for ids in e.encode(list(texts)):
-        yield np.frombuffer(ids + tail, dtype="<u4")
+    e, tail, part, size = encoder(path), np.array([end], dtype="<u4").tobytes(), [], 0
+    for t in chain(texts, [...]):
+        if part and (t is ... or size >= AT_ONCE):
+            for ids in e.encode(part):
+                yield np.frombuffer(ids + tail, dtype="<u4")
+            part, size = [], 0
+        if t is not ...:
+            part.append(t)
+            size += len(t or "")
 
 
 def crc(ids: np.ndarray) -> int:
