@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, packing, quality_rules, simhash, tokens, toxicity
-from lamina.llm.common import materialize, prepare, table
+from lamina.llm.common import discard, materialize, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage is written as Parquet and reread."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
