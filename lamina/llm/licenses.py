@@ -89,8 +89,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     templates = template_bigrams()
     guards = F.array(*map(F.lit, guard_words(templates, threshold)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    units = rows.select("key", F.explode(F.array_distinct(F.flatten(F.array(F.array("text"), F.split("text", r"\n[\x20\x09-\x0D]*\n"), F.split("text", "\n"))))).alias("unit"))
-    # The whole text always holds what its lines hold, so the guard runs on units, before bigrams are made.
+    # A text without a guard word has no unit with one, so most texts end here and are never cut.
+    guarded = rows.filter(F.arrays_overlap(words_of(F.col("text")), guards))
+    units = guarded.select("key", F.explode(F.array_distinct(F.flatten(F.array(F.array("text"), F.split("text", r"\n[\x20\x09-\x0D]*\n"), F.split("text", "\n"))))).alias("unit"))
     units = units.select("key", F.xxhash64("unit").alias("u"), words_of(F.col("unit")).alias("w")).filter(F.arrays_overlap("w", guards))
     grams = units.select("key", "u", F.explode(F.array(bigrams_of(F.col("w")))).alias("g")).withColumn("a", F.size("g"))
     listed = spark.createDataFrame([(lic, n, len(g), x) for lic, n, g in templates for x in g], "license string, template int, b int, gram string")
