@@ -373,14 +373,14 @@ def tile_windows(spark, sf):
     return s.withColumn("k", k).select("size", "tile", start.cast("bigint").alias("start"), F.least(F.col("size"), start + F.col("tile")).cast("bigint").alias("stop")).distinct()
 
 
-@query("edge_cost", f"WITH r AS (SELECT f, p, (r - 128) / 10.0 AS tx, (gr - 128) / 10.0 AS ty, 0.9 + b / 1000.0 AS scale, (r - gr) / 20.0 AS rot, b / 255.0 AS conf FROM ({RGB_SQL})), o AS (SELECT *, greatest(0, least(1, (1 - least(1, abs(tx) / 120)) * (1 - least(1, abs(ty) / 160)))) AS overlap FROM r) SELECT f, p, round(overlap, 6) AS overlap, round(sqrt(tx / 160 * (tx / 160) + ty / 120 * (ty / 120)) + abs(ln(greatest(1e-6, scale))) + abs(rot) / 45, 6) AS magnitude, round(conf * (0.6 + 0.4 * overlap), 6) AS confidence FROM o")
+@query("edge_cost", f"WITH r AS (SELECT f, p, (r - 128) / 10.0 AS tx, (gr - 128) / 10.0 AS ty, 0.9 + b / 1000.0 AS scale, (r - gr) / 20.0 AS rot, b / 255.0 AS conf FROM ({RGB_SQL})), o AS (SELECT *, greatest(0, least(1, (1 - least(1, abs(tx) / 120)) * (1 - least(1, abs(ty) / 160)))) AS overlap FROM r) SELECT f, p, round(overlap, 12) AS overlap, round(sqrt(tx / 160 * (tx / 160) + ty / 120 * (ty / 120)) + abs(ln(greatest(1e-6, scale))) + abs(rot) / 45, 12) AS magnitude, round(conf * (0.6 + 0.4 * overlap), 12) AS confidence FROM o")
 def edge_cost(spark, sf):
     """Cost terms of a registration: overlap, size of the movement, damped confidence."""
     m = rgb(spark, sf).select("f", "p", ((F.col("r") - 128) / 10.0).alias("tx"), ((F.col("gr") - 128) / 10.0).alias("ty"), (0.9 + F.col("b") / 1000.0).alias("scale"), ((F.col("r") - F.col("gr")) / 20.0).alias("rot"), (F.col("b") / 255.0).alias("conf"))
     part = lambda c, size: 1 - F.least(F.lit(1.0), F.abs(F.col(c)) / size)
     overlap = F.greatest(F.lit(0.0), F.least(F.lit(1.0), part("tx", 120) * part("ty", 160)))
     magnitude = F.hypot(F.col("tx") / 160, F.col("ty") / 120) + F.abs(F.log(F.greatest(F.lit(1e-6), F.col("scale")))) + F.abs("rot") / 45
-    return m.select("f", "p", F.round(overlap, 6).alias("overlap"), F.round(magnitude, 6).alias("magnitude"), F.round(F.col("conf") * (0.6 + 0.4 * overlap), 6).alias("confidence"))
+    return m.select("f", "p", F.round(overlap, 12).alias("overlap"), F.round(magnitude, 12).alias("magnitude"), F.round(F.col("conf") * (0.6 + 0.4 * overlap), 12).alias("confidence"))
 
 
 @query("footprint_validity", f"SELECT f, count_if(x * 1.02 + 0.5 BETWEEN 0 AND 7 AND y * 0.98 - 0.2 BETWEEN 0 AND 7) AS n_valid FROM (SELECT f, p % 8 AS x, p // 8 AS y FROM ({PX_SQL})) GROUP BY f")
