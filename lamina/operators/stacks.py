@@ -101,7 +101,7 @@ def alignment_order(maps: DataFrame) -> DataFrame:
 
     def work(g, pdf):
         x = stack_of(pdf) / 65535
-        s = np.array([[kernels.similarity(a, b) for b in x] for a in x])
+        s = kernels.similarity_matrix(x)
         path = kernels.path_order(1 - s)
         confidence = float(np.mean([s[a, b] for a, b in zip(path, path[1:])])) if len(path) > 1 else 1.0
         path = path if confidence >= 0.35 else list(range(len(x)))

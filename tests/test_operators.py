@@ -185,3 +185,10 @@ def test_manifest_file_and_functions(spark, tmp_path):
     assert (tmp_path / "m.csv").read_bytes().decode("utf-8-sig").splitlines() == ['"k","s","b"', '"1","ä,é","true"', '"2","b ""x""",""']
     sinks.register_functions(spark)
     assert spark.sql("SELECT map_similarity(array(0D, 1D, 2D), array(0D, 1D, 2D)) AS s").first().s == pytest.approx(1.0)
+
+
+def test_similarity_matrix_equals_pairs():
+    m = np.random.default_rng(6).random((6, 50))
+    m[4], m[5] = 0.5, 0.5
+    s = kernels.similarity_matrix(m)
+    assert np.allclose(s, [[kernels.similarity(a, b) for b in m] for a in m])
