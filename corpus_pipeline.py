@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, packing, quality_rules, simhash, tokens, toxicity
+from lamina.llm import decontaminate, minhash, packing, quality_rules, tokens, toxicity
 from lamina.llm.common import discard, materialize, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,21 +23,22 @@ def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id (null last), then the least fingerprint, of each group of near-duplicates.
+    """The document with the least id (null last), then the least text key, of each group of near-duplicates.
 
-    Where an id names several rows, only the row with that fingerprint stays, and of equal rows one.
+    Near-duplicates share 0.8 or more of their five-word shingles, directly or over others. Where an id names
+    several rows, only the row with that key stays, and of equal rows one.
     """
-    groups = materialize(simhash.near_duplicates(docs), "groups")
-    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("c")).select("c.doc_id", "c.fp")
+    groups = minhash.near_duplicates(docs)
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c")).select("c.doc_id", "c.key")
     single = groups.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", ((F.col("n") == 1) & F.col("doc_id").isNotNull()).alias("single"))
-    chosen = chosen.join(single, chosen.doc_id.eqNullSafe(single.doc_id)).select(chosen.doc_id, "fp", "single")
+    chosen = chosen.join(single, chosen.doc_id.eqNullSafe(single.doc_id)).select(chosen.doc_id, "key", "single")
     alone = docs.join(chosen.filter("single").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    among = chosen.filter("not single").select("doc_id", "fp")
+    among = chosen.filter("not single").select("doc_id", "key")
     if among.isEmpty():
         return alone
-    rows = simhash.with_fingerprint(docs.join(among, docs.doc_id.eqNullSafe(among.doc_id), "left_semi"))
-    rows = rows.join(among, rows.doc_id.eqNullSafe(among.doc_id) & (rows.fp == among.fp), "left_semi")
-    first = rows.groupBy("doc_id", "fp").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    rows = minhash.with_key(docs.join(among, docs.doc_id.eqNullSafe(among.doc_id), "left_semi"))
+    rows = rows.join(among, rows.doc_id.eqNullSafe(among.doc_id) & (rows.key == among.key), "left_semi")
+    first = rows.groupBy("doc_id", "key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
     return alone.unionByName(first)
 
 
@@ -58,7 +59,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Stages 1, 3 and 5 (a learned model, XXH64 fingerprints, a tokenizer) can't be written in SQL.
+#: Stages 1, 3 and 5 (a learned model, XXH64 shingles, a tokenizer) can't be written in SQL.
 ORACLE_SQL = None
 
 

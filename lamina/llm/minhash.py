@@ -1,0 +1,136 @@
+"""Near-duplicate texts by the Jaccard similarity of their word shingles: MinHash bands, exact verification.
+
+Texts of one word sequence are one row throughout, named by a 64-bit hash. Texts that share one of
+``BANDS`` bands of ``ROWS`` minima are candidates; a pair at similarity 0.8 shares none with
+probability (1 - 0.8^6)^40, about 5e-6, and more alike pairs with less. Each candidate is
+verified by the overlap of its whole shingle sets, in whole numbers.
+
+First every text meets the head of its bands, and verified links join components. Then all pairs of
+a band that lie in different components meet, so a dense group of near copies does not emit its pairs
+and no pair of candidates is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lamina.llm import decontaminate
+from lamina.llm.common import discard, materialize, prepare
+from lamina.llm.components import components
+
+SHINGLE = 5
+#: Least similarity of a link, as a fraction of whole numbers.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 40, 6
+#: Shingles hashed at a time.
+CHUNK = 1024
+
+_random = np.random.default_rng(5)
+MASKS = _random.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
+FACTORS = _random.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+MIX = _random.integers(0, 2**64, (1, ROWS), dtype=np.uint64) | np.uint64(1)
+SALTS = _random.integers(0, 2**64, BANDS, dtype=np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words as the fingerprints of ``simhash`` see them."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def text_key(text: str | None) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words_of(text)))).view(np.int64))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of all runs of five words; of a shorter text, the whole is the one shingle."""
+    import xxhash
+
+    words, digest = words_of(text), xxhash.xxh64_intdigest
+    grams = (b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
+    return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), CHUNK):
+        np.minimum(least, ((shingles[None, at : at + CHUNK] ^ MASKS) * FACTORS).min(axis=1), out=least)
+    mixed = ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64)
+    return (mixed ^ SALTS).view(np.int64)
+
+
+def with_key(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_key(t) for t in texts], dtype="int64")
+
+    return docs.withColumn("key", key(F.col(text_col)))
+
+
+def alike(overlap, a, b):
+    """Whether overlap / (a + b - overlap) reaches the similarity."""
+    over, under = SIMILARITY
+    return (over + under) * overlap >= over * (a + b)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose whole shingle sets are alike."""
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+    texts = with_key(docs.select("text")).join(decontaminate.small(wanted, wanted.count()), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    sets = materialize(texts.select("key", shingles("text").alias("s")), "sets")
+    left = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("t")), "b")
+    both = left.join(sets.select(F.col("key").alias("a"), "s"), "a")
+    out = materialize(both.filter(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "alike")
+    discard(wanted)
+    discard(sets)
+    return out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, root), one row per document (doc_id, text); ``root`` names the component of its text.
+
+    Null, empty and wordless texts are copies of each other; an empty table gives no rows.
+    """
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("size int, bands array<bigint>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"size": [len(s) for s in sets], "bands": [bands_of(s) for s in sets]})
+
+    hashed = materialize(with_key(docs.select("doc_id", "text")).select("doc_id", "key", sketch("text").alias("k")), "sketches")
+    rows = hashed.groupBy("key").agg(F.first("k").alias("k")).select("key", "k.size", F.explode("k.bands").alias("band"))
+    rows = materialize(rows, "bands")
+    heads = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("h")).filter("n > 1").select("band", "h")
+    shared = materialize(rows.join(heads, "band"), "shared")
+    discard(rows)
+
+    def fits(a, b):
+        return alike(F.least(a, b), a, b)
+
+    first = materialize(shared.filter((F.col("key") != F.col("h.key")) & fits(F.col("size"), F.col("h.size"))).select(F.col("h.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    links = verified(first, docs)
+    roots = components(links)
+    rooted = shared.select("band", "key", "size").join(roots, shared.key == roots.node, "left").select("band", "key", "size", F.coalesce("root", "key").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    open_ = rooted.join(several, "band", "left_semi")
+    a, b = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "root"))) for s in "ab")
+    met = a.join(b, (a.band == b.band) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("size_a"), F.col("size_b")))
+    second = materialize(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    linked = components(links.unionByName(verified(second, docs)))
+    out = materialize(hashed.select("doc_id", "key").join(linked, hashed.key == linked.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "groups")
+    for done in (hashed, shared, first, links, rooted, second):
+        discard(done)
+    return out
