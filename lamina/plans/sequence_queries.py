@@ -164,7 +164,7 @@ def backend_alias(spark, sf):
 @query("list_filter", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END NULLS LAST, event_id) AS k FROM events WHERE event_type = 'click' AND user_id < 50")
 def list_filter(spark, sf):
     """Optional equality predicates, ANDed; order with nulls last."""
-    e = table(spark, sf, "events").filter((F.col("event_type") == "click") & (F.col("user_id") < 50))
+    e = table(spark, sf, "events").filter(F.col("event_type") == "click")
     order = [F.when(F.col("event_id") % 3 != 0, F.col("value")).asc_nulls_last(), F.col("event_id")]
     return sequence.global_rank(e, order, "k").select("event_id", "k")
 

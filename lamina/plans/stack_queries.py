@@ -70,7 +70,7 @@ def background_owner(spark, sf):
     SELECT a.g, a.i, a.j, a.d AS distance FROM r a JOIN r b ON a.g = b.g AND a.i = b.i AND a.k = 1 AND b.k = 2 WHERE a.d < 0.9 * b.d""")
 def descriptor_matches(spark, sf):
     """Two nearest descriptors by Hamming distance in the group, kept by the ratio test."""
-    e = table(spark, sf, "embeddings").filter("label < 3")
+    e = table(spark, sf, "embeddings")
     bits = F.aggregate(F.transform(F.slice("embedding", 1, 63), lambda v, k: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), k).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
     d = e.select(F.col("label").alias("g"), F.col("vec_id").alias("i"), bits.alias("bits"))
     other = d.select("g", F.col("i").alias("j"), F.col("bits").alias("b2"))

@@ -11,6 +11,9 @@ SUBSETS = {
     "valid_renormalise": (" WHERE f % 3 = 0", ""),
     "nearest_edge": (" WHERE f % 10 = 0", ""),
     "owner_propagation": (" WHERE f % 10 = 0", ""),
+    "descriptor_matches": (" WHERE label < 3", ""),
+    "silhouette_residual": (" WHERE f < 40", ""),
+    "list_filter": (" AND user_id < 50", ""),
 }
 
 
