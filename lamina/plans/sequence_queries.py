@@ -264,13 +264,13 @@ def index_pairs(m, allowed):
 def pairwise_join(spark, sf):
     """All pairs of small groups; in larger ones near neighbours and five hubs."""
     hubs = "(0, n div 4, n div 2, 3 * n div 4, n - 1)"
-    return index_pairs(indexed(spark, sf), f"n <= 5 or j - i <= 4 or i in {hubs} or j in {hubs}")
+    return index_pairs(indexed(spark, sf), f"n <= 40 or j - i <= 4 or i in {hubs} or j in {hubs}")
 
 
 @query("pair_sampling", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 6 OR b.i - a.i <= 3 OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i % 2 = 0) OR (b.i IN (0, a.n // 2, a.n - 1) AND a.i % 2 = 0) OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i IN (0, a.n // 2, a.n - 1)))")
 def pair_sampling(spark, sf):
     hubs = "(0, n div 2, n - 1)"
-    return index_pairs(indexed(spark, sf), f"n <= 6 or j - i <= 3 or (i in {hubs} and j % 2 = 0) or (j in {hubs} and i % 2 = 0) or (i in {hubs} and j in {hubs})")
+    return index_pairs(indexed(spark, sf), f"n <= 24 or j - i <= 3 or (i in {hubs} and j % 2 = 0) or (j in {hubs} and i % 2 = 0) or (i in {hubs} and j in {hubs})")
 
 
 @query("set_equality", """WITH a AS (SELECT source, list_sort(list(doc_id)) AS x FROM documents GROUP BY source), b AS (SELECT source, list_sort(list(doc_id)) AS y FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) GROUP BY source)

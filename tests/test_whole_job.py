@@ -14,6 +14,8 @@ SUBSETS = {
     "descriptor_matches": (" WHERE label < 3", ""),
     "silhouette_residual": (" WHERE f < 40", ""),
     "list_filter": (" AND user_id < 50", ""),
+    "pairwise_join": ("n <= 5", "n <= 40"),
+    "pair_sampling": ("n <= 6", "n <= 24"),
 }
 
 
