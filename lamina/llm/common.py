@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,11 +16,18 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of a table of a few small columns (some 100 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Bytes of a table that may be broadcast, where rows have no bound of their own.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers and bound the rows of one Arrow batch.
 
-    A batch of 10,000 very long texts (Spark's default count) would not fit a worker, so batches
-    hold 1,000 rows unless the session has already chosen a smaller number.
+    Batches of Spark's default count would take a worker tens of megabytes more than they need, so they hold
+    1,000 rows unless the session has already chosen a smaller number; both settings stay with the session.
+    Spark's own bound of a batch in bytes holds besides.
     """
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
@@ -30,26 +39,41 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: dict[str, str] = {}  # application to its folder, where a local session names none
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose driver is its
-    one executor, may go without: it gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``. A cluster without it is refused. Only a local session,
+    whose driver is its one executor, may go without: it gets a temporary folder that goes with the process.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        if not context.master.startswith("local") or "cluster" in context.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _own:
+            folder = tempfile.mkdtemp(prefix="lamina-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[context.applicationId] = "file://" + folder
+        base = _own[context.applicationId]
     # Named in full: what a path without a scheme means differs between Spark's files and Arrow's.
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    full = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    _stored.setdefault(context.applicationId, set()).add(full)
+    return full
+
+
+_stored: dict[str, set[str]] = {}  # application to the folders that it has made and not deleted
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and an executor may be lost."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and an executor may be lost.
+
+    ``discard`` deletes it. What a returned DataFrame still reads can't go with its operator: ``release`` deletes that.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
@@ -58,16 +82,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing will read it again."""
-    path = getattr(df, "lamina_path", None)
-    if path:
-        remove_tree(df.sparkSession, path)
+    for df in tables:
+        path = getattr(df, "lamina_path", None)
+        if path:
+            remove_tree(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every folder that operators of this session have made and left: call it when their results are used up."""
+    for path in sorted(_stored.get(spark.sparkContext.applicationId, ())):
+        remove_tree(spark, path)
 
 
 def remove_tree(spark: SparkSession, path: str) -> None:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    _stored.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def counted_broadcast(df: DataFrame, rows: int, size: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows, and its bytes where given, are within the bounds."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size is None or size <= BROADCAST_BYTES) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

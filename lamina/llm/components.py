@@ -15,7 +15,7 @@ from lamina.llm.common import discard, materialize
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: comparable); root is the component's least node.
 
-    A root has no row of its own unless it occurs in an edge with another node.
+    A root has no row of its own unless it occurs in an edge with another node. The result is a stored table.
     """
     current = materialize(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"
@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialize(after, "edges")
         discard(current)
         current = after
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.lamina_path = current.lamina_path
+    return out
