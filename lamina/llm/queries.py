@@ -69,26 +69,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: ASCII white space and A-Z, as DuckDB's patterns write them.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-_STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+_LICENSE_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.listed_stop_words())
 _ITEM_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 
 def _template_rows() -> str:
-    return ", ".join(f"('{lic}', {n}, {len(g)}, '{x}')" for lic, n, g in licenses.template_bigrams() for x in g)
+    listed = [(lic, text) for lic, texts in licenses.TEMPLATES.items() for text in texts]
+    return ", ".join("('{}', {}, '{}')".format(lic, n, text.replace("'", "''")) for n, (lic, text) in enumerate(listed))
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # Every run of words from a template's bigram to another, in reach of the threshold.
         "op3_licenses": rf"""
-            WITH t(license, template, b, gram) AS (VALUES {_template_rows()}),
-            d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-            u AS (SELECT r, row_number() OVER () AS u, unit FROM (SELECT r, unnest(list_distinct([text] || regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n') || string_split(text, chr(10)))) AS unit FROM d)),
-            w AS (SELECT r, u, list_filter(string_split(lower(regexp_replace(unit, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM u),
-            g AS (SELECT DISTINCT r, u, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, u, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w)),
-            a AS (SELECT u, count(*) AS a FROM g GROUP BY u),
-            o AS (SELECT r, u, license, template, b, count(*) AS n FROM g JOIN t USING (gram) GROUP BY ALL),
-            m AS (SELECT r, license, max(2 * n / (a + b)) AS dice FROM o JOIN a USING (u) WHERE 2 * n / (a + b) >= 0.8 GROUP BY r, license),
-            k AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice FROM m GROUP BY r)
+            WITH t0(license, template, text) AS (VALUES {_template_rows()}),
+            tw AS (SELECT license, template, {_LICENSE_WORDS} AS w FROM t0),
+            tg AS (SELECT license, template, gram, count(*) AS c FROM (SELECT license, template, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM tw)) GROUP BY ALL),
+            tn AS (SELECT template, sum(c) AS n FROM tg GROUP BY template),
+            d AS (SELECT row_number() OVER () AS r, doc_id, {_LICENSE_WORDS} AS w FROM documents),
+            dg AS (SELECT r, i - 1 AS p, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, w, unnest(generate_series(1, len(w) - 1)) AS i FROM d)),
+            m AS (SELECT r, license, template, n, p, gram, c, row_number() OVER (PARTITION BY r, template, gram ORDER BY p) AS k FROM dg JOIN tg USING (gram) JOIN tn USING (template)),
+            able AS (SELECT r, template FROM (SELECT r, template, n, least(count(*), any_value(c)) AS u FROM m GROUP BY r, template, n, gram) GROUP BY r, template, n HAVING sum(u) >= n * 0.8 / 1.2 - 1e-9),
+            q AS (SELECT m.*, coalesce(lag.p, -1) AS prev FROM m JOIN able USING (r, template) LEFT JOIN m lag ON lag.r = m.r AND lag.template = m.template AND lag.gram = m.gram AND lag.k = m.k - m.c),
+            w AS (SELECT a.r, a.license, a.p AS first, b.p - a.p + 2 AS words, 2 * row_number() OVER (PARTITION BY a.r, a.template, a.p ORDER BY b.p) / (b.p - a.p + 1 + a.n) AS dice
+                  FROM q a JOIN q b ON a.r = b.r AND a.template = b.template AND b.p >= a.p AND b.p - a.p < 1.5 * a.n AND b.prev < a.p),
+            best AS (SELECT * FROM w WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, first, words) = 1),
+            kept AS (SELECT * FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.r = x.r AND y.license <> x.license AND y.first < x.first + x.words AND x.first < y.first + y.words
+                                                                                AND (y.dice > x.dice OR (y.dice = x.dice AND y.license < x.license)))),
+            k AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice FROM kept GROUP BY r)
             SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 9) AS best_dice FROM d LEFT JOIN k USING (r)""",
         "op10_quality_rules": rf"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
@@ -101,14 +110,15 @@ def oracle_sql() -> dict[str, str]:
                          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
                          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
                          len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop,
-                         length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters
+                         length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters,
+                         length(regexp_replace(text, '[\P{{L}}{quality_rules.ALPHABET}]+', '', 'g')) AS n_foreign
                   FROM n LEFT JOIN c USING (r)),
             b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                          coalesce(word_chars / nullif(n_words, 0), 0) AS mean_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols,
                          coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup, coalesce(n_stop / nullif(n_words, 0), 0) AS stop,
                          coalesce(n_upper / nullif(n_letters, 0), 0) AS upper FROM m)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-                   NOT base_failed AND symbols <= 0.25 AND mean_chars BETWEEN 1.5 AND 20 AND upper <= 0.6 AND stop >= 0.01 AND dup <= 0.6 AS kept
+                   NOT base_failed AND symbols <= 0.25 AND mean_chars BETWEEN 1.5 AND 20 AND upper <= 0.6 AND (stop >= 0.01 OR {quality_rules.FOREIGN_LETTERS} * n_foreign > n_letters) AND dup <= 0.6 AS kept
             FROM b""",
         "op4_decontamination": rf"""
             WITH i AS (SELECT item_id::VARCHAR AS item_id, {_ITEM_WORDS} AS w FROM benchmark),

@@ -84,38 +84,73 @@ def test_quality_rules(spark):
     assert out.limit(0).count() == 0
 
 
-def plain_licenses(t):
-    found = {}
-    units = {t or "", *re.split(r"\n[\x20\x09-\x0D]*\n", t or ""), *(t or "").split("\n")}
-    for u in units:
-        w = [x.lower() for x in re.split("[^A-Za-z0-9]+", u) if x]
-        a = set(zip(w, w[1:]))
-        for name, _, grams in licenses.template_bigrams():
-            b = {tuple(g.split(" ")) for g in grams}
-            d = 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
-            if d >= 0.8:
-                found[name] = max(found.get(name, 0), d)
-    return sorted(found), max(found.values(), default=None)
-
-
-def test_licenses(spark):
+def words_of(t):
+    return [x for x in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+
+
+def plain_licenses(t, templates):
+    """Every run of words against every template: (license, dice, first, words), best place of each, better ones first where they overlap."""
+    w = words_of(t)
+    grams, best = list(zip(w, w[1:])), {}
+    for name, texts in templates.items():
+        for text in texts:
+            x = words_of(text)
+            want = collections.Counter(zip(x, x[1:]))
+            n = len(x) - 1
+            for a in range(len(grams)):
+                left, k = want.copy(), 0
+                for e in range(a, min(len(grams), a + int(1.5 * n + 1e-9))):
+                    if left[grams[e]] > 0:
+                        left[grams[e]] -= 1
+                        k += 1
+                    dice = 2 * k / (e - a + 1 + n)
+                    if dice >= 0.8:
+                        best[name] = min(best.get(name, (0, 0, 0)), (-dice, a, e - a + 2))
+    better = lambda x, y: (x[1], x[0]) < (y[1], y[0])
+    found = [(name, -d, a, k) for name, (d, a, k) in best.items()]
+    return sorted(m for m in found if not any(x[0] != m[0] and x[2] < m[2] + m[3] and m[2] < x[2] + x[3] and (x[1] > m[1] or x[1] == m[1] and x[0] < m[0]) for x in found))
+
+
+def test_licenses_equal_all_windows(spark):
     rng = random.Random(3)
-    whole = [x for v in licenses.TEMPLATES.values() for x in v]
-    texts = [None, "", "MIT", "Released under the MIT License.\nReleased under the MIT License.", "é " * 30_000]
-    for _ in range(150):
+    templates = {k: [x for x in licenses.TEMPLATES[k] if len(x) < 1200] for k in ("mit", "apache-2.0", "cc-by-4.0", "cc-by-nc-4.0", "isc", "0bsd", "gpl-3.0", "lgpl-3.0", "wtfpl")}
+    whole = [x for v in templates.values() for x in v]
+    texts = [None, "", "MIT", "Released under the MIT License.\nReleased under the MIT License.", "é " * 30_000, "the mit license " * 40, "A small team made it. Released under the MIT License. See the manual."]
+    code = lambda n: " ".join(rng.choice(["int", "x1", "return", "the", "license", "software", "of", "under", "y"]) for _ in range(n))
+    for _ in range(60):
         w = rng.choice(whole).split(" ")
         for _ in range(rng.randrange(0, max(2, len(w) // 8))):
-            w[rng.randrange(len(w))] = rng.choice(["foo", "bar", ""])
-        texts.append(rng.choice(["prose before\n", "", "x\n \n"]) + " ".join(w).upper() + rng.choice(["", "\nafter the end", "\n\nmore"]))
-    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id bigint, text string, license int")
-    got = licenses.scan(d).collect()
-    assert len(got) == len(texts) + 1
+            w[rng.randrange(len(w))] = rng.choice(["foo", "bar", "", "two words", "the"])
+        texts.append(code(rng.randrange(40)) + rng.choice(["\n", "\n\n", " "]) + " ".join(w).upper() + "\n" + code(rng.randrange(40)) + " " + rng.choice([*whole[:6], ""]))
+    d = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)] + [(3, texts[3], 1, "k")] * 3, "doc_id bigint, text string, license int, key string")
+    got = licenses.scan(d, templates=templates).collect()
+    assert len(got) == len(texts) + 3
     for r in got:
-        names, dice = plain_licenses(texts[r.doc_id])
-        assert r.licenses == names and (r.best_dice == pytest.approx(dice) if dice else r.best_dice is None and r.best_license is None)
+        want = plain_licenses(texts[r.doc_id], templates)
+        assert [tuple(m)[0::2] + (m.words,) for m in r.found] == [(m[0], m[2], m[3]) for m in want], r.doc_id
+        assert [m.dice for m in r.found] == pytest.approx([m[1] for m in want])
+        top = min(want, key=lambda m: (-m[1], m[0]), default=(None, None))
+        assert r.licenses == [m[0] for m in want] and r.best_license == top[0] and (r.best_dice == pytest.approx(top[1]) if want else r.best_dice is None)
     assert licenses.scan(d.limit(0)).count() == 0
 
 
+def test_whole_licenses_among_code(spark):
+    """Texts in their paragraphs and comment signs, in front of, inside and behind 500 lines of code."""
+    wanted = {k: v[-1] for k, v in licenses.TEMPLATES.items() if len(v[-1]) > 300 or k in ("fair", "fsfap", "wtfpl", "epl-2.0")}
+    assert len(wanted) >= 20
+    code = [f"    value_{i} = compute(value_{i - 1}, {i}) + offset[{i}];" for i in range(500)]
+    rows = []
+    for name, text in wanted.items():
+        w = text.split(" ")
+        lines = [" * " + " ".join(w[a : a + 11]) for a in range(0, len(w), 11)]
+        lines[len(lines) // 3 : len(lines) // 3] = ["", "/* */", ""]
+        for at in (0, 250, 500):
+            rows.append((name, "\n".join([*code[:at], "", *lines, "", *code[at:]])))
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    for r in licenses.scan(d).collect():
+        assert r.licenses == [rows[r.doc_id][0]] and r.best_dice > 0.95, (rows[r.doc_id][0], r.licenses, r.best_dice)
+
+
 SPEECH = {
     "en": "the and of that with from this have which their would other".split(),
     "de": "der und die nicht auf eine werden sich auch schön über größe".split(),
