@@ -15,20 +15,34 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import let, with_struct
 
-#: Frequent function words of English, German, French and Spanish.
-STOP_WORDS = (
-    "the of and to in a is that for on with as by it be at from are this was or an not have but they you all were their which will one there when who "
-    "der die das und ist in zu den von mit sich auf für nicht ein eine als auch dem des im es an werden aus er hat dass sie nach bei um am sind noch wie "
-    "le la les de des et un une du en est que qui dans pour pas sur au plus par avec ce il se ne sont ou mais nous vous je son ses aux "
-    "el los las y del al lo una con no su para por como más o pero sus si ya todo esta entre cuando muy sin sobre también me hasta hay donde"
-).split()
+#: Frequent function words of languages that are written with the letters of ``ALPHABET`` alone.
+STOP_WORDS = {
+    "en": "the of and to in a is that for on with as by it be at from are this was or an not have but they you all were their which will one there when who",
+    "de": "der die das und ist in zu den von mit sich auf für nicht ein eine als auch dem des im es an werden aus er hat dass sie nach bei um am sind noch wie",
+    "fr": "le la les de des et un une du en est que qui dans pour pas sur au plus par avec ce il se ne sont ou mais nous vous je son ses aux",
+    "es": "el los las y del al lo una con no su para por como más o pero sus si ya todo esta entre cuando muy sin sobre también me hasta hay donde",
+    "it": "il che di per non della sono anche alla degli questo",
+    "pt": "que não uma os com dos mas ao das foi também",
+    "nl": "het een van niet dat zijn voor ook maar naar hebben",
+    "sv": "och att det som för inte med av till den",
+    "da": "og det ikke jeg til af har med som være",
+    "fi": "ja on ei että se hän oli mutta kun myös",
+    "hu": "és hogy nem egy az is csak meg volt de",
+    "id": "yang dan di dengan untuk tidak ini dari itu dalam",
+    "sw": "ya wa na kwa ni katika hii cha za kuwa",
+    "tl": "ang ng sa mga ay na hindi ito siya kanyang",
+}
+#: Latin letters of those languages, as the inside of a character class.
+ALPHABET = "A-Za-zªºÀ-ÖØ-öø-ÿŒœŸẞ"
+#: The stop-word rule holds for a text if at most one in so many letters lies outside ``ALPHABET``.
+FOREIGN_LETTERS = 200
 
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a text only if ``low <= measure <= high``; a bound of None is open."""
+    """Keep a text only if ``low <= measure <= high``; a bound of None is open. A measure that is null breaks no rule."""
 
     name: str
     measure: str
@@ -36,7 +50,8 @@ class Rule:
     high: float | None = None
 
 
-#: The production table. Ratios are 0..1 and are 0 for a text without words or lines.
+#: The production table. Ratios are 0..1 and are 0 for a text without words or lines. The share of stop words is null,
+#: and so neutral, for a text in a script or alphabet whose stop words aren't listed.
 RULES = (
     Rule("too_short", "n_words", low=50),
     Rule("repeated_trigrams", "repeat_word_ratio", high=0.5),
@@ -89,10 +104,14 @@ def words_covered(starts: Column) -> Column:
     )
 
 
-def measures(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> Column:
+def listed_stop_words() -> list[str]:
+    return sorted({w for words in STOP_WORDS.values() for w in words.split()})
+
+
+def measures(text: Column) -> Column:
     """Struct of counts of a text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    stops = sorted(set(stop_words))
+    stops = listed_stop_words()
     lines = F.filter(F.split(text, "\n"), lambda s: F.regexp_like(s, F.lit(r"[^\x20\x09-\x0D]")))
 
     def counts(w: Column, n_repeat_words: Column) -> Column:
@@ -108,6 +127,7 @@ def measures(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS)
                 F.size(F.filter(w, lambda x: F.lower(x).isin(*stops))).cast("long").alias("n_stop_words"),
                 kept_characters(text, r"\P{Lu}+").alias("n_upper"),
                 kept_characters(text, r"\P{L}+").alias("n_letters"),
+                kept_characters(text, rf"[\P{{L}}{ALPHABET}]+").alias("n_foreign"),
             ),
         )
 
@@ -117,29 +137,28 @@ def measures(text: Column, stop_words: tuple[str, ...] | list[str] = STOP_WORDS)
     )
 
 
-def ratio(part: str, whole: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(f"_m.{part}"), F.col(f"_m.{whole}")), F.lit(0.0))
-
+def ratio(m: Column, part: str, whole: str) -> Column:
+    return F.coalesce(F.try_divide(m[part], m[whole]), F.lit(0.0))
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper", "n_letters")
 
-#: What a rule may name.
+#: What a rule may name, from a text's counts.
 MEASURES = {
-    "n_words": lambda: F.col("_m.n_words"),
-    "mean_word_chars": lambda: ratio("word_chars", "n_words"),
-    "symbol_word_ratio": lambda: ratio("n_symbols", "n_words"),
-    "dup_line_ratio": lambda: ratio("n_dup_lines", "n_lines"),
-    "repeat_word_ratio": lambda: ratio("n_repeat_words", "n_words"),
-    "stop_word_ratio": lambda: ratio("n_stop_words", "n_words"),
-    "upper_letter_ratio": lambda: ratio("n_upper", "n_letters"),
+    "n_words": lambda m: m["n_words"],
+    "mean_word_chars": lambda m: ratio(m, "word_chars", "n_words"),
+    "symbol_word_ratio": lambda m: ratio(m, "n_symbols", "n_words"),
+    "dup_line_ratio": lambda m: ratio(m, "n_dup_lines", "n_lines"),
+    "repeat_word_ratio": lambda m: ratio(m, "n_repeat_words", "n_words"),
+    "stop_word_ratio": lambda m: F.when(FOREIGN_LETTERS * m["n_foreign"] <= m["n_letters"], ratio(m, "n_stop_words", "n_words")),
+    "upper_letter_ratio": lambda m: ratio(m, "n_upper", "n_letters"),
 }
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper", "n_letters", "n_foreign")
 
 
-def violations(rules: tuple[Rule, ...] = RULES) -> Column:
-    """Names of the rules that a measured row breaks, in table order."""
+def violations(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Names of the rules that a text with the counts ``m`` breaks, in table order."""
     broken = []
     for r in rules:
-        value = MEASURES[r.measure]()
+        value = MEASURES[r.measure](m)
         tests = [value < r.low] if r.low is not None else []
         tests += [value > r.high] if r.high is not None else []
         test = tests[0] if len(tests) == 1 else tests[0] | tests[1]
@@ -147,13 +166,19 @@ def violations(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of ``docs`` plus struct ``quality`` (counts, violations, base_failed, kept).
+def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "quality") -> DataFrame:
+    """All columns of ``docs`` plus struct ``name`` (counts, violations, base_failed, kept).
 
-    Null and empty texts have no words and are rejected as too short; repeated rows and ties get
-    equal verdicts; further columns pass through, but one named ``quality`` is replaced.
+    Null and empty texts have no words and are rejected as too short; very long texts are measured whole, in
+    n log n; repeated rows and ties get equal verdicts; an empty table gives no rows; all further columns pass
+    through, but one named ``name`` is replaced.
     """
-    m = with_struct(docs.drop("quality"), "_m", measures(F.col(text_col)))
-    base = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    verdict = let(violations(rules), lambda v: F.struct(*[F.col(f"_m.{n}").alias(n) for n in COUNTS], v.alias("violations"), base.alias("base_failed"), (~base & (F.size(v) == 0)).alias("kept")))
-    return m.withColumn("quality", verdict).drop("_m")
+
+    def verdict(m: Column) -> Column:
+        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return let(
+            violations(m, rules),
+            lambda v: F.struct(*[m[n].alias(n) for n in COUNTS], v.alias("violations"), base.alias("base_failed"), (~base & (F.size(v) == 0)).alias("kept")),
+        )
+
+    return with_struct(docs, name, let(measures(F.col(text_col)), verdict))
