@@ -9,7 +9,7 @@ through a logistic curve.
 Terms and weights are learned: of the words and word beginnings in a bounded sample of toxic
 documents (``MOST_TOXIC``), those far more frequent there than in a sample of other documents
 (``MOST_OTHER``), weighted by their log-odds. A short fixed list stands in where there are no
-labels. Both bounds choose by a hash of the id; scoring covers every text.
+labels, and for its words that the samples lack. Both bounds choose by a hash of the id; scoring covers every text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, materialize, prepare
+from lamina.llm.common import discard, held_out, materialize, prepare
 
 MOST_TOXIC, MOST_OTHER = 3_000, 6_000
 #: A term must occur in this many and this share of the toxic sample, and be this much likelier there.
@@ -130,9 +130,17 @@ def count_terms(sample: DataFrame, within: set[str] | None) -> DataFrame:
 
 
 def choose(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings with weights. A beginning gives way to a longer one, or to a word, that occurs as often (95 %) or is far more telling."""
+    """Words and beginnings with weights. ``toxic`` and ``other`` count documents with each term, those of the list included.
+
+    A word of the fixed list keeps its weight only where neither sample has it. A beginning gives way to a longer
+    one, or to a word, that occurs as often (95 %) or is far more telling.
+    """
     least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    weight = {t: math.log((p + 0.5) / (n_toxic + 1)) - math.log((other[t] + 0.5) / (n_other + 1)) for t, p in toxic.items() if p >= least}
+
+    def weight_of(t: str) -> float:
+        return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((other[t] + 0.5) / (n_other + 1))
+
+    weight = {t: weight_of(t) for t, n in toxic.items() if n >= least}
     good = {t: w for t, w in weight.items() if w >= LEAST_LOG_ODDS}
     words, beginnings = {}, {}
     for t in sorted(good, key=lambda t: (len(t), t)):
@@ -146,7 +154,8 @@ def choose(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> tuple[
     words = {w: x for w, x in words.items() if not any(w.startswith(b) for b in beginnings)}
     for s in SEED:
         if not any(s.startswith(b) for b in beginnings):
-            words.setdefault(s, weight.get("=" + s, SEED_WEIGHT))
+            met = toxic["=" + s] + other["=" + s]
+            words.setdefault(s, weight_of("=" + s) if met else SEED_WEIGHT)
     return {w: x for w, x in words.items() if x > 0}, beginnings
 
 
@@ -169,7 +178,12 @@ UNFITTED = (-2.95, 2.5)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from the labelled rows of ``docs`` that aren't held out; labels of one id count as toxic if any is."""
+    """Learn from the labelled rows of ``docs`` that aren't held out; labels of one id count as toxic if any is.
+
+    Null ids and null labels teach nothing, a null text counts as empty, equal texts count once, and as toxic if
+    any of them is; very long texts are read whole. Without toxic or without other documents, or with empty
+    tables, the fixed list stands in. Other columns are ignored, whatever their names.
+    """
     spark = prepare(docs.sparkSession)
     marked = labels.filter(~held_out(id_col) & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("y"))
     there = docs.select(F.col(id_col).alias("_id")).distinct()
@@ -183,10 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_toxic, n_other = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_other:
         words, beginnings = choose(Counter(), Counter(), n_toxic, n_other)
+        discard(sample)
         return Model(words, beginnings, *UNFITTED)
     least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    toxic = Counter({r["term"]: r["n"] for r in count_terms(sample.filter("y = 1"), None).filter(F.col("n") >= least).collect()})
-    other = Counter({r["term"]: r["n"] for r in count_terms(sample.filter("y = 0"), set(toxic)).collect()})
+    listed = ["=" + s for s in SEED]
+    toxic = Counter({r["term"]: r["n"] for r in count_terms(sample.filter("y = 1"), None).filter((F.col("n") >= least) | F.col("term").isin(listed)).collect()})
+    other = Counter({r["term"]: r["n"] for r in count_terms(sample.filter("y = 0"), set(toxic) | set(listed)).collect()})
     bare = Model(*choose(toxic, other, n_toxic, n_other), *UNFITTED)
 
     @F.pandas_udf("double")
@@ -196,22 +212,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     points = sample.select(density("text").alias("x"), "y").groupBy("x", "y").count().toPandas()  # at most as many rows as the sample
     x, y = points["x"].to_numpy(float).repeat(points["count"]), points["y"].to_numpy(float).repeat(points["count"])
+    discard(sample)
     return Model(bare.words, bare.beginnings, *logistic(x, y))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus struct ``toxicity`` (score, predicted); a column of that name is replaced.
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` plus struct ``name`` (score, predicted); a column of that name is replaced, all others stay.
 
-    Null, empty and wordless texts have no hits and get the score of a clean text; repeated rows get
-    equal scores.
+    Null, empty and wordless texts have no hits and get the score of a clean text; very long texts are searched
+    whole; repeated rows get equal scores; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("score double, predicted int")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Matcher(model)
         for t in texts:
-            yield pd.Series([m.score(x) for x in t], dtype="float64")
+            s = np.array([m.score(x) for x in t], dtype="float64")
+            yield pd.DataFrame({"score": s, "predicted": (s >= CUTOFF).astype("int32")})
 
-    out = docs.withColumn("_s", scored(F.col(text_col)))
-    return out.withColumn("toxicity", F.struct(F.col("_s").alias("score"), (F.col("_s") >= CUTOFF).cast("int").alias("predicted"))).drop("_s")
+    return docs.withColumn(name, scored(F.col(text_col)))
