@@ -37,26 +37,34 @@ GROUPS = 3
 PROBE_COST = 1.0
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of a whole text; 0 for null and for texts without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all runs of ``shingle`` words of a whole text, repeats included; of fewer words, the whole is the one run."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        starts, ends = [0], [len(joined)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, n)
-        after = np.cumsum(size + 1) - 1
-        starts, ends = (after - size)[: n - shingle + 1].tolist(), after[shingle - 1 :].tolist()
+        return np.array([digest(joined, 42)], "<u8")
+    size = np.fromiter(map(len, words), np.int64, n)
+    after = np.cumsum(size + 1) - 1
+    starts, ends = (after - size)[: n - shingle + 1].tolist(), after[shingle - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), "<u8", n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash: the bits set in over half the hashes; 0 for none."""
     votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), 65_536):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<i8")[0])
+    for at in range(0, len(hashes), 65_536):
+        votes += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of a whole text; 0 for null and for texts without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -192,10 +200,12 @@ def masks(width: int, radius: int) -> np.ndarray:
 KEY_SHIFT = 40
 
 
-def link(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
-    """(fp, root) for distinct ``fps`` (fp, copies): fingerprints of one component share ``root``.
+def probe(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
+    """Labels (fp, p, anchor) of distinct ``fps`` (fp, copies), and pairs (q, p, q_anchor, anchor) within the distance.
 
-    ``fps`` is read several times and must be a stored table.
+    p and q are fingerprints with their bits put in another order. Each fingerprint lies within the distance of its
+    anchor; pairs under one anchor are left out. ``fps`` is read several times and must be a stored table, as the
+    labels are.
     """
     spark = prepare(fps.sparkSession)
     n, joint = bit_moments(fps.select("fp"))
@@ -234,6 +244,7 @@ def link(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> Data
     heads = spread.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", (-F.col("p")).alias("q"), "p")).alias("h")).filter("n > 1").select("key", F.col("h.p").alias("head"), F.col("h.copies").alias("head_copies"))
     anchored = spread.join(heads, "key").filter(near("p", "head")).groupBy("p").agg(F.max(F.struct("head_copies", (-F.col("head")).alias("q"), "head")).alias("h")).select("p", F.col("h.head").alias("anchor"))
     labelled = materialize(rows.join(anchored, "p", "left").select("fp", "p", F.coalesce("anchor", "p").alias("anchor")), "anchors")
+    discard(rows)
 
     def probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -260,27 +271,49 @@ def link(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> Data
     index = labelled.select("p", "anchor", keys.alias("key"))
     # A pair is probed from both sides; the lesser one is enough, as its own thresholds find all others.
     found = probed.join(index, (probed.key == index.key) & (F.col("q") < F.col("p")) & (F.col("q_anchor") != F.col("anchor")) & near("q", "p"))
-    linked = components(found.select(F.col("q_anchor").alias("a"), F.col("anchor").alias("b")).unionByName(labelled.filter("p <> anchor").select(F.col("p").alias("a"), F.col("anchor").alias("b"))))
-    return labelled.join(linked, labelled.p == linked.node, "left").select("fp", F.coalesce("root", "p").alias("root"))
+    return labelled, found.select("q", "p", "q_anchor", "anchor")
+
+
+def link(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+    """(fp, root) for distinct ``fps`` (fp, copies): fingerprints of one component share ``root``. A stored table."""
+    labelled, found = probe(fps, distance, groups)
+    edges = found.select(F.col("q_anchor").alias("a"), F.col("anchor").alias("b")).unionByName(labelled.filter("p <> anchor").select(F.col("p").alias("a"), F.col("anchor").alias("b")))
+    linked = components(edges)
+    out = materialize(labelled.join(linked, labelled.p == linked.node, "left").select("fp", F.coalesce("root", "p").alias("root")), "roots")
+    discard(labelled, linked)
+    return out
+
+
+def near_pairs(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+    """(a, b): pairs of distinct ``fps`` (fp, copies) within the distance that connect all that are. A stored table.
+
+    Each fingerprint is paired with its anchor, and with every other within the distance that has another anchor.
+    """
+    labelled, found = probe(fps, distance, groups)
+    named = lambda c: labelled.select(F.col("p").alias(c), F.col("fp").alias(f"fp_{c}"))
+    across = found.select("q", "p").join(named("p"), "p").join(named("q"), "q").select(F.col("fp_q").alias("a"), F.col("fp_p").alias("b"))
+    under = labelled.filter("p <> anchor").select("fp", "anchor").join(named("anchor"), "anchor").select(F.col("fp_anchor").alias("a"), F.col("fp").alias("b"))
+    out = materialize(across.unionByName(under), "near-pairs")
+    discard(labelled)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, root, component_id), one row per document; ``root`` names the component.
 
     ``component_id`` is the least id reachable over links of at most ``distance`` differing bits.
-    Null, empty and wordless texts have fingerprint 0 and are linked like others; repeated rows each
-    keep theirs; a null id is never a component's least id unless all its ids are null; other
+    Null, empty and wordless texts have fingerprint 0 and are linked like others; very long texts are
+    hashed whole, 65,536 shingles at a time; repeated rows each keep theirs; a null id is never a component's least id unless all its ids are null; other
     columns are ignored; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     hashed = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(hashed.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct")
-    roots = materialize(link(distinct.select("fp", "copies"), distance), "roots")
+    roots = link(distinct.select("fp", "copies"), distance)
     # Stored, so that the join below meets two plain exchanges: adaptive execution may split a root of very many fingerprints.
     least = materialize(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = materialize(roots.join(least, "root").select("fp", "root", "component_id"), "components")
-    for done in (distinct, roots, least):
-        discard(done)
+    discard(distinct, roots, least)
     return hashed.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 

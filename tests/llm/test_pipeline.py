@@ -7,7 +7,8 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
-from lamina.llm import common, packing, queries, simhash, tokens, toxicity
+from lamina.llm import common, packing, queries, similar, tokens, toxicity
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -87,8 +88,8 @@ def test_pipeline_stages(spark):
             scored = toxicity.score(before, toxicity.fit(before, common.table(spark, DATA, "labels")))
             assert docs.count() == scored.filter("toxicity.predicted = 0").count()
         if name == "near_duplicates":
-            groups = simhash.near_duplicates(before)
-            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in groups.collect()}
+            groups = similar.near_duplicates(before).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in groups.collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()

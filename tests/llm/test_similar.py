@@ -1,9 +1,10 @@
 """The near-duplicate stage against brute force over all pairs of five-word shingle sets."""
 
 import random
+import re
 
 import corpus_pipeline
-from lamina.llm import common, minhash
+from lamina.llm import common, similar
 
 DATA = "/root/testdata/sf0.001"
 
@@ -11,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 def plain_groups(texts):
     sets = []
     for t in texts:
-        w = [x.lower() for x in (t or "").split()]
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
     label = list(range(len(texts)))
 
@@ -55,6 +56,23 @@ def test_groups_of_documents(spark):
     docs = common.table(spark, DATA, "documents")
     rows = docs.select("doc_id", "text").collect()
     want = plain_groups([r.text for r in rows])
-    got = {r.doc_id: r.root for r in minhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: r.root for r in similar.near_duplicates(docs).collect()}
     parts = lambda label: {frozenset(r.doc_id for r in rows if label[r.doc_id] == x) for x in label.values()}
     assert parts(got) == parts({r.doc_id: w for r, w in zip(rows, want)})
+
+
+def test_large_group_of_near_copies(spark):
+    """Edits of one text, on both sides of the similarity, most of them linked over it alone."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, key string, root int")
+    want = plain_groups(texts)
+    got = {r.doc_id: r.root for r in similar.near_duplicates(docs).collect()}
+    parts = lambda label: {frozenset(i for i in range(len(texts)) if label[i] == x) for x in set(label.values())}
+    assert parts(got) == parts(dict(enumerate(want)))
