@@ -107,6 +107,28 @@ def counted_broadcast(df: DataFrame, rows: int, size: int | None = None) -> Data
     return F.broadcast(df) if rows <= BROADCAST_ROWS and (size is None or size <= BROADCAST_BYTES) else df
 
 
+#: Bits for each key of the filter that keeps rows without a partner out of a shuffle, and its most bits (32 MB).
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
+
+
+def parted_by_keys(rows: DataFrame, column: str, keys: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` whose ``column`` may be one of the n distinct ``keys``, and the rest, or None if the rows aren't parted.
+
+    Keys that ``counted_broadcast`` takes need no parting. Of more, a bit each is broadcast: a bitmap of a size that
+    the count bounds, in rows of 32,768 bits, keeps most rows without a partner out of the shuffle that follows.
+    """
+    if n <= BROADCAST_ROWS:
+        return rows, None
+    bits = min(MOST_FILTER_BITS, 1 << (FILTER_BITS * n - 1).bit_length())
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bitmap = keys.select(spot(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_k_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_k_bits"))
+    at = rows.withColumn("_k_bucket", F.bitmap_bucket_number(spot(column))).withColumn("_k_at", F.bitmap_bit_position(spot(column)))
+    byte = F.conv(F.hex(F.substring(F.col("_k_bits"), (F.col("_k_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    met = at.join(F.broadcast(bitmap), "_k_bucket", "left").withColumn("_k_may", F.coalesce(F.getbit(byte, (F.col("_k_at") % 8).cast("int")) == 1, F.lit(False)))
+    side = lambda test: met.filter(test).drop("_k_bucket", "_k_at", "_k_bits", "_k_may")
+    return side(F.col("_k_may")), side(~F.col("_k_may"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

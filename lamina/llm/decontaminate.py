@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import BROADCAST_ROWS, ascii_lower, counted_broadcast, discard, let, materialize
+from lamina.llm.common import ascii_lower, counted_broadcast, discard, let, materialize, parted_by_keys
 
 WINDOW, SHINGLE = 13, 5
 #: Characters between words, once A-Z are lower case; and the words themselves, in either case.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits for each key of the filter that keeps texts without candidates out of the shuffle, and its most bits (32 MB).
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 
 
 def words_of(text: Column) -> Column:
@@ -99,24 +97,6 @@ def matches_of(texts: DataFrame, places: DataFrame, sizes: list[int], rows: int)
     return found.groupBy("key", "size", "h", "pos", "n_words").agg(F.count("*").alias("copies"))
 
 
-def among(rows: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` whose key may be one of ``keys`` (n distinct ones), and the rest, or None if it is not parted.
-
-    Few keys are broadcast by ``counted_broadcast`` later, so nothing is parted. Of more, a bit each is: a bitmap of
-    2^k bits in rows of 32,768, of a size that the count bounds, tells most other rows apart before they are shuffled.
-    """
-    if n <= BROADCAST_ROWS:
-        return rows, None
-    bits = min(MOST_FILTER_BITS, 1 << (FILTER_BITS * n - 1).bit_length())
-    place = F.pmod(F.xxhash64("_d_key"), F.lit(bits))
-    bitmap = keys.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_d_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_d_bits"))
-    at = rows.withColumn("_d_bucket", F.bitmap_bucket_number(place)).withColumn("_d_at", F.bitmap_bit_position(place))
-    byte = F.conv(F.hex(F.substring(F.col("_d_bits"), (F.col("_d_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    met = at.join(F.broadcast(bitmap), "_d_bucket", "left").withColumn("_d_may", F.coalesce(F.getbit(byte, (F.col("_d_at") % 8).cast("int")) == 1, F.lit(False)))
-    side = lambda test: met.filter(test).drop("_d_bucket", "_d_at", "_d_bits", "_d_may")
-    return side(F.col("_d_may")), side(~F.col("_d_may"))
-
-
 def verified(words: Column, candidates: Column, window: int) -> Column:
     """Spans (item, first, words, ids) where a window of a candidate item occurs."""
 
@@ -192,15 +172,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     per_text = shifts.join(counted_broadcast(listed, size["n"], size["b"]), "item").groupBy("key").agg(F.collect_list(F.struct("item", "ids", "item_words", "at")).alias("candidates"))
     candidates = materialize(per_text, "candidates")
     n_candidates = candidates.count()
-    near, _ = among(docs.select(F.col(text_col).alias("text"), key_of(F.col(text_col)).alias("_d_key")), candidates, n_candidates)
-    near = near.withColumnRenamed("_d_key", "key").join(counted_broadcast(candidates.select("key"), n_candidates), "key", "left_semi")
+    near, _ = parted_by_keys(docs.select(F.col(text_col).alias("text"), key_of(F.col(text_col)).alias("key")), "key", candidates, "key", n_candidates)
+    near = near.join(counted_broadcast(candidates.select("key"), n_candidates), "key", "left_semi")
     distinct = near.groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("words"))
     verdicts = materialize(verdicts_of(distinct, candidates, window), "verdicts")
     weight = verdicts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json("found"))), F.lit(0)).alias("b")).first()
     discard(items, places, matches, anchors, candidates)
 
     small = verdicts.select(F.col("key").alias("_d_key"), F.col("found").alias("_d_found"))
-    may, not_ = among(keyed, verdicts, weight["n"])
+    may, not_ = parted_by_keys(keyed, "_d_key", verdicts, "key", weight["n"])
     out = may.join(counted_broadcast(small, weight["n"], weight["b"]), "_d_key", "left")
     if not_ is not None:
         out = out.unionByName(not_.withColumn("_d_found", F.lit(None).cast(out.schema["_d_found"].dataType)))

@@ -7,8 +7,10 @@ descriptor byte and the magic number), so any Zstandard decoder reads a bundle a
 record costs one frame. A bundle is closed at ``BUNDLE_BYTES``.
 
 Payloads of at least ``DEDUP_BYTES`` that occur more than once are stored by the smallest page id;
-the other records revisit it. The decision needs only digests: the smallest id of each digest is a
-grouped minimum, and the pages meet it by a join whose hot digests adaptive execution may split.
+the other records revisit it. Only digests, ids and urls are shuffled to count the rows and to find the
+first of each digest. A revisit has no block, so revisits are made from those counts alone; payloads travel
+only where more digests repeat than may be broadcast, and then only those that repeat or may.
+Which of several equal rows is the response is thereby a matter of counts, not of the task that meets them.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import struct
 from collections.abc import Iterator
 
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import files
-from lamina.llm.common import prepare, shared_dir
+from lamina.llm.common import counted_broadcast, materialize, parted_by_keys, prepare, shared_dir
 
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 256 * 1024 * 1024
@@ -132,62 +134,87 @@ class Bundle:
             yield from parse_records(self.frame(i))
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, first_id, first_key, key, equals), one row per page.
+#: Revisits of one row that a task makes at a time.
+CHUNK = 65_536
+DECIDED = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "first_id", "first_key", "key", "copy"]
+
 
-    Of the rows with one digest, the least (id, url) is the response; ``first_key`` names its record and
-    ``equals`` says how many rows are that very row (id, url and payload), of which ``write`` takes one.
-    Null payloads are empty. A page without an id is stored whole and nothing refers to it. Without a
-    url column, urls are null; other columns are ignored; an empty table gives no rows.
+def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest, first_id, first_key, key, copy), one row per page.
+
+    Of the rows with one digest, the least (id, url) is the response; ``first_key`` names its record in the rows
+    that revisit it, whose ``payload`` is null. Of several rows that equal the first in id, url and payload, one
+    is the response and the others revisit it; ``copy`` numbers equal rows that revisit. Null payloads are empty.
+    Payloads under 100 bytes, and pages without an id, are stored whole and nothing refers to them. Very long
+    payloads are never gathered: a row's payload is in one task at a time. Without a url column, urls are null;
+    other columns are ignored, whatever their names; an empty table gives no rows.
     """
     url = F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns(
-        {
-            "payload_bytes": F.length("payload").cast("bigint"),
-            "payload_digest": F.sha2("payload", 256),
-            "url_hash": F.xxhash64("url"),
-        }
+    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
+    able = (F.col("payload_bytes") >= DEDUP_BYTES) & F.col("page_id").isNotNull()
+    light = rows.filter(able).groupBy("payload_digest", "payload_bytes", "page_id", "url").agg(F.count("*").alias("n"))
+    light = materialize(light, "pages")
+    first = light.groupBy("payload_digest").agg(F.min(F.struct("page_id", F.col("url").isNull().alias("no_url"), "url")).alias("f"), F.sum("n").alias("copies")).filter("copies > 1")
+    first = materialize(first.select("payload_digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url")), "firsts")
+    n = first.count()
+
+    name = lambda page, url: F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("none")), F.substring("payload_digest", 1, 16), F.hex(F.xxhash64(url)))
+    none = F.lit(None)
+    own = [none.cast("bigint").alias("first_id"), none.cast("string").alias("first_key"), name(F.col("page_id"), F.col("url")).alias("key"), F.lit(0).cast("bigint").alias("copy")]
+    repeated = counted_broadcast(first, n)
+    may, not_ = parted_by_keys(rows.filter(able), "payload_digest", first, "payload_digest", n)
+    single = rows.filter(~able).unionByName(may.join(repeated.select("payload_digest"), "payload_digest", "left_anti"))
+    single = single.unionByName(not_) if not_ is not None else single
+    is_first = (F.col("page_id") == F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    # Copies of the first meet before the shuffle: one payload of each task and digest is left.
+    held = may.join(repeated, "payload_digest").filter(is_first).groupBy("payload_digest", "page_id", "url", "payload_bytes").agg(F.first("payload").alias("payload"))
+    others = light.join(repeated, "payload_digest").withColumn("n", F.col("n") - is_first.cast("int")).filter("n > 0")
+    chunks = others.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)")))
+    spread = chunks.withColumn("copy", F.explode(F.expr(f"sequence(at, least(n - 1, at + {CHUNK - 1}))")))
+    revisits = spread.select(
+        "page_id", "url", none.cast("binary").alias("payload"), "payload_bytes", "payload_digest", "first_id", name(F.col("first_id"), F.col("first_url")).alias("first_key"),
+        name(F.col("page_id"), F.col("url")).alias("key"), (F.col("copy") + 1).alias("copy"),
     )
-    # Only digests and ids are shuffled to find the first; payloads are shuffled once, to meet it.
-    counted = rows.filter((F.col("payload_bytes") >= DEDUP_BYTES) & F.col("page_id").isNotNull()).groupBy("payload_digest", "page_id", "url_hash").agg(F.count("*").alias("n"))
-    first = counted.groupBy("payload_digest").agg(F.min(F.struct("page_id", "url_hash", "n")).alias("f"), F.sum("n").alias("copies")).filter("copies > 1")
-    joined = rows.join(first.select("payload_digest", "f"), "payload_digest", "left")
-    name = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.substring("payload_digest", 1, 16), F.hex("url_hash"))
-    first_name = F.when(F.col("f").isNotNull() & F.col("page_id").isNotNull(), F.concat_ws(":", "f.page_id", F.substring("payload_digest", 1, 16), F.hex("f.url_hash")))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", name.alias("key"), first_name.alias("first_key"), F.coalesce("f.n", F.lit(1)).alias("equals"))
+    stored = single.unionByName(held).select("page_id", "url", "payload", "payload_bytes", "payload_digest", *own)
+    return stored.unionByName(revisits).select(*DECIDED)
 
 
 MANIFEST = "path string, records bigint, frames bigint, bytes bigint"
 ROWS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, path string, frame int"
+INDEX = "record_id string, path string, frame int, offset bigint, bytes bigint"
 
 
 def write(decided: DataFrame) -> DataFrame:
     """Write bundles, one or more for each partition; returns (path, records, frames, bytes).
 
-    Equal rows come from one join partition, where the first that is met is the response.
+    Record ids are unique: rows that may be equal carry the place of their record in the write.
     """
     spark = prepare(decided.sparkSession)
     folder = shared_dir(spark, "warc")
 
+    def rows_of(batches):
+        for b in batches:
+            columns = [b.column(c) for c in DECIDED]
+            for i in range(b.num_rows):  # one payload as a Python object at a time
+                yield dict(zip(DECIDED, (c[i].as_py() for c in columns), strict=True))
+
     def task(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, rows, k = TaskContext.get().partitionId(), (r for b in batches for r in b.to_pylist()), 0
+        part, rows, k = TaskContext.get().partitionId(), rows_of(batches), 0
         row, made, running = next(rows, None), [], 0
-        seen: set[str] = set()  # first records that occur as several equal rows
         while row is not None:
             path = f"{folder}/part-{part:05d}-{k:04d}.warc.zst"
             with files.publish(path) as out:
                 w = BundleWriter(out)
                 while row is not None and w.bytes < BUNDLE_BYTES:
-                    first, running = row["key"] == row["first_key"], running + 1
-                    if first and row["equals"] > 1:
-                        first = row["key"] not in seen
-                        seen.add(row["key"])
-                    row["revisit"] = row["first_key"] is not None and not first
-                    row["record_id"] = row["key"] if first else f"{row['key']}:{part}:{running}"
+                    running += 1
+                    row["revisit"] = row["first_key"] is not None
+                    # The first of a digest is named by its key, which revisits refer to.
+                    unique = row["page_id"] is not None and row["payload_bytes"] >= DEDUP_BYTES
+                    row["record_id"] = f"{row['key']}:{row['copy']}" if row["revisit"] else row["key"] if unique else f"{row['key']}:{part}:{running}"
                     w.add(row["record_id"], record_bytes(row))
                     row = next(rows, None)
                 w.close()
@@ -200,6 +227,37 @@ def write(decided: DataFrame) -> DataFrame:
     return spark.createDataFrame(decided.mapInArrow(task, MANIFEST).collect(), MANIFEST)  # a row per bundle
 
 
+def index(manifest: DataFrame) -> DataFrame:
+    """(record_id, path, frame, offset, bytes): where each record lies, from the bundles' own indexes; frames aren't read."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with files.opened(path) as f:
+                    listed = [(k, path, *v) for k, v in Bundle(f).index().items()]
+                if listed:
+                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*listed, strict=True), kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+
+    return dealt(manifest).mapInArrow(task, INDEX)
+
+
+def lookup(stored_index: DataFrame, record_id: str) -> tuple[dict[str, str], bytes] | None:
+    """Head and block of a record by ``index``, stored once: one frame is read. None if there is no such record."""
+    at = stored_index.filter(F.col("record_id") == record_id).first()
+    if at is None:
+        return None
+    with files.opened(at["path"]) as f:
+        return next(parse_records(Bundle(f).frame(at["frame"])[at["offset"] : at["offset"] + at["bytes"]]))
+
+
+def dealt(manifest: DataFrame) -> DataFrame:
+    n = max(1, min(manifest.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return manifest.select("path").repartition(n)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """One row per record. Responses are measured again from their payload, revisits from their headers."""
 
@@ -221,5 +279,4 @@ def read(manifest: DataFrame) -> DataFrame:
                             out.append((int(x) if (x := head.get("X-Page-ID")) else None, *seen, kind, to, path, i))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    n = max(1, min(manifest.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("path").repartition(n).mapInArrow(task, ROWS)
+    return dealt(manifest).mapInArrow(task, ROWS)

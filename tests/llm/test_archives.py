@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
-from lamina.llm import files, sharding, sstable, tokens, warc
+from lamina.llm import common, files, sharding, sstable, tokens, warc
 from tokenizers import Tokenizer
 
 
@@ -32,6 +32,28 @@ def test_warc_round_trip(spark):
             assert sum(1 for _ in warc.parse_records(plain)) == m.records
 
 
+def test_warc_equal_rows_have_one_response(spark, monkeypatch):
+    """Rows that are equal throughout, over many tasks, with and without url; small ones and those without id stay whole."""
+    big, long = "y" * 300, "z" * 3_000_000
+    rows = [(3, "a", big)] * 40 + [(3, None, big)] * 5 + [(9, "a", big)] * 30 + [(4, "a", "tiny")] * 7 + [(None, "a", big)] * 6 + [(5, None, long)] * 9
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(13)
+    for limit in (200_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        manifest = warc.write(warc.decide(docs))
+        back = warc.read(manifest)
+        got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to): r["count"] for r in back.groupBy("page_id", "payload_bytes", "record_type", "refers_to").count().collect()}
+        assert got == {(3, 300, "response", None): 1, (3, 300, "revisit", 3): 44, (9, 300, "revisit", 3): 30, (4, 4, "response", None): 7, (None, 300, "response", None): 6,
+                       (5, 3_000_000, "response", None): 1, (5, 3_000_000, "revisit", 5): 8}
+        listed = warc.index(manifest).persist()
+        assert listed.count() == len(rows) == listed.select("record_id").distinct().count()
+        names = {r.record_id for r in listed.collect()}
+        for name in sorted(names)[::7]:
+            head, block = warc.lookup(listed, name)
+            assert head["WARC-Record-ID"] == f"<urn:page:{name}>" and head.get("WARC-Refers-To", f"<urn:page:{name}>")[10:-1] in names
+            assert (len(block) == int(head["X-Payload-Length"])) == (head["WARC-Type"] == "response")
+        assert warc.lookup(listed, "nothing") is None
+
+
 def test_warc_empty(spark):
     assert warc.read(warc.write(warc.decide(pages(spark).limit(0)))).count() == 0
 
@@ -41,7 +63,7 @@ VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
 @pytest.mark.parametrize("name", VOCABULARIES)
 def test_chunks_give_the_ids_of_whole_texts(name):
-    path = tokens.vocabulary(name)
+    path = tokens.resolved(name)
     whole, mine = Tokenizer.from_file(path), tokens.Encoder(path)
     rng = np.random.default_rng(3)
     alphabet = [*"abcXYZ 019 \n\t\r\x0b\x0c\x1c\x1d\x85\xa0 　éÉßΣσς'’!?#<>|中̀İﬁﬀ", "'s", "'re", " 's", "<|endoftext|>", "<|startoftext|>", "</w>", "  ", "\n\n", " word", "\nWord", "Ab cd"]
@@ -56,7 +78,7 @@ def test_shards_round_trip(spark):
     path = tokens.vocabulary("word_bpe_49k.json")
     manifest = sstable.write(docs, path, shards=4)
     back = sorted(sstable.read(manifest).collect(), key=lambda r: r.start)
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_file(tokens.resolved(path))
     ids = lambda x: [*(t.encode(x, add_special_tokens=False).ids if x else []), 1]
     low = -(2**64)
     assert [r.doc_id if r.doc_id is not None else low for r in back] == sorted(low if r[0] is None else r[0] for r in rows)
