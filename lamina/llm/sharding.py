@@ -17,11 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize
+from lamina.llm.common import discard, materialize
 
 SHARDS = 16
 DIGITS = 4
-SALTS = 8
+SALTS = 32
+#: Name of the group of null texts: no digest, so they are no copies of any text.
+NO_TEXT = "0" * 32
 
 
 def filled(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
@@ -137,21 +139,26 @@ def cut_points(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
 def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot), one row per document.
 
-    ``size`` is the bytes of the text plus 1 (null: 1). Null and empty texts form two groups,
-    repeated rows count each, other columns are ignored, an empty table gives no rows. Slots are
-    gapless in each shard; they are numbered within (prefix, salt) cells so that a group with very
-    many copies does not meet in one task.
+    ``size`` is the bytes of the text plus 1 (null: 1). Null texts form a group of their own, empty ones too;
+    very long texts count with all their bytes, and a group larger than an equal share has a shard to itself;
+    repeated rows and null ids count each; other columns are ignored, whatever their names; an empty table gives
+    no rows. Slots are gapless in each shard; they are numbered within (prefix, salt) cells, so that neither a
+    group with very many copies nor very many null ids meet in one task.
     """
     text = F.col(text_col)
+    # Ids spread over the salts; rows without one, by where they lie, which the stored table makes lasting.
+    salt = F.when(F.col(id_col).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.md5(text.cast("binary")), F.md5(F.lit("no text"))).alias("key"),
+        F.coalesce(F.md5(text.cast("binary")), F.lit(NO_TEXT)).alias("key"),
+        salt.cast("int").alias("salt"),
     )
-    rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sizes")
+    rows = materialize(rows, "sizes")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     _, cuts = cut_points(groups, shards)
+    discard(groups)
     number = F.lit(0)
     for c in cuts:
         number = number + (F.col("key") >= c).cast("int")
