@@ -3,8 +3,8 @@
 Features are hashed letter n-grams (1 to 3) of the whole text, square-rooted and of unit length.
 The family is decided by one linear SVM per family against the rest; within a family each pair of
 languages has a linear SVM of its own and the language with most votes wins, ties by summed margins.
-Both are trained on about ``MOST_PER_LANGUAGE`` documents of each language, chosen by a hash of the
-id (``MOST_DOCUMENTS`` in all); every text is classified.
+Both are trained on at most ``MOST_PER_LANGUAGE`` distinct documents of each of the ``MOST_LANGUAGES`` commonest
+languages, and at most ``MOST_DOCUMENTS`` in all, chosen by a hash of id and text; every text is classified.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import held_out, prepare
 
-MOST_PER_LANGUAGE, MOST_DOCUMENTS = 1_000, 8_000
+MOST_PER_LANGUAGE, MOST_DOCUMENTS, MOST_LANGUAGES = 1_000, 8_000, 400
 DIMENSIONS = 4096
 UNKNOWN = "und"
 #: Families of ISO 639-1 codes. Any other label is a family of its own.
@@ -156,23 +156,31 @@ def train(x: np.ndarray, labels: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows with a language that aren't held out; texts without a letter teach nothing."""
+    """Learn from rows with a language that aren't held out.
+
+    Null texts, null languages and texts without a letter teach nothing; a null id counts as training data; rows
+    that repeat an id and a text count once, however often; very long texts are read whole; an empty table, or one
+    without languages, gives a model that names none. Other columns are ignored, whatever their names.
+    """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out("_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
+    rows = rows.withColumn("h", F.xxhash64("_id", "text", F.lit("sample")))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model()
     most = max(1, min(MOST_PER_LANGUAGE, MOST_DOCUMENTS // len(counts)))
-    rates = spark.createDataFrame([(c["lang"], min(1.0, most / c["n"])) for c in counts], "lang string, rate double")
-    unit = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(F.broadcast(rates), "lang").filter(unit < F.col("rate")).select("lang", "text")
+    # Some more than wanted pass by their hash; copies meet before the shuffle; then the count is exact.
+    rates = spark.createDataFrame([(c["lang"], min(1.0, 1.5 * most / c["n"])) for c in counts], "lang string, rate double")
+    drawn = rows.join(F.broadcast(rates), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+    distinct = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = distinct.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= most).select("lang", "text")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [(k, v.astype(np.float16).tobytes()) for k, t in zip(f["lang"], f["text"], strict=True) if (v := features(t)) is not None]
             yield pd.DataFrame(got, columns=["lang", "x"])
 
-    taken = sorted(sample.mapInPandas(task, "lang string, x binary").collect())  # about MOST_DOCUMENTS rows of 8 KB
+    taken = sorted(sample.mapInPandas(task, "lang string, x binary").collect())  # at most MOST_DOCUMENTS rows of 8 KB
     if not taken:
         return Model()
     x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in taken])
@@ -182,7 +190,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus struct ``language`` (lang_pred, score); a column of that name is replaced.
 
-    Null texts and texts without a letter, and all texts if nothing was learned, are ``und`` with score 0.
+    Null texts and texts without a letter, and all texts if nothing was learned, are ``und`` with score 0. Very long
+    texts are read whole; repeated rows get equal names; equal votes go to the greater sum of margins, then to the
+    language first in order; an empty table gives no rows; all other columns stay.
     """
     prepare(docs.sparkSession)
 
