@@ -114,8 +114,8 @@ def assign(cut: DataFrame, size: int = SIZE) -> DataFrame:
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     offsets = spark.createDataFrame(before, "length int, salt int, before bigint")
     ranked = salted.withColumn("n", F.row_number().over(w)).join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
-    # Slots of one length do not overlap: an array of them, searched within the row. It has as many
-    # entries as the plan has patterns, which the number of lengths bounds, not the corpus.
+    # Slots of one length don't overlap, so each piece meets one. The plan has a row for each length of each
+    # pattern; the number of lengths bounds the patterns, not the corpus.
     plan = spark.createDataFrame(slots, "length int, first bigint, last bigint, sequence bigint, offset bigint")
     where = (F.col("rank") >= F.col("first")) & (F.col("rank") <= F.col("last")) & (ranked.length == plan.length)
     placed = ranked.join(F.broadcast(plan), where).drop(plan.length)
@@ -125,7 +125,8 @@ def assign(cut: DataFrame, size: int = SIZE) -> DataFrame:
 def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per piece: doc_id, part, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are documents of the end id alone; repeated rows are packed each; null ids
-    are kept; other columns are ignored; an empty table gives no pieces.
+    Null and empty texts are documents of the end id alone; very long texts are encoded whole and cut into many
+    pieces; repeated rows are packed each; null ids are kept; other columns are ignored, whatever their names; an
+    empty table gives no pieces. ``vocabulary`` is a path that executors can read, or a public vocabulary's name.
     """
     return assign(materialize(pieces(docs, vocabulary, id_col, text_col, size), "pieces"), size)

@@ -58,7 +58,7 @@ def bloom_slots(keys: np.ndarray, n_bits: int) -> np.ndarray:
 
 def write_shard(uri: str, rows: Iterable[tuple[int | None, np.ndarray]], id_bytes: int) -> dict:
     """Write rows that come in ascending key order; returns the footer."""
-    index, ids, last, first = [], [], b"", b""
+    index, ids, last, first, least = [], [], b"", b"", None
     block, in_block, at, n_tokens, n_docs = bytearray(), 0, 0, 0, 0
     packer = zstandard.ZstdCompressor(level=1)
     kind = "<u2" if id_bytes == 2 else "<u4"
@@ -75,6 +75,7 @@ def write_shard(uri: str, rows: Iterable[tuple[int | None, np.ndarray]], id_byte
 
         for doc_id, values in rows:
             key = key_of(doc_id)
+            least = key if least is None else least
             if len(block) >= BLOCK_BYTES:
                 flush()
             if not in_block:
@@ -97,7 +98,7 @@ def write_shard(uri: str, rows: Iterable[tuple[int | None, np.ndarray]], id_byte
         packed = packer.compress(b"".join(index))
         footer = {
             "index": [at, len(packed)], "bloom": [at + len(packed), len(bloom)], "documents": n_docs, "tokens": n_tokens,
-            "blocks": len(index), "id_bytes": id_bytes, "first": key_of(ids[0] if ids else None).hex(), "last": last.hex(),
+            "blocks": len(index), "id_bytes": id_bytes, "first": (least or b"").hex(), "last": last.hex(),
         }
         tail = json.dumps(footer).encode()
         out.write(packed + bloom + tail + struct.pack("<I", len(tail)) + MAGIC)
@@ -142,13 +143,15 @@ class Shard:
             yield from self.block(i)
 
     def may_hold(self, doc_id: int | None) -> bool:
-        at, n = self.footer["bloom"]
+        at, _ = self.footer["bloom"]
         self.f.seek(at)
-        data = self.f.read(n)
-        n_bits = struct.unpack_from("<I", data)[0]
-        bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=4))
+        n_bits = struct.unpack("<I", self.f.read(4))[0]
         key = np.array([-(2**63) if doc_id is None else doc_id], dtype=np.int64)
-        return bool(bits[bloom_slots(key, n_bits).ravel().astype(np.int64)].all())
+        for slot in bloom_slots(key, n_bits).ravel().tolist():  # a byte of the file for each hash, most significant bit first
+            self.f.seek(at + 4 + slot // 8)
+            if not self.f.read(1)[0] >> (7 - slot % 8) & 1:
+                return False
+        return True
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every row with this key, in order; none if there is no such row."""
@@ -162,15 +165,17 @@ class Shard:
         return out
 
 
-MANIFEST = "shard int, path string, documents bigint, tokens bigint"
+#: ``first`` and ``last`` are the least and greatest key of a shard, as hex text.
+MANIFEST = "shard int, path string, documents bigint, tokens bigint, first string, last string"
 ROWS = "shard int, position bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Tokenise ``docs`` into shards; returns the manifest (shard, path, documents, tokens), one row per shard.
+    """Tokenise ``docs`` into shards; returns the manifest (shard, path, documents, tokens, first, last), one row per shard.
 
-    Null texts count as empty, null ids come first, equal ids lie together in the order of their
-    text hashes, other columns are ignored. An empty table gives an empty manifest.
+    Null texts count as empty, null ids come first, equal ids and repeated rows lie together in the order of their
+    text hashes; very long texts are encoded whole; other columns are ignored, whatever their names. An empty table
+    gives an empty manifest. ``vocabulary`` is a path that executors can read, or a public vocabulary's name.
     """
     spark = prepare(docs.sparkSession)
     folder = shared_dir(spark, "tokens")
@@ -198,7 +203,10 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
             path = f"{folder}/shard-{shard:05d}.sst"
             footer = write_shard(path, chain([head], stream), 4 if wide else 2)
             yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int32()), "path": [path], "documents": pa.array([footer["documents"]], pa.int64()), "tokens": pa.array([footer["tokens"]], pa.int64())}
+                {
+                    "shard": pa.array([shard], pa.int32()), "path": [path], "documents": pa.array([footer["documents"]], pa.int64()),
+                    "tokens": pa.array([footer["tokens"]], pa.int64()), "first": [footer["first"]], "last": [footer["last"]],
+                }
             )
 
     return spark.createDataFrame(rows.select("doc_id", "text").mapInArrow(task, MANIFEST).collect(), MANIFEST)
@@ -239,9 +247,9 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[list[int]]:
-    """Ids of each row with this key, found by Bloom filter and binary search in every shard."""
-    found = []
-    for m in sorted(manifest.collect(), key=lambda m: m["shard"]):
+    """Ids of each row with this key: of the shards whose range holds it, by Bloom filter and binary search in each."""
+    key, found = key_of(doc_id).hex(), []
+    for m in manifest.filter((F.col("first") <= key) & (F.col("last") >= key)).orderBy("shard").collect():  # one, or the shards over which a repeated id goes on
         with files.opened(m["path"]) as f:
             found += [x.tolist() for x in Shard(f).get(doc_id)]
     return found

@@ -96,20 +96,29 @@ class Encoder:
                 del known[c]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; workers are reused, so the file is read once in each."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def resolved(vocabulary: str) -> str:
+    """The file of a vocabulary: a name without a folder is looked up where this very process has the public ones."""
+    if "/" in vocabulary:
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(vocabulary)
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder for a vocabulary; workers are reused, so the file is read once in each."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(resolved(vocabulary))
+    return _encoders[vocabulary]
 
 
 #: Characters of text that are cut into chunks at a time.
 AT_ONCE = 2_000_000
 
 
-def documents(texts: Iterable[str | None], path: str, end: int = END) -> Iterable[np.ndarray]:
+def documents(texts: Iterable[str | None], vocabulary: str, end: int = END) -> Iterable[np.ndarray]:
     """Ids of each text with the end id; null counts as empty."""
-    e, tail, part, size = encoder(path), np.array([end], dtype="<u4").tobytes(), [], 0
+    e, tail, part, size = encoder(vocabulary), np.array([end], dtype="<u4").tobytes(), [], 0
     for t in chain(texts, [...]):
         if part and (t is ... or size >= AT_ONCE):
             for ids in e.encode(part):
@@ -125,7 +134,5 @@ def crc(ids: np.ndarray) -> int:
 
 
 def vocabulary(name: str) -> str:
-    """Where a public vocabulary file lies on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+    """A public vocabulary by its name: each process finds the file where it has it, so nothing of the driver's paths travels."""
+    return name
