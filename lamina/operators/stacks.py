@@ -1,78 +1,127 @@
-"""Operators on whole stacks, by grouped maps.
+"""Operators on whole stacks: what needs one frame runs per frame, what needs all of them is an aggregate.
 
-A stack is one group of frames: some dozens, bounded by what a camera takes of one scene, so it fits
-a task. Work on positions alone is in ``maps``; here is what needs the order of decisions.
+Maps are rows (g group, f frame, m values of a square map). Registration, measures and weights work on batches
+of frames; owners, blends and medians are grouped aggregates over positions; a group's label map, whose size is
+that of one frame, is one row. Only the greedy and ordering steps see a whole stack: ``per_stack`` refuses one
+that has no place in a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lamina.functions import kernels
+from lamina.functions import align, cover, kernels
+from lamina.operators import maps as dense
 
-Strategy = Callable[[np.ndarray], np.ndarray]
-#: Fusion strategies by name: frames x h x w to h x w. ``register_strategy`` adds to it.
-STRATEGIES: dict[str, Strategy] = {}
+#: Bytes that a stack, or the matrix of its pairs of frames, may have in one task.
+MOST_BYTES = 1 << 30
 
 
-def register_strategy(name: str) -> Callable[[Strategy], Strategy]:
-    def keep(f: Strategy) -> Strategy:
-        STRATEGIES[name] = f
-        return f
+def square(m: np.ndarray) -> np.ndarray:
+    n = int(np.sqrt(len(m)))
+    return np.asarray(m, float)[: n * n].reshape(n, n)
 
-    return keep
 
+def images_of(column: pd.Series) -> np.ndarray:
+    """Frames with values 0..1 of equally long maps of codes."""
+    return np.stack([square(m) for m in column]) / 65535
 
-def sharpness(stack: np.ndarray) -> np.ndarray:
-    return np.stack([kernels.gaussian(np.abs(kernels.laplacian(x)), 1.0) for x in stack])
 
+def framewise(rows: DataFrame, schema: str, work: Callable[[pd.DataFrame], list[list]]) -> DataFrame:
+    """``work`` on batches of rows whose maps are of one size; returns columns in the order of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-@register_strategy("quality")
-def fuse_quality(stack: np.ndarray) -> np.ndarray:
-    """Hard owners by sharpness, feathered."""
-    w = kernels.feather(sharpness(stack).argmax(axis=0), len(stack))
-    return (w * stack).sum(axis=0)
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for _, part in pdf.groupby(pdf["m"].map(len), sort=False):
+                columns = work(part.reset_index(drop=True))
+                yield pd.DataFrame(dict(zip(names, columns, strict=True)))
 
+    return rows.mapInPandas(task, schema)
 
-@register_strategy("ai")
-def fuse_soft(stack: np.ndarray) -> np.ndarray:
-    """Softmax of responses at two scales: the stand-in where no network's weights are given."""
-    response = (sharpness(stack) + np.stack([kernels.texture_energy(x) for x in stack])) / 2
-    e = np.exp((response - response.max(axis=0)) / max(float(response.std()), 1e-6))
-    return (e / e.sum(axis=0) * stack).sum(axis=0)
 
+def per_stack(rows: DataFrame, schema: str, work: Callable[[int, pd.DataFrame], list[tuple]]) -> DataFrame:
+    """``work(group, frames in order)`` for each stack of (g, f, m, ...) rows; a stack beyond ``MOST_BYTES`` is an error."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-STRATEGIES["fast"] = STRATEGIES["ai"]
+    def task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        if 8 * n * max(n, len(pdf["m"].iloc[0])) > MOST_BYTES:
+            raise ValueError(f"the stack of group {key[0]} has {n} frames; it and the matrix of its pairs may have {MOST_BYTES} bytes: split the group")
+        return pd.DataFrame(work(key[0], pdf.sort_values("f", ignore_index=True)), columns=names)
 
+    return rows.groupBy("g").applyInPandas(task, schema)
 
-def stack_of(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["m"].to_numpy())
 
+def with_reference(maps: DataFrame, order: str = "f") -> DataFrame:
+    """``maps`` plus ``ref``, the map of the group's first frame by ``order``, ties to the lowest frame.
 
-def per_stack(maps: DataFrame, schema: str, work: Callable[[int, pd.DataFrame], list[tuple]]) -> DataFrame:
-    """``work(group, frames in order)`` for each stack of (g, f, m) rows."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    The reference travels to its group's frames by a join; adaptive execution may split a large group.
+    """
+    refs = maps.groupBy("g").agg(F.min_by("m", F.struct(F.expr(order), "f")).alias("ref"))
+    return maps.join(refs, "g")
+
+
+REGISTERED = "g int, f bigint, transform array<double>, correlation double, model string, accepted boolean, m array<double>"
+
+
+def registered(with_ref: DataFrame) -> DataFrame:
+    """Each frame against its group's ``ref``: transform, correlation, model, whether it passes the gates, and the warped map."""
+
+    def work(pdf: pd.DataFrame) -> list[list]:
+        moving, fixed = images_of(pdf["m"]), images_of(pdf["ref"])
+        t, c, model = align.register(fixed, moving)
+        warped = np.rint(align.warp(moving, t) * 65535)
+        return [pdf["g"], pdf["f"], list(t.reshape(len(t), 6)), c, model, align.accepted(t, c), list(warped.reshape(len(t), -1))]
+
+    return framewise(with_ref, REGISTERED, work)
 
-    def task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(work(key[0], pdf.sort_values("f", ignore_index=True)), columns=names)
 
-    return maps.groupBy("g").applyInPandas(task, schema)
+def registration(maps: DataFrame) -> DataFrame:
+    """Each frame against the first of its group: affine terms, correlation, model, whether it passes the gates."""
+    return registered(with_reference(maps)).drop("m")
+
+
+def with_quality(maps: DataFrame) -> DataFrame:
+    """``maps`` plus ``quality``, a frame's score by ``kernels.image_quality``."""
+    return framewise(
+        maps.select("g", "f", "m"), "g int, f bigint, m array<double>, quality double",
+        lambda pdf: [pdf["g"], pdf["f"], pdf["m"], [kernels.image_quality(x) for x in images_of(pdf["m"])]],
+    )
+
+
+def focus_maps(rows: DataFrame) -> DataFrame:
+    """(g, f, quality, m): the focus map of each frame as values 0..1."""
+    return framewise(
+        rows.select("g", "f", "quality", "m"), "g int, f bigint, quality double, m array<double>",
+        lambda pdf: [pdf["g"], pdf["f"], pdf["quality"], [kernels.focus_map(x).ravel() for x in images_of(pdf["m"])]],
+    )
+
+
+def stack_of(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["m"].to_numpy())
 
 
 def whole_frame_selection(maps: DataFrame) -> DataFrame:
-    """Production selector: quality, reference with most mean focus, coverage."""
+    """Production selector: quality, the best frame as reference, registration to it, coverage of the registered focus maps.
+
+    The reference always stays; a frame without finite values is passed over.
+    """
+    rated = with_quality(maps)
+    moved = registered(with_reference(rated, "-quality")).select("g", "f", "m").join(rated.select("g", "f", "quality"), ["g", "f"])
 
     def work(g, pdf):
-        x = stack_of(pdf) / 65535
-        quality = x.mean(axis=1)
-        chosen, gains, covered = kernels.greedy_coverage(x, quality, np.zeros(len(x), bool), int(quality.argmax()))
-        return [(g, int(f), i in chosen, float(gains.get(i, 0.0)), covered) for i, f in enumerate(pdf["f"])]
+        x, quality = stack_of(pdf), pdf["quality"].to_numpy()
+        reference = int(quality.argmax())
+        choice = cover.near_best(np.nan_to_num(x), quality, ~np.isfinite(x).all(axis=1))
+        return [(g, int(f), i in choice.taken or i == reference, choice.gains.get(i, 0.0) if i in choice.taken else 0.0, choice.covered) for i, f in enumerate(pdf["f"])]
 
-    return per_stack(maps, "g int, f bigint, selected boolean, gain double, coverage double", work)
+    return per_stack(focus_maps(moved), "g int, f bigint, selected boolean, gain double, coverage double", work)
 
 
 def library_selection(maps: DataFrame, target: float = 0.995) -> DataFrame:
@@ -80,17 +129,21 @@ def library_selection(maps: DataFrame, target: float = 0.995) -> DataFrame:
 
     def work(g, pdf):
         x = stack_of(pdf) / 65535
-        chosen, gains, reasons, covered = kernels.library_coverage(x, x.mean(axis=1), target)
-        place = {i: k for k, i in enumerate(kernels.nearest_order(chosen, x))}
-        return [(g, int(f), place.get(i), float(gains[i]), reasons[i], covered) for i, f in enumerate(pdf["f"])]
+        choice = cover.library(x, x.mean(axis=1), target)
+        place = {i: k for k, i in enumerate(kernels.nearest_order(choice.taken, x))}
+        return [(g, int(f), place.get(i), choice.gains.get(i, 0.0) if i in place or i == choice.refused else 0.0, choice.reason(i), choice.covered) for i, f in enumerate(pdf["f"])]
 
     return per_stack(maps, "g int, f bigint, place int, gain double, reason string, coverage double", work)
 
 
+#: Least similarity of a map to the head of its cluster, for these maps.
+CLUSTER = 0.62
+
+
 def focus_clusters(maps: DataFrame) -> DataFrame:
     def work(g, pdf):
         x = stack_of(pdf) / 65535
-        label, heads = kernels.clusters(x, x.mean(axis=1), lambda a, b: kernels.similarity(a, b) >= 0.62)
+        label, heads = kernels.clusters(x, x.mean(axis=1), lambda a, b: kernels.similarity(a, b) >= CLUSTER)
         return [(g, int(f), label[i], heads[label[i]] == i) for i, f in enumerate(pdf["f"])]
 
     return per_stack(maps, "g int, f bigint, cluster int, representative boolean", work)
@@ -118,62 +171,230 @@ def anchor_split(maps: DataFrame) -> DataFrame:
     return per_stack(maps, "g int, f bigint, scene int", work)
 
 
-def square(m: np.ndarray) -> np.ndarray:
-    n = int(np.sqrt(len(m)))
-    return m[: n * n].reshape(n, n)
+# Fusion: a strategy takes (g, f, m) and returns (g, p, fused).
 
+Strategy = Callable[[DataFrame], DataFrame]
+#: Fusion strategies by name. ``register_strategy`` adds to it.
+STRATEGIES: dict[str, Strategy] = {}
 
-def fuse(maps: DataFrame, strategy: str) -> DataFrame:
-    """Fused map of each stack by a registered strategy."""
-    chosen = STRATEGIES[strategy]
 
-    def work(g, pdf):
-        stack = np.stack([square(m) for m in stack_of(pdf) / 65535])
-        return [(g, p, float(v)) for p, v in enumerate(chosen(stack).ravel())]
+def register_strategy(name: str) -> Callable[[Strategy], Strategy]:
+    """Give a function from (g, f, m) to (g, p, fused) a name: a new fusion strategy."""
 
-    return per_stack(maps, "g int, p int, fused double", work)
+    def keep(f: Strategy) -> Strategy:
+        STRATEGIES[name] = f
+        return f
 
+    return keep
 
-def registration(maps: DataFrame) -> DataFrame:
-    """Each frame against the first: affine terms, correlation, whether it passes the gates."""
 
-    def work(g, pdf):
-        frames = [square(m) / 65535 for m in pdf["m"]]
-        out = []
-        for f, x in zip(pdf["f"], frames):
-            t, c = kernels.register(frames[0], x)
-            scale = float(np.sqrt(abs(t[0, 0] * t[1, 1] - t[0, 1] * t[1, 0])))
-            out.append((g, int(f), t.ravel().tolist(), c, c >= 0.90 and 0.8 <= scale <= 1.25))
-        return out
+def sharpness(image: np.ndarray) -> np.ndarray:
+    return kernels.gaussian(np.abs(kernels.laplacian(image)), 1.0)
 
-    return per_stack(maps, "g int, f bigint, transform array<double>, correlation double, accepted boolean", work)
 
+def measured(maps: DataFrame, measure: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(g, f, p, v, s): each frame's values and its measure, by position."""
+    rows = framewise(
+        maps.select("g", "f", "m"), "g int, f bigint, v array<double>, s array<double>",
+        lambda pdf: [pdf["g"], pdf["f"], *zip(*[(x.ravel(), measure(x).ravel()) for x in images_of(pdf["m"])], strict=True)],
+    )
+    return rows.select("g", "f", F.posexplode(F.arrays_zip("v", "s")).alias("p", "z")).select("g", "f", "p", "z.v", "z.s")
 
-def frame_features(maps: DataFrame) -> DataFrame:
-    """Per frame: perceptual hash, components of strong support, axis, focus and texture, residual shift to the first."""
 
-    def work(g, pdf):
-        first, out = square(pdf["m"][0]) / 65535, []
-        for f, m in zip(pdf["f"], pdf["m"]):
-            x = square(m) / 65535
-            labels, n = kernels.components(kernels.strong(x))
-            largest = max((s[1] for s in kernels.component_stats(labels, n)), default=0)
-            angle, major, minor = kernels.principal_axis(labels > 0)
-            dy, dx, peak = kernels.phase_shift(first, x)
-            out.append((g, int(f), kernels.perceptual_hash(x), n, largest, angle, major, minor, float(kernels.focus_map(x).mean()), float(kernels.texture_energy(x).mean()), dy, dx, peak))
-        return out
+def label_maps(owners: DataFrame, column: str) -> DataFrame:
+    """(g, labels): a group's label map as one row; it has as many entries as a frame has positions."""
+    return owners.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", column))), lambda x: x[column]).alias("labels"))
 
-    return per_stack(maps, "g int, f bigint, hash bigint, components int, largest int, angle double, major double, minor double, focus double, texture double, dy double, dx double, peak double", work)
 
+def regularised(labels: DataFrame, least: int = 8) -> DataFrame:
+    """Label maps whose small regions took the label around them."""
 
-def background_owner(maps: DataFrame, least: int = 6) -> DataFrame:
-    """Owners with large flat regions locked to the frame of median tone."""
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"g": pdf["g"], "labels": [kernels.settled(square(x).astype(np.int64), least).ravel() for x in pdf["labels"]]})
 
-    def work(g, pdf):
-        stack = np.stack([square(m) for m in stack_of(pdf) / 65535])
-        s = sharpness(stack)
-        flat = s.max(axis=0) < np.percentile(s.max(axis=0), 40)
-        owner = kernels.stable_background(s.argmax(axis=0), stack, flat, least)
-        return [(g, p, int(pdf["f"][o])) for p, o in enumerate(owner.ravel())]
+    return labels.select("g", "labels").mapInPandas(task, "g int, labels array<bigint>")
+
+
+def owner_labels(maps: DataFrame, least: int = 8) -> DataFrame:
+    """(g, labels): the sharpest frame of each position, small regions settled. Warped frames in, one row per group out."""
+    return regularised(label_maps(dense.owner(measured(maps, sharpness), ["g", "p"], "f", "s"), "owner"), least)
+
+
+def blended(maps: DataFrame, labels: DataFrame, weigh: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(g, p, fused): frames weighted by their part of the label map; frames that own no position don't take part."""
+    used = labels.select("g", F.explode(F.array_distinct("labels")).alias("f"))
+    rows = maps.join(used, ["g", "f"], "left_semi").join(labels, "g")
+
+    def work(pdf: pd.DataFrame) -> list[list]:
+        out = [(x.ravel(), weigh(square(own).astype(np.int64), int(f)).ravel()) for x, own, f in zip(images_of(pdf["m"]), pdf["labels"], pdf["f"], strict=True)]
+        return [pdf["g"], *zip(*out, strict=True)]
+
+    long = framewise(rows.select("g", "f", "m", "labels"), "g int, v array<double>, w array<double>", work)
+    px = long.select("g", F.posexplode(F.arrays_zip("v", "w")).alias("p", "z")).select("g", "p", "z.v", "z.w")
+    return px.groupBy("g", "p").agg((F.sum(F.col("w") * F.col("v")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("fused"))
+
+
+def feathered(labels: np.ndarray, frame: int) -> np.ndarray:
+    return kernels.gaussian((labels == frame).astype(float), 1.0)
+
+
+def narrowed(labels: np.ndarray, frame: int) -> np.ndarray:
+    """Hard but next to a change of owner."""
+    return kernels.narrow(labels, np.array([frame, *[v for v in np.unique(labels) if v != frame]]))[0]
+
+
+@register_strategy("quality")
+def fuse_quality(maps: DataFrame) -> DataFrame:
+    """Frames warped to the first, hard owners by sharpness, small regions settled, feathered."""
+    moved = registered(with_reference(maps)).select("g", "f", "m")
+    return blended(moved, owner_labels(moved), feathered)
+
+
+@register_strategy("narrow")
+def fuse_narrow(maps: DataFrame) -> DataFrame:
+    """As ``quality``, but owners are copied exactly and only seams are feathered."""
+    moved = registered(with_reference(maps)).select("g", "f", "m")
+    return blended(moved, owner_labels(moved), narrowed)
+
+
+#: A model: an image to its response at each position. Weights are the caller's; see ``onnx_model``.
+Model = Callable[[np.ndarray], np.ndarray]
+TILE, OVERLAP = 512, 64
+SCALES = (1, 2)
+
+
+def response_model(image: np.ndarray) -> np.ndarray:
+    """The stand-in where no network's weights are given: sharpness and texture."""
+    return (sharpness(image) + kernels.texture_energy(image)) / 2
+
+
+def tile_starts(size: int, tile: int = TILE, overlap: int = OVERLAP) -> list[int]:
+    """First places of overlapping tiles, the last flush with the edge."""
+    stride = max(64, tile - overlap)
+    return sorted({min(k, max(0, size - tile)) for k in range(0, max(1, size - tile + stride), stride)})
+
+
+def tiled(model: Model, image: np.ndarray, tile: int = TILE, overlap: int = OVERLAP) -> np.ndarray:
+    """A model's response from tiles, so that its memory is bounded; overlaps are averaged with weights that fall to the tile's edge."""
+    h, w = image.shape
+    total, mass = np.zeros((h, w)), np.zeros((h, w))
+    for y in tile_starts(h, tile, overlap):
+        for x in tile_starts(w, tile, overlap):
+            part = image[y : y + tile, x : x + tile]
+            ramp = lambda n: np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)) / max(1, overlap), 1.0)
+            weight = np.outer(ramp(part.shape[0]), ramp(part.shape[1]))
+            total[y : y + tile, x : x + tile] += weight * model(part)
+            mass[y : y + tile, x : x + tile] += weight
+    return total / mass
 
-    return per_stack(maps, "g int, p int, owner bigint", work)
+
+def at_scales(model: Model, image: np.ndarray, scales: tuple[int, ...] = SCALES) -> np.ndarray:
+    """Mean response over sizes: the image at its own size and shrunk by whole factors, brought back."""
+    h, w = image.shape
+    out = np.zeros((h, w))
+    for s in scales:
+        small = image if s == 1 else kernels.resize(image, max(1, h // s), max(1, w // s))
+        back = tiled(model, small)
+        out += back if s == 1 else kernels.resize(back, h, w)
+    return out / len(scales)
+
+
+#: Providers in order of preference.
+PROVIDERS = ("CUDAExecutionProvider", "DmlExecutionProvider", "CPUExecutionProvider")
+_sessions: dict[str, object] = {}
+
+
+def onnx_model(path: str) -> Model:
+    """A network that takes (1, 1, h, w) and returns as many responses; the session is made once in each worker."""
+
+    def run(image: np.ndarray) -> np.ndarray:
+        if path not in _sessions:
+            import onnxruntime
+
+            there = set(onnxruntime.get_available_providers())
+            _sessions[path] = onnxruntime.InferenceSession(path, providers=[p for p in PROVIDERS if p in there])
+        session = _sessions[path]
+        wide = kernels.padded(image.astype(np.float32))
+        out = session.run(None, {session.get_inputs()[0].name: wide[None, None]})[0]
+        return np.asarray(out, float).reshape(wide.shape)[: image.shape[0], : image.shape[1]]
+
+    return run
+
+
+def fuse_by_model(maps: DataFrame, model: Model = response_model) -> DataFrame:
+    """Softmax of a model's responses over the frames of each position, tempered by the group's deviation."""
+    px = measured(registered(with_reference(maps)).select("g", "f", "m"), lambda x: at_scales(model, x))
+    spread = px.groupBy("g").agg(F.greatest(F.stddev_pop("s"), F.lit(1e-6)).alias("scale"))
+    top = px.groupBy("g", "p").agg(F.max("s").alias("top"))
+    e = F.exp((F.col("s") - F.col("top")) / F.col("scale"))
+    return px.join(top, ["g", "p"]).join(spread, "g").groupBy("g", "p").agg((F.sum(e * F.col("v")) / F.sum(e)).alias("fused"))
+
+
+@register_strategy("ai")
+def fuse_soft(maps: DataFrame) -> DataFrame:
+    return fuse_by_model(maps)
+
+
+STRATEGIES["fast"] = STRATEGIES["ai"]
+
+
+def fuse(maps: DataFrame, strategy: str) -> DataFrame:
+    """Fused map of each stack by a registered strategy; an unknown name is an error."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy named {strategy}; there are {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy](maps)
+
+
+FEATURES = (
+    "g int, f bigint, hash bigint, components int, largest int, angle double, major double, minor double, focus double, texture double, corners int, histogram array<double>, "
+    "dy double, dx double, peak double"
+)
+
+
+def frame_features(maps: DataFrame) -> DataFrame:
+    """Per frame: perceptual hash, components of strong support, axis, focus, texture, corners, histogram, residual shift to the first frame."""
+
+    def work(pdf: pd.DataFrame) -> list[list]:
+        x, out = images_of(pdf["m"]), []
+        shifts = align.phase_shifts(images_of(pdf["ref"]), x)
+        for a in x:
+            labels, n = kernels.components(kernels.strong(a))
+            largest = max((s[1] for s in kernels.component_stats(labels, n)), default=0)
+            out.append((kernels.perceptual_hash(a), n, largest, *kernels.principal_axis(labels > 0), kernels.focus_map(a).mean(), kernels.texture_energy(a).mean(), len(align.corners(a)), kernels.histogram(a)))
+        return [pdf["g"], pdf["f"], *zip(*out, strict=True), *shifts.T]
+
+    return framewise(with_reference(maps), FEATURES, work)
+
+
+def residual_diagnostics(features: DataFrame, reliable: float = 0.1) -> DataFrame:
+    """(g, n, residual): the median length of the shifts whose correlation peak is reliable; null without one."""
+    good = F.col("peak") >= reliable
+    return features.groupBy("g").agg(F.count_if(good).alias("n"), F.percentile(F.when(good, F.hypot("dy", "dx")), 0.5).alias("residual"))
+
+
+def background_owner(maps: DataFrame, least: int = 6, share: float = 0.4) -> DataFrame:
+    """Owners with large flat regions locked to the frame of median tone, the lowest of equals.
+
+    Flat are positions whose best sharpness is below the group's ``share`` quantile; regions of ``least`` positions count.
+    """
+    px = measured(maps, sharpness)
+    owners = dense.owner(px, ["g", "p"], "f", "s")
+    limit = owners.groupBy("g").agg(F.percentile("best", share).alias("t"))
+    flat = owners.join(limit, "g").select("g", "p", (F.col("best") < F.col("t")).cast("int").alias("flat"))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for g, x in zip(pdf["g"], pdf["labels"], strict=True):
+                regions, n = kernels.components(square(x) > 0)
+                big = [s[0] for s in kernels.component_stats(regions, n) if s[1] >= least]
+                out += [(g, int(p), int(r)) for p, r in enumerate(regions.ravel()) if r in big]
+            yield pd.DataFrame(out, columns=["g", "p", "region"])
+
+    regions = label_maps(flat, "flat").mapInPandas(task, "g int, p int, region int")
+    tones = px.join(regions, ["g", "p"]).groupBy("g", "region", "f").agg(F.avg("v").alias("tone"))
+    middle = tones.groupBy("g", "region").agg(F.percentile("tone", 0.5).alias("middle"))
+    anchors = tones.join(middle, ["g", "region"]).groupBy("g", "region").agg(F.min_by("f", F.struct(F.abs(F.col("tone") - F.col("middle")), "f")).alias("anchor"))
+    locked = regions.join(anchors, ["g", "region"]).select("g", "p", "anchor")
+    return owners.join(locked, ["g", "p"], "left").select("g", "p", F.coalesce("anchor", "owner").alias("owner"))

@@ -40,7 +40,7 @@ def softmax_frames(spark, sf):
     return maps.softmax(pixels(spark, sf), ["g", "p"], "q", 5000.0, frame_valid()).select("g", "f", "p", F.round("weight", 8).alias("weight"))
 
 
-@query("valid_renormalise", f"""WITH m AS (SELECT g, f, p, {VALID} AS ok, CASE WHEN {VALID} THEN q::DOUBLE ELSE 0 END AS m FROM ({PX_SQL}) WHERE f % 3 = 0)
+@query("valid_renormalise", f"""WITH m AS (SELECT g, f, p, {VALID} AS ok, CASE WHEN {VALID} THEN q::DOUBLE ELSE 0 END AS m FROM ({PX_SQL}))
     SELECT g, f, p, round(CASE WHEN sum(m) OVER w > 0 THEN m / sum(m) OVER w WHEN count_if(ok) OVER w > 0 THEN ok::INT / count_if(ok) OVER w ELSE 0 END, 9) AS weight FROM m WINDOW w AS (PARTITION BY g, p)""")
 def valid_renormalise(spark, sf):
     px = pixels(spark, sf).withColumn("weight", F.col("q").cast("double"))
@@ -415,7 +415,7 @@ def texture_rois(spark, sf):
     return t.withColumn("k", F.row_number().over(w)).filter("k <= 6").select("f", "patch", "texture")
 
 
-@query("nearest_edge", f"WITH px AS (SELECT g, f, p % 8 AS x, p // 8 AS y, p, q FROM ({PX_SQL}) WHERE f % 10 = 0), e AS (SELECT * FROM px WHERE q > 15000) SELECT px.f, px.p, arg_min(e.q, ((px.x - e.x) * (px.x - e.x) + (px.y - e.y) * (px.y - e.y), e.y, e.x)) AS strength FROM px JOIN e ON px.f = e.f AND abs(px.x - e.x) <= 2 AND abs(px.y - e.y) <= 2 GROUP BY px.f, px.p")
+@query("nearest_edge", f"WITH px AS (SELECT g, f, p % 8 AS x, p // 8 AS y, p, q FROM ({PX_SQL})), e AS (SELECT * FROM px WHERE q > 15000) SELECT px.f, px.p, arg_min(e.q, ((px.x - e.x) * (px.x - e.x) + (px.y - e.y) * (px.y - e.y), e.y, e.x)) AS strength FROM px JOIN e ON px.f = e.f AND abs(px.x - e.x) <= 2 AND abs(px.y - e.y) <= 2 GROUP BY px.f, px.p")
 def nearest_edge(spark, sf):
     """Strength of the nearest edge position within two steps: edges are sent to the places they reach."""
     px = pixels(spark, sf).select("f", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "q")
@@ -426,7 +426,7 @@ def nearest_edge(spark, sf):
     return sent.groupBy("f", "p").agg(F.min_by("q", "k").alias("strength"))
 
 
-@query("owner_propagation", f"WITH px AS (SELECT f, p % 8 AS x, p // 8 AS y, p, q FROM ({PX_SQL}) WHERE f % 10 = 0), m AS (SELECT p, max(q) AS top FROM px GROUP BY p), s AS (SELECT px.* FROM px JOIN m USING (p) WHERE q >= 0.5 * top) SELECT a.f AS f, a.p, arg_min(s.f, ((a.x - s.x) * (a.x - s.x) + (a.y - s.y) * (a.y - s.y), s.f)) AS owner FROM px a JOIN s ON abs(a.x - s.x) <= 1 AND abs(a.y - s.y) <= 1 GROUP BY a.f, a.p")
+@query("owner_propagation", f"WITH px AS (SELECT f, p % 8 AS x, p // 8 AS y, p, q FROM ({PX_SQL})), m AS (SELECT p, max(q) AS top FROM px GROUP BY p), s AS (SELECT px.* FROM px JOIN m USING (p) WHERE q >= 0.5 * top) SELECT a.f AS f, a.p, arg_min(s.f, ((a.x - s.x) * (a.x - s.x) + (a.y - s.y) * (a.y - s.y), s.f)) AS owner FROM px a JOIN s ON abs(a.x - s.x) <= 1 AND abs(a.y - s.y) <= 1 GROUP BY a.f, a.p")
 def owner_propagation(spark, sf):
     """Every position takes the nearest seed's owner; seeds hold half of the local best."""
     px = pixels(spark, sf).select("f", "p", "q")

@@ -103,7 +103,7 @@ def ownership_veto(spark, sf):
     return base.join(evidence, ["g", "p"], "left").select("g", "p", F.when(F.col("strength") >= 0.8 * F.col("best"), F.col("strong")).otherwise(F.col("owner")).alias("owner"))
 
 
-@query("silhouette_residual", f"""WITH px AS (SELECT f, p % 8 AS x, p // 8 AS y, q FROM ({PX_SQL}) WHERE f < 40), e AS (SELECT * FROM px WHERE q > 14000), r AS (SELECT x, y FROM e WHERE f = (SELECT min(f) FROM px)),
+@query("silhouette_residual", f"""WITH px AS (SELECT f, p % 8 AS x, p // 8 AS y, q FROM ({PX_SQL})), e AS (SELECT * FROM px WHERE q > 14000), r AS (SELECT x, y FROM e WHERE f = (SELECT min(f) FROM px)),
     d AS (SELECT e.f, e.x, e.y, min(sqrt((e.x - r.x) * (e.x - r.x) + (e.y - r.y) * (e.y - r.y))) AS d FROM e, r GROUP BY e.f, e.x, e.y) SELECT f, round(quantile_cont(d, 0.95), 9) AS residual FROM d GROUP BY f""")
 def silhouette_residual(spark, sf):
     """95th percentile of the distance from each outline position to the reference outline.

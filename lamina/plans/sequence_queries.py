@@ -161,7 +161,7 @@ def backend_alias(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.element_at(alias, F.lower(F.trim(name))), F.raise_error(F.lit("unknown engine"))).alias("engine"))
 
 
-@query("list_filter", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END NULLS LAST, event_id) AS k FROM events WHERE event_type = 'click' AND user_id < 50")
+@query("list_filter", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END NULLS LAST, event_id) AS k FROM events WHERE event_type = 'click'")
 def list_filter(spark, sf):
     """Optional equality predicates, ANDed; order with nulls last."""
     e = table(spark, sf, "events").filter(F.col("event_type") == "click")
@@ -260,14 +260,14 @@ def index_pairs(m, allowed):
     return a.join(b, "g").filter("i < j").filter(allowed).select("g", "i", "j")
 
 
-@query("pairwise_join", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 5 OR b.i - a.i <= 4 OR a.i IN (0, a.n // 4, a.n // 2, 3 * a.n // 4, a.n - 1) OR b.i IN (0, a.n // 4, a.n // 2, 3 * a.n // 4, a.n - 1))")
+@query("pairwise_join", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 40 OR b.i - a.i <= 4 OR a.i IN (0, a.n // 4, a.n // 2, 3 * a.n // 4, a.n - 1) OR b.i IN (0, a.n // 4, a.n // 2, 3 * a.n // 4, a.n - 1))")
 def pairwise_join(spark, sf):
     """All pairs of small groups; in larger ones near neighbours and five hubs."""
     hubs = "(0, n div 4, n div 2, 3 * n div 4, n - 1)"
     return index_pairs(indexed(spark, sf), f"n <= 40 or j - i <= 4 or i in {hubs} or j in {hubs}")
 
 
-@query("pair_sampling", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 6 OR b.i - a.i <= 3 OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i % 2 = 0) OR (b.i IN (0, a.n // 2, a.n - 1) AND a.i % 2 = 0) OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i IN (0, a.n // 2, a.n - 1)))")
+@query("pair_sampling", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 24 OR b.i - a.i <= 3 OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i % 2 = 0) OR (b.i IN (0, a.n // 2, a.n - 1) AND a.i % 2 = 0) OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i IN (0, a.n // 2, a.n - 1)))")
 def pair_sampling(spark, sf):
     hubs = "(0, n div 2, n - 1)"
     return index_pairs(indexed(spark, sf), f"n <= 24 or j - i <= 3 or (i in {hubs} and j % 2 = 0) or (j in {hubs} and i % 2 = 0) or (i in {hubs} and j in {hubs})")

@@ -26,8 +26,10 @@ def focus_clusters(spark, sf):
 
 @query("dedup_keep_best")
 def dedup_keep_best(spark, sf):
-    """The representative of each cluster, in the order of frames."""
-    return stacks.focus_clusters(maps(spark, sf)).filter("representative").select("g", "f", "cluster")
+    """The representative of each cluster, in the order of frames, and why it stays."""
+    kept = stacks.focus_clusters(maps(spark, sf)).groupBy("g", "cluster").agg(F.max(F.when(F.col("representative"), F.col("f"))).alias("f"), F.count("*").alias("n"))
+    reason = F.when(F.col("n") == 1, "only frame of its cluster").otherwise(F.concat(F.lit("best of "), F.col("n").cast("string"), F.lit(" alike")))
+    return kept.select("g", "f", "cluster", reason.alias("reason"))
 
 
 @query("alignment_order")
@@ -60,12 +62,33 @@ def frame_features(spark, sf):
     return stacks.frame_features(maps(spark, sf))
 
 
+@query("residual_diagnostics")
+def residual_diagnostics(spark, sf):
+    return stacks.residual_diagnostics(stacks.frame_features(maps(spark, sf)))
+
+
+@query("fuse_narrow")
+def fuse_narrow(spark, sf):
+    return stacks.fuse(maps(spark, sf), "narrow")
+
+
+@query("settled_owner")
+def settled_owner(spark, sf):
+    """Owner maps with regions of up to eight positions given to the label around them."""
+    return stacks.owner_labels(maps(spark, sf)).select("g", F.posexplode("labels").alias("p", "owner"))
+
+
+@query("scored_frames")
+def scored_frames(spark, sf):
+    return stacks.with_quality(maps(spark, sf)).select("g", "f", F.round("quality", 9).alias("quality"))
+
+
 @query("background_owner")
 def background_owner(spark, sf):
     return stacks.background_owner(maps(spark, sf))
 
 
-@query("descriptor_matches", """WITH d AS (SELECT label AS g, vec_id AS i, list_sum([CASE WHEN embedding[k + 1] > 0 THEN 1::UBIGINT << k ELSE 0::UBIGINT END FOR k IN range(0, 63)])::BIGINT AS bits FROM embeddings WHERE label < 3),
+@query("descriptor_matches", """WITH d AS (SELECT label AS g, vec_id AS i, list_sum([CASE WHEN embedding[k + 1] > 0 THEN 1::UBIGINT << k ELSE 0::UBIGINT END FOR k IN range(0, 63)])::BIGINT AS bits FROM embeddings),
     m AS (SELECT a.g, a.i, b.i AS j, bit_count(xor(a.bits, b.bits))::INT AS d FROM d a JOIN d b ON a.g = b.g AND a.i <> b.i), r AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY d, j) AS k FROM m)
     SELECT a.g, a.i, a.j, a.d AS distance FROM r a JOIN r b ON a.g = b.g AND a.i = b.i AND a.k = 1 AND b.k = 2 WHERE a.d < 0.9 * b.d""")
 def descriptor_matches(spark, sf):

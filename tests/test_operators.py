@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lamina.functions import kernels
-from lamina.operators import maps, sequence, stacks, state
+from lamina.operators import maps, sequence, state
 from lamina.sources import captures
 from lamina.streaming import incremental
 from pyspark.sql import functions as F
@@ -35,27 +35,6 @@ def test_components_equal_flood_fill():
             assert count == k and (labels == seen).all()
 
 
-def test_greedy_coverage_takes_disjoint_bands_and_one_of_equals():
-    m = np.full((5, 60), 0.05)
-    for i in range(3):
-        m[i, 20 * i : 20 * i + 20] = 1.0
-    m[3] = m[0]
-    chosen, gains, covered = kernels.greedy_coverage(m, m.mean(axis=1), np.zeros(5, bool), 0)
-    assert chosen == [0, 1, 2] and covered == 1.0 and gains[0] == pytest.approx(1 / 3)
-    failed = np.array([True, False, False, False, False])
-    assert kernels.greedy_coverage(m, m.mean(axis=1), failed, 4)[0] == [1, 2, 3, 4]
-    assert kernels.greedy_coverage(np.zeros((2, 5)), np.zeros(2), np.zeros(2, bool), 1)[0] == [0, 1]
-
-
-def test_library_coverage_leaves_soft_frames():
-    m = np.full((4, 60), 0.1)
-    for i in range(3):
-        m[i, 20 * i : 20 * i + 20] = 1.0
-    m[3] = 0.5
-    chosen, _, reasons, covered = kernels.library_coverage(m, m.mean(axis=1))
-    assert sorted(chosen) == [0, 1, 2] and covered == 1.0 and reasons[3] == "redundant"
-
-
 def test_path_order_is_no_longer_than_any_swap():
     rng = np.random.default_rng(2)
     for _ in range(10):
@@ -79,13 +58,6 @@ def test_anchored_groups_absorb_single_frames():
     assert kernels.anchored_groups(f, lambda a, b: abs(a[0] - b[0]) < 1) == [0, 0, 0, 0, 1, 1, 1, 1]
 
 
-def test_registration_finds_a_shift():
-    rng = np.random.default_rng(3)
-    big = kernels.gaussian(rng.random((48, 48)), 2.0)
-    t, c = kernels.register(big[8:40, 8:40], big[10:42, 7:39])
-    assert c > 0.98 and abs(t[0, 2] - 1) < 0.3 and abs(t[1, 2] + 2) < 0.3
-
-
 def test_resize_keeps_the_mean_and_hash_is_stable():
     a = np.random.default_rng(4).random((33, 50))
     assert kernels.resize(a, 11, 10).mean() == pytest.approx(a.mean())
@@ -93,16 +65,6 @@ def test_resize_keeps_the_mean_and_hash_is_stable():
     assert (kernels.perceptual_hash(a) ^ kernels.perceptual_hash(a * 0.9)).bit_count() <= 2
 
 
-def test_fusion_picks_the_sharp_half():
-    rng = np.random.default_rng(5)
-    scene = rng.random((24, 24))
-    soft = kernels.gaussian(scene, 2.5)
-    left, right = scene.copy(), scene.copy()
-    left[:, 12:], right[:, :12] = soft[:, 12:], soft[:, :12]
-    fused = stacks.fuse_quality(np.stack([left, right]))
-    assert np.abs(fused - scene).mean() < 0.5 * np.abs(left - scene).mean()
-
-
 def jpeg(width, height, tags=None, padding=0):
     body = b"\xff\xd8"
     if tags:

@@ -39,8 +39,3 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_without_sql_has_rows(spark, name):
-    assert catalog.queries()[name](spark, DATA).count() > 0
