@@ -10,12 +10,13 @@ candidates; a pair at similarity 0.8 shares none with probability (1 - 0.8^6)^40
 Texts are one row for all their copies. Candidates meet in three rounds, each in verified links and components:
 
 1. fingerprints within the distance, and each band's text of most copies with the others of the band;
-2. in bands of several components, the text with the smallest share of shingles that no other component has;
-3. in bands that still have several, all pairs across components that can reach the similarity at all: both
-   have their private shingles, which none of the other components has, outside the overlap.
+2. in bands of several components, one more text of the band, chosen by a hash, with the others;
+3. in bands that still have several, all pairs across components that can reach the similarity at all.
 
-So a dense group of near copies does not emit its pairs, and no pair of candidates that could be a link is
-left out.
+What a pair can reach is bounded by a bitmap of 512 bits for each text, in which its shingles set bits: a
+bit that the other text lacks stands for at least one shingle outside the overlap. The bound is inside the
+join, so a dense group of texts that are alike, or nearly, does not emit its pairs, and no candidate that could
+be a link is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 6
 #: Shingles hashed at a time.
 CHUNK = 1024
+#: 64-bit words of the bitmap that bounds an overlap.
+WORDS = 8
 
 _random = np.random.default_rng(5)
 MASKS = _random.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -62,31 +65,33 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return (mixed ^ SALTS).view(np.int64)
 
 
+def bitmap_of(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * WORDS, bool)
+    bits[(shingles >> np.uint64(64 - (64 * WORDS - 1).bit_length())).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def alike(overlap: Column, a: Column, b: Column) -> Column:
     """Whether overlap / (a + b - overlap) reaches the similarity."""
     over, under = SIMILARITY
     return (over + under) * overlap >= over * (a + b)
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
-    """(key, s): the sorted distinct shingle hashes of the texts named by ``keys`` (key). A stored table."""
+def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose whole shingle sets are alike. A stored table."""
 
     @F.pandas_udf("array<bigint>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(simhash.shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
 
-    wanted = materialize(keys.distinct(), "wanted")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     texts = docs.select(key_of(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(counted_broadcast(wanted, wanted.count()), "key", "left_semi")
-    out = materialize(texts.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("s")), "sets")
-    discard(wanted)
-    return out
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose shingle sets are alike. A stored table."""
+    sets = materialize(texts.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("s")), "sets")
     left = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("t")), "b")
     both = left.join(sets.select(F.col("key").alias("a"), "s"), "a")
-    return materialize(both.filter(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "alike")
+    out = materialize(both.filter(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "alike")
+    discard(wanted, sets)
+    return out
 
 
 def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -100,32 +105,37 @@ def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def first_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the first round. ``texts``: key, fp, copies; ``rows``: band, key, size, copies. A stored table."""
+    """Pairs (a, b) of the first round. ``texts``: key, fp, copies; ``rows``: band, key, size, copies, bits. A stored table."""
     fps = materialize(texts.groupBy("fp").agg(F.sum("copies").alias("copies"), F.min("key").alias("head")), "prints")
     near = simhash.near_pairs(fps.select("fp", "copies"))
     head = lambda c: fps.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_key"))
     across = near.join(head("a"), "a").join(head("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
     same = texts.join(fps.select("fp", "head"), "fp").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    heads = rows.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("copies", (-F.col("key").cast("decimal(20,0)")).alias("least"), "key", "size")).alias("h")).filter("n > 1").select("band", "h")
-    banded = rows.join(heads, "band").filter(alike(F.least("size", "h.size"), F.col("size"), F.col("h.size"))).select(F.col("h.key").alias("a"), F.col("key").alias("b"))
-    pairs = across.unionByName(same).unionByName(banded).filter("a <> b")
-    out = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    heads = rows.groupBy("band").agg(F.max(F.struct("copies", (-F.col("key").cast("decimal(20,0)")).alias("least"), "key")).alias("h")).select("band", F.col("h.key").alias("head"))
+    banded = rows.join(heads, "band").filter(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    out = ordered_pairs(across.unionByName(same).unionByName(banded))
     discard(fps, near)
     return out
 
 
-def shared_counts(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, shared): how many of a text's shingles occur in another component of ``open_`` (key, root) too. A stored table."""
-    named = sets.join(open_.select("key", "root").distinct(), "key")
-    each = named.select("key", "root", F.explode("s").alias("h"))
-    common = each.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
-    counted = each.join(common, "h").groupBy("key").agg(F.count("*").alias("shared"))
-    return materialize(named.select("key").join(counted, "key", "left").select("key", F.coalesce("shared", F.lit(0)).alias("shared")), "shared")
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs with a < b. A stored table."""
+    return materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def reach(a: str, b: str) -> Column:
-    """Whether texts of columns size_a, shared_a and size_b, shared_b can be alike if all they share with other components is the overlap."""
-    return alike(F.least(f"shared_{a}", f"shared_{b}"), F.col(f"size_{a}"), F.col(f"size_{b}"))
+    """Whether texts of columns size_a, bits_a and size_b, bits_b can be alike, by the bits that only one of them has."""
+
+    def most(x: str, y: str) -> Column:
+        alone = [F.bit_count(F.get(f"bits_{x}", k).bitwiseAND(F.bitwise_not(F.get(f"bits_{y}", k)))) for k in range(WORDS)]
+        return F.col(f"size_{x}") - sum(alone[1:], alone[0])
+
+    sizes = F.col(f"size_{a}"), F.col(f"size_{b}")
+    return alike(most(a, b), *sizes) & alike(most(b, a), *sizes)  # most pairs end at the first
+
+
+def sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "bits", "root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,47 +147,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("fp bigint, size int, bands array<bigint>")
+    @F.pandas_udf("fp bigint, size int, bits array<bigint>, bands array<bigint>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             hashes = simhash.shingle_hashes(t, SHINGLE)
             s = shingle_set(hashes)
-            out.append((simhash.majority(hashes), len(s), bands_of(s)))
-        return pd.DataFrame(out, columns=["fp", "size", "bands"])
+            out.append((simhash.majority(hashes), len(s), bitmap_of(s), bands_of(s)))
+        return pd.DataFrame(out, columns=["fp", "size", "bits", "bands"])
 
     text = F.col(text_col)
     hashed = materialize(docs.select(F.col(id_col).alias("doc_id"), key_of(text).alias("key"), sketch(text).alias("k")), "sketches")
     texts = materialize(hashed.groupBy("key").agg(F.count("*").alias("copies"), F.first("k").alias("k")).select("key", "copies", "k.*"), "texts")
-    spread = texts.select("key", "copies", "size", F.explode("bands").alias("band"))
+    spread = texts.select("key", "copies", F.explode("bands").alias("band"))
     crowded = spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    rows = materialize(spread.join(crowded, "band").select("band", "key", "size", "copies"), "bands")
+    rows = materialize(spread.join(crowded, "band").select("band", "key", "copies"), "bands")
 
     first = first_pairs(texts.select("key", "fp", "copies"), rows)
-    sets = sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("key")), text_col)
-    links = verified(first, sets)
-    open_ = rooted(rows, links)
-    discard(texts, rows, sets)
-
-    sets = sets_of(docs, open_.select("key"), text_col)
-    shared = shared_counts(open_, sets)
-    # Rows of texts that no other component can reach go: what they share is too little for any partner.
-    told = open_.select("band", "key", "size", "root").join(shared, "key").filter(alike(F.col("shared"), F.col("size"), F.col("shared")))
-    told = materialize(told, "told")
-    central = told.groupBy("band").agg(F.min(F.struct((1 - F.col("shared") / F.col("size")).alias("private"), "key", "size", "shared", "root")).alias("h"))
-    met = told.join(central, "band").select("key", "root", F.col("size").alias("size_a"), F.col("shared").alias("shared_a"), "h.*").toDF("b", "root_b", "size_a", "shared_a", "private", "a", "size_b", "shared_b", "root_a")
-    pairs = met.filter((F.col("root_a") != F.col("root_b")) & reach("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, sets)
+    links = verified(first, docs, text_col)
+    open_ = rooted(rows.select("band", "key"), links)
+    measured = materialize(open_.join(texts.select("key", "size", "bits"), "key").select("band", "key", "size", "bits", "root"), "measured")
+    heads = measured.groupBy("band").agg(F.min_by(F.struct("key", "size", "bits", "root"), F.xxhash64("key")).alias("h")).select("band", "h.*")
+    met = sided(measured, "a").join(sided(heads, "b"), "band").filter((F.col("root_a") != F.col("root_b")) & reach("a", "b"))
+    second = ordered_pairs(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).join(first, ["a", "b"], "left_anti"))
+    more = verified(second, docs, text_col)
     links = links.unionByName(more)
 
-    left = rooted(told.drop("root"), links)
-    a, b = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "shared", "root"))) for s in "ab")
+    left = rooted(measured.drop("root"), links)
+    a, b = sided(left, "a"), sided(left, "b")
     across = a.join(b, (a.band == b.band) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & reach("a", "b"))
-    pairs = across.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    pairs = ordered_pairs(across.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     third = materialize(pairs.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
-    last = verified(third, sets)
+    last = verified(third, docs, text_col)
     linked = components(links.unionByName(last))
     out = materialize(hashed.select("doc_id", "key").join(linked, hashed.key == linked.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "groups")
-    discard(hashed, first, open_, sets, shared, told, second, more, left, third, last, linked)
+    discard(hashed, texts, rows, first, open_, measured, second, more, left, pairs, third, last, linked)
     return out
