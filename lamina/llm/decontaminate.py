@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from lamina.llm.common import ascii_lower, counted_broadcast, discard, let, materialize, parted_by_keys
 
 WINDOW, SHINGLE = 13, 5
-#: Characters between words, once A-Z are lower case; and the words themselves, in either case.
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII characters but 0-9 and a-z stand between words, once A-Z are lower case; the words themselves, in either case.
+#: Listed one by one: the JVM tests a listed character by one look-up, a negated range by many calls.
+_BETWEEN = [i for i in range(128) if not (chr(i).isdigit() or chr(i).islower())]
+SEPARATOR = "[" + "".join(rf"\x{i:02X}" for i in _BETWEEN) + "]+"
+WORD = "[^" + "".join(rf"\x{i:02X}" for i in _BETWEEN if not chr(i).isupper()) + "]+"
 
 
 def words_of(text: Column) -> Column:
