@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.kept import kept
+from lamina.operators.sequence import running_total
+
 
 def owner(px: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
     """Best value and its lowest frame at each position (argmax); null values never win."""
@@ -90,33 +93,62 @@ def pair_similarity(pairs: DataFrame, px: DataFrame, group: str, frame: str, pos
     return m.select(group, "i", "j", F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)).alias("similarity"), "difference", "overlap")
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """(keys, name): the linear quantile of ``value`` for each key, exact however many values a key has.
+
+    Equal values are counted before they are put in order by range, so no task holds the values of a key.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = kept(running_total(counted, [*keys, value], F.col("_n"), "_at"))
+    ends = placed.groupBy(*keys).agg(F.min("_at").alias("_from"), F.max(F.col("_at") + F.col("_n")).alias("_to"))
+    met = placed.join(ends, keys) if keys else placed.join(F.broadcast(ends))
+    rank = F.col("_from") + share * (F.col("_to") - F.col("_from") - 1)
+    low, high = F.floor(rank), F.ceil(rank)
+    has = lambda r: (F.col("_at") <= r) & (r < F.col("_at") + F.col("_n"))
+    picked = met.filter(has(low) | has(high)).groupBy(*keys).agg(
+        F.max(F.when(has(low), F.col(value))).alias("_a"), F.max(F.when(has(high), F.col(value))).alias("_b"), F.first(rank - low).alias("_t")
+    )
+    return picked.select(*keys, (F.col("_a") + F.col("_t") * (F.col("_b") - F.col("_a"))).alias(name))
+
+
+def flat_noise(flat: DataFrame, key: str, value: str, least: int) -> DataFrame:
+    """(key, median, mad) of the values of each key with at least ``least`` rows."""
+    enough = flat.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") >= least).select(key)
+    rows = kept(flat.join(enough, key).select(key, value))
+    medians = quantiles(rows, [key], value, 0.5, "median")
+    apart = rows.join(medians, key).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    return quantiles(apart, [key], "_d", 0.5, "mad").join(medians, key)
+
+
 def noise_ceiling(samples: DataFrame, bin_col: str, value: str, spread: str, least: int = 64, least_flat: int = 32, share: float = 0.35, k: float = 6.0) -> DataFrame:
     """(bin, ceiling): median + k robust deviations of the values in the flattest rows of each bin.
 
     A bin with too few rows takes the greater ceiling of the bins beside it.
     """
-    limits = samples.groupBy(bin_col).agg(F.count("*").alias("n"), F.percentile(spread, share).alias("limit"))
-    flat = samples.join(limits.filter(F.col("n") >= least), bin_col).filter(F.col(spread) <= F.col("limit"))
-    medians = flat.groupBy(bin_col).agg(F.percentile(value, 0.5).alias("median"), F.count("*").alias("n_flat")).filter(F.col("n_flat") >= least_flat)
-    mads = flat.join(medians, bin_col).groupBy(bin_col, "median").agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
-    own = mads.select(bin_col, F.greatest(F.lit(1e-6), F.col("median") + k * 1.4826 * F.col("mad")).alias("own"))
-    bins = limits.select(bin_col).join(own, bin_col, "left")
+    sizes = samples.groupBy(bin_col).agg(F.count("*").alias("n"))
+    limits = quantiles(samples.join(sizes.filter(F.col("n") >= least).select(bin_col), bin_col), [bin_col], spread, share, "limit")
+    flat = samples.join(limits, bin_col).filter(F.col(spread) <= F.col("limit"))
+    noise = flat_noise(flat, bin_col, value, least_flat)
+    own = noise.select(bin_col, F.greatest(F.lit(1e-6), F.col("median") + k * 1.4826 * F.col("mad")).alias("own"))
+    bins = sizes.select(bin_col).join(own, bin_col, "left")
     near = own.select((F.col(bin_col) - 1).alias(bin_col), "own").unionByName(own.select((F.col(bin_col) + 1).alias(bin_col), "own")).groupBy(bin_col).agg(F.max("own").alias("near"))
     return bins.join(near, bin_col, "left").select(bin_col, F.coalesce("own", "near").alias("ceiling"), F.col("own").isNull().alias("borrowed"))
 
 
 def stencil(px: DataFrame, group: list[str], value: str, x: str, y: str, size: int, kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """Convolution with a small kernel, borders reflected without the edge (101).
+    """Correlation with a small kernel, borders reflected without the edge (101).
 
-    Each position lists the places that its kernel reads, reflected at the border, and meets them by
-    an equi-join: the fan-out is the kernel's size.
+    Each position sends its weighted value to the places that read it, over the border too, and they are summed:
+    one shuffle, no join, and the fan-out is the kernel's size.
     """
 
-    def reflected(c: Column) -> Column:
-        return F.when(c < 0, -c).when(c >= size, 2 * (size - 1) - c).otherwise(c)
+    def readers(c: Column, d: Column) -> Column:
+        """Places whose tap at distance d is c: from c itself and from its images beyond either border."""
+        seen = F.array_distinct(F.array(c, -c, 2 * (size - 1) - c))
+        return F.filter(F.transform(seen, lambda v: v - d), lambda t: (t >= 0) & (t < size))
 
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for (dx, dy), w in kernel.items()])
-    taps = px.select(*group, x, y, F.explode(offsets).alias("t")).select(*group, x, y, "t.*")
-    taps = taps.withColumns({"sx": reflected(F.col(x) + F.col("dx")), "sy": reflected(F.col(y) + F.col("dy"))})
-    source = px.select(*group, F.col(x).alias("sx"), F.col(y).alias("sy"), F.col(value).alias("_v"))
-    return taps.join(source, [*group, "sx", "sy"]).groupBy(*group, x, y).agg(F.sum(F.col("w") * F.col("_v")).alias("response"))
+    taps = px.select(*group, x, y, value, F.explode(offsets).alias("t"))
+    sent = taps.select(*group, y, (F.col("t.w") * F.col(value)).alias("_v"), F.col("t.dy").alias("_dy"), F.explode(readers(F.col(x), F.col("t.dx"))).alias("_x"))
+    sent = sent.select(*group, "_v", "_x", F.explode(readers(F.col(y), F.col("_dy"))).alias("_y"))
+    return sent.groupBy(*group, F.col("_x").alias(x), F.col("_y").alias(y)).agg(F.sum("_v").alias("response"))

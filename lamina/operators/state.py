@@ -1,5 +1,5 @@
 """State tables: upserts, conditional updates, journals. A new version is computed by one full outer
-join on the key (sort-merge, so neither side has to fit in memory) and published by a pointer file."""
+join on the key (sort-merge, so neither side has to fit in memory) and published by a numbered pointer file."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +20,21 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (), fill: list[str] = ()) -> DataFrame:
-    """Rows of both tables by key. Where both have one, the new one's columns win, but those of
-    ``keep`` stay, and those of ``fill`` take the new value only if it isn't null."""
-    b, n = base.alias("b"), new.withColumn("_new", F.lit(True)).alias("n")
-    joined = b.join(n, [F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full").withColumn("_old", F.coalesce(*[F.col(f"b.{k}").isNotNull() for k in keys[:1]]))
+    """Rows of both tables by key, in the columns of ``base``. Where both have a row, the new one's columns win, but
+    those of ``keep`` stay, as do those that ``new`` doesn't have, and those of ``fill`` take the new value only if it
+    isn't null. A null key equals a null key; each table has a key once."""
+    b, n = base.withColumn("_old", F.lit(True)).alias("b"), new.withColumn("_new", F.lit(True)).alias("n")
+    joined = b.join(n, [F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
 
     def value(c: str) -> Column:
-        old, now = F.col(f"b.{c}"), F.col(f"n.{c}") if c in new.columns else F.lit(None)
+        old = F.col(f"b.{c}")
+        if c not in new.columns:
+            return old.alias(c)
+        now = F.col(f"n.{c}")
         if c in keys or c in fill:
             return F.coalesce(now, old).alias(c)
         if c in keep:
-            return F.when(F.col("_old"), old).otherwise(now).alias(c)
+            return F.when(F.col("b._old"), old).otherwise(now).alias(c)
         return F.when(F.col("n._new"), now).otherwise(old).alias(c)
 
     return joined.select(*[value(c) for c in base.columns])
@@ -68,10 +73,17 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str,
     return joined.select(*[F.col("_p").cast(children.schema[key].dataType).alias(key) if c == key else F.col(c) for c in children.columns])
 
 
+class Conflict(Exception):
+    """Another commit has changed a table that this one was made from."""
+
+
 class VersionedTables:
-    """Parquet tables with one pointer: a commit of several tables shows all of them or none.
+    """Parquet tables with numbered pointers: a commit of several tables shows all of them or none.
 
-    Every version is a folder of its own; the pointer names one for each table and is replaced last.
+    Every version of a table is a folder of its own. ``CURRENT.<n>`` names one for each table; the reader takes the
+    greatest that is whole. A commit writes its folders first and then makes the next number, which only one writer
+    can: the loser tries the number after, or fails with ``Conflict`` if a table that it has read was changed. A crash
+    before the pointer leaves the state before, one while it is written leaves an unfinished pointer that nobody takes.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -79,30 +91,115 @@ class VersionedTables:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> dict[str, str]:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._pointer()[name])
+        self._jvm = jvm
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n[8:]) for n in names if n.startswith("CURRENT."))
+
+    def _load(self, number: int) -> dict[str, str] | None:
+        """What a pointer names; None if it isn't whole."""
+        stream = self._fs.open(self._path(f"{self.root}/CURRENT.{number:012d}"))
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            held = json.loads(text)
+        except ValueError:
+            return None
+        return held["tables"] if held.get("whole") else None
+
+    def state(self) -> tuple[int, dict[str, str]]:
+        """The number and the tables of the greatest whole pointer; 0 and none at the start."""
+        for n in reversed(self._numbers()):
+            if (held := self._load(n)) is not None:
+                return n, held
+        return 0, {}
+
+    def read(self, name: str, state: dict[str, str] | None = None) -> DataFrame:
+        """A table, or all parts named ``name/...`` of one that is stored in parts."""
+        held = self.state()[1] if state is None else state
+        paths = [held[name]] if name in held else [p for k, p in sorted(held.items()) if k.startswith(name + "/")]
+        if not paths:
+            raise KeyError(name)
+        return self.spark.read.parquet(*paths)
 
     def names(self) -> list[str]:
-        return sorted(self._pointer())
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        current = self._pointer()
+        return sorted(self.state()[1])
+
+    def publish(self, paths: dict[str, str], based_on: dict[str, str] | None = None) -> int:
+        """Show folders that are written already; ``based_on``: tables that must be as they were read."""
+        while True:
+            number, held = self.state()
+            if based_on is not None and any(held.get(k) != v for k, v in based_on.items()):
+                raise Conflict(f"changed since they were read: {sorted(k for k, v in based_on.items() if held.get(k) != v)}")
+            after = max([number, *self._numbers()]) + 1
+            try:
+                out = self._fs.create(self._path(f"{self.root}/CURRENT.{after:012d}"), False)  # fails if it is there
+            except Py4JJavaError as error:
+                if "AlreadyExists" in str(error.java_exception):
+                    continue
+                raise
+            out.write(bytearray(json.dumps({"tables": held | paths, "whole": True}).encode()))
+            out.close()
+            return after
+
+    def commit(self, tables: dict[str, DataFrame], based_on: dict[str, str] | None = None) -> int:
+        """Write the tables and show them together; returns the pointer's number."""
+        paths = {}
         for name, df in tables.items():
-            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            current[name] = path
-        draft = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(current).encode()))
-        out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        if not self._fs.rename(draft, target):  # some stores don't replace
-            self._fs.delete(target, False)
-            self._fs.rename(draft, target)
+            paths[name] = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(paths[name])
+        return self.publish(paths, based_on)
+
+    def update(self, change: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]], tries: int = 5) -> int:
+        """Commit what ``change`` makes of the tables that it reads; made anew if one of them was changed meanwhile."""
+        for attempt in range(tries):
+            _, held = self.state()
+            seen: dict[str, str] = {}
+
+            def read(name: str, held=held, seen=seen) -> DataFrame:
+                seen.update({k: p for k, p in held.items() if k == name or k.startswith(name + "/")})
+                return self.read(name, held)
+
+            made = change(read)
+            try:
+                return self.commit(made, {**{k: held.get(k) for k in made}, **seen})
+            except Conflict:
+                if attempt == tries - 1:
+                    raise
+        raise ValueError("tries must be positive")
+
+    def vacuum(self, keep: int = 3) -> int:
+        """Delete pointers but the last ``keep`` whole ones, and folders that none of those name; returns how many folders went.
+
+        Not while a commit is under way: its folders have no pointer yet.
+        """
+        whole = [(n, held) for n in self._numbers() if (held := self._load(n)) is not None][-keep:]
+        used = {p.rsplit("/", 1)[-1] for _, held in whole for p in held.values()}
+        gone = 0
+        for n in self._numbers():
+            if whole and n < whole[0][0]:
+                self._fs.delete(self._path(f"{self.root}/CURRENT.{n:012d}"), False)
+        for name in {k for _, held in whole for k in held}:
+            for s in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+                folder = s.getPath().getName()
+                if s.isDirectory() and len(folder) == 32 and folder not in used:
+                    gone += bool(self._fs.delete(s.getPath(), True))
+        return gone
+
+    def vacuum_parts(self, name: str, keep: int = 3) -> int:
+        """``vacuum`` for a table in parts: a folder goes when none of the last ``keep`` pointers names a part in it."""
+        numbers = [n for n in self._numbers() if self._load(n) is not None]
+        last = [self._load(n) for n in numbers[-keep:]]
+        used = {p.split("/")[-2] for held in last for k, p in held.items() if k.startswith(name + "/")}
+        top, gone = self._path(f"{self.root}/{name}-parts"), 0
+        for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
+            if s.getPath().getName() not in used:
+                gone += bool(self._fs.delete(s.getPath(), True))
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/CURRENT.{n:012d}"), False)
+        return gone

@@ -228,10 +228,9 @@ def noise_ceiling(spark, sf):
 def local_detail_evidence(spark, sf):
     """Flat support chosen over all rows, ceilings by bin; a bin without ceiling is all evidence."""
     items = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("bin"), F.col("l_quantity").alias("v"), F.col("l_discount").alias("spread"))
-    limit = items.agg(F.percentile("spread", 0.35).alias("t"))
-    flat = items.join(F.broadcast(limit), F.col("spread") <= F.col("t"))  # one row
-    m = flat.groupBy("bin").agg(F.percentile("v", 0.5).alias("med"), F.count("*").alias("n")).filter("n >= 32").select("bin", "med")
-    c = flat.join(m, "bin").groupBy("bin", "med").agg(F.percentile(F.abs(F.col("v") - F.col("med")), 0.5).alias("mad")).select("bin", (F.col("med") + 0.1 * 1.4826 * F.col("mad")).alias("ceiling"))
+    limit = maps.quantiles(items, [], "spread", 0.35, "t")
+    flat = items.join(F.broadcast(limit), F.col("spread") <= F.col("t")).select("bin", "v")  # one row
+    c = maps.flat_noise(flat, "bin", "v", 32).select("bin", (F.col("median") + 0.1 * 1.4826 * F.col("mad")).alias("ceiling"))
     return items.join(c, "bin", "left").groupBy("bin").agg(F.count_if(F.col("ceiling").isNull() | (F.col("v") > 1.5 * F.col("ceiling"))).alias("n"))
 
 

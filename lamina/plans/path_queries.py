@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import maps
+from lamina.operators import maps, sequence
 from lamina.plans.registry import query
 from lamina.sources.adapters import PX_SQL, pixels, table
 
@@ -22,9 +22,9 @@ def manual_groups_json(spark, sf):
 @query("archive_plan", """WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY lower(source) ORDER BY doc_id) - 1 AS k FROM documents), t AS (SELECT doc_id, 'archive/' || source || CASE WHEN k = 0 THEN '' ELSE ' (' || k || ')' END AS target, k FROM d)
     SELECT doc_id, target, CASE WHEN doc_id % 11 = 0 THEN 'skip' WHEN k > 0 THEN 'rename' ELSE 'move' END AS action FROM t""")
 def archive_plan(spark, sf):
-    """Targets and what to do on a collision; the moves themselves are the caller's."""
-    k = F.row_number().over(Window.partitionBy(F.lower("source")).orderBy("doc_id")) - 1
-    d = table(spark, sf, "documents").withColumn("k", k)
+    """Targets and what to do on a collision; ``operators.archive`` carries a plan out."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.lower("source").alias("folded"))
+    d = sequence.grouped_rank(d, ["folded"], ["doc_id"], "k").withColumn("k", F.col("k") - 1)
     suffix = F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit(" ("), F.col("k").cast("string"), F.lit(")")))
     return d.select("doc_id", F.concat(F.lit("archive/"), F.col("source"), suffix).alias("target"), F.when(F.col("doc_id") % 11 == 0, "skip").when(F.col("k") > 0, "rename").otherwise("move").alias("action"))
 
@@ -148,7 +148,7 @@ def as_of_join(spark, sf):
 
 @query("sql_front_end", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) GROUP BY n_name")
 def sql_front_end(spark, sf):
-    """User SQL over temporary views."""
-    for name in ("customer", "nation"):
-        table(spark, sf, name).createOrReplaceTempView(name)
-    return spark.sql("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) GROUP BY n_name")
+    """User SQL over frames."""
+    frames = {name: table(spark, sf, name) for name in ("customer", "nation")}
+    # Frames are named as arguments, so the session keeps no view.
+    return spark.sql("SELECT n_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {customer}) GROUP BY n_name", **frames)

@@ -68,10 +68,10 @@ def manual_override(spark, sf):
 @query("sequence_numbering", """WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS good FROM documents)
     SELECT doc_id, position, first_value(good IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS anchor FROM n""")
 def sequence_numbering(spark, sf):
-    """0-based numbers; each row's anchor is the next readable one in its folder."""
-    w = Window.partitionBy("source").orderBy("doc_id")
+    """0-based numbers; each row's anchor is the next readable one in its folder. A folder may be larger than a task."""
     d = table(spark, sf, "documents").select("doc_id", "source").withColumn("good", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
-    return d.select("doc_id", (F.row_number().over(w) - 1).cast("bigint").alias("position"), F.first("good", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("anchor"))
+    anchored = sequence.next_value(d, "source", ["doc_id"], "good", "anchor")
+    return sequence.grouped_rank(anchored, ["source"], ["doc_id"], "k").select("doc_id", (F.col("k") - 1).alias("position"), "anchor")
 
 
 @query("natural_sort", """SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(lower(p_brand), '^[^0-9]*'), CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_partkey) AS k FROM part""")
@@ -84,9 +84,9 @@ def natural_sort(spark, sf):
 @query("scan_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY (CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END) IS NULL, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END, CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), doc_id) AS k FROM documents")
 def scan_order(spark, sf):
     """Records with a time first, in its order, then by natural name."""
-    d = table(spark, sf, "documents").withColumn("time", F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")))
-    w = Window.partitionBy("lang").orderBy(F.col("time").isNull(), "time", sequence.natural_key(F.col("source")), "doc_id")
-    return d.select("doc_id", F.row_number().over(w).cast("bigint").alias("k"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("time"), sequence.natural_key(F.col("source")).alias("name"))
+    d = d.withColumn("late", F.col("time").isNull())
+    return sequence.grouped_rank(d, ["lang"], ["late", "time", "name", "doc_id"], "k").select("doc_id", "k")
 
 
 @query("capture_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END NULLS LAST, event_id) AS k FROM events")
@@ -121,8 +121,9 @@ def output_naming(spark, sf):
 
 @query("collision_rename", "SELECT doc_id, CASE WHEN k = 0 THEN source ELSE source || ' (' || k || ')' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lower(source) ORDER BY doc_id) - 1 AS k FROM documents)")
 def collision_rename(spark, sf):
-    k = F.row_number().over(Window.partitionBy(F.lower("source")).orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").withColumn("k", k).select("doc_id", F.when(F.col("k") == 0, F.col("source")).otherwise(F.concat("source", F.lit(" ("), F.col("k").cast("string"), F.lit(")"))).alias("name"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.lower("source").alias("folded"))
+    k = F.col("k") - 1
+    return sequence.grouped_rank(d, ["folded"], ["doc_id"], "k").select("doc_id", F.when(k == 0, F.col("source")).otherwise(F.concat("source", F.lit(" ("), k.cast("string"), F.lit(")"))).alias("name"))
 
 
 @query("file_equality", "WITH f AS (SELECT doc_id, strlen(text) AS size, sha256(text) AS digest FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY size, digest) AS first_id, count(*) OVER (PARTITION BY size, digest) AS copies FROM f")
@@ -187,8 +188,9 @@ def or_lookup(spark, sf):
 
 @query("result_search", "SELECT conv_id, status, count_if(true) OVER (PARTITION BY status) AS per_class FROM (SELECT conv_id, CASE WHEN max(turn) >= 6 THEN 'done' WHEN max(turn) >= 3 THEN 'failed' ELSE 'skipped' END AS status, bool_or(contains(lower(text), 'the')) AS hit FROM conversations GROUP BY conv_id) WHERE hit")
 def result_search(spark, sf):
-    g = members(spark, sf).groupBy(F.col("group_id").alias("conv_id")).agg(F.collect_list("name").alias("names"), F.max("position").alias("last"))
-    g = g.withColumn("status", F.when(F.col("last") >= 6, "done").when(F.col("last") >= 3, "failed").otherwise("skipped")).filter(F.exists("names", lambda x: F.contains(F.lower(x), F.lit("the"))))
+    has = F.contains(F.lower("name"), F.lit("the"))
+    g = members(spark, sf).groupBy(F.col("group_id").alias("conv_id")).agg(F.bool_or(has).alias("hit"), F.max("position").alias("last")).filter("hit")
+    g = g.select("conv_id", F.when(F.col("last") >= 6, "done").when(F.col("last") >= 3, "failed").otherwise("skipped").alias("status"))
     counts = g.groupBy("status").agg(F.count("*").alias("per_class"))
     return g.join(counts, "status").select("conv_id", "status", "per_class")
 
@@ -215,8 +217,7 @@ def pre_decode_classifier(spark, sf):
 
 @query("minimum_scene_similarity", "SELECT user_id, min(CAST(props ->> '$.k' AS DOUBLE)) AS least FROM events GROUP BY user_id")
 def minimum_scene_similarity(spark, sf):
-    c = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.from_json("props", "k double")).alias("comparisons"))
-    return c.select("user_id", F.array_min(F.transform("comparisons", lambda x: x["k"])).alias("least"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min(F.from_json("props", "k double")["k"]).alias("least"))
 
 
 @query("equi_join", "SELECT d.doc_id, n_chars, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE source = 'src3' AND quality = 1")
@@ -254,32 +255,47 @@ def indexed(spark, sf):
     return members(spark, sf).select(F.col("group_id").alias("g"), (F.row_number().over(w.orderBy("position")) - 1).cast("bigint").alias("i"), F.count("*").over(w).alias("n"))
 
 
-def index_pairs(m, allowed):
-    """Pairs i < j of one group that ``allowed`` admits: an equi-join on the group with a bounded fan-out."""
-    a, b = m.alias("a"), m.select("g", F.col("i").alias("j")).alias("b")
-    return a.join(b, "g").filter("i < j").filter(allowed).select("g", "i", "j")
+def later(first, last):
+    """Numbers first..last as an array; none if last is smaller."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def index_pairs(m, partners):
+    """Pairs i < j of one group: each index lists its partners, so nothing is joined and no other pair is made."""
+    return m.select("g", "i", F.explode(F.array_distinct(partners)).alias("j"))
+
+
+def hubs_of(*parts):
+    """The indexes n * a / b, rounded down, and the last."""
+    return F.array(F.lit(0).cast("bigint"), *[F.floor(F.col("n") * a / b) for a, b in parts], F.col("n") - 1)
 
 
 @query("pairwise_join", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 40 OR b.i - a.i <= 4 OR a.i IN (0, a.n // 4, a.n // 2, 3 * a.n // 4, a.n - 1) OR b.i IN (0, a.n // 4, a.n // 2, 3 * a.n // 4, a.n - 1))")
 def pairwise_join(spark, sf):
     """All pairs of small groups; in larger ones near neighbours and five hubs."""
-    hubs = "(0, n div 4, n div 2, 3 * n div 4, n - 1)"
-    return index_pairs(indexed(spark, sf), f"n <= 40 or j - i <= 4 or i in {hubs} or j in {hubs}")
+    i, n, hubs = F.col("i"), F.col("n"), hubs_of((1, 4), (1, 2), (3, 4))
+    some = F.concat(later(i + 1, F.least(i + 4, n - 1)), F.filter(hubs, lambda h: h > i))
+    return index_pairs(indexed(spark, sf), F.when((n <= 40) | F.array_contains(hubs, i), later(i + 1, n - 1)).otherwise(some))
 
 
 @query("pair_sampling", f"WITH m AS ({PAIRS}) SELECT a.g, a.i, b.i AS j FROM m a JOIN m b ON a.g = b.g AND a.i < b.i AND (a.n <= 24 OR b.i - a.i <= 3 OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i % 2 = 0) OR (b.i IN (0, a.n // 2, a.n - 1) AND a.i % 2 = 0) OR (a.i IN (0, a.n // 2, a.n - 1) AND b.i IN (0, a.n // 2, a.n - 1)))")
 def pair_sampling(spark, sf):
-    hubs = "(0, n div 2, n - 1)"
-    return index_pairs(indexed(spark, sf), f"n <= 24 or j - i <= 3 or (i in {hubs} and j % 2 = 0) or (j in {hubs} and i % 2 = 0) or (i in {hubs} and j in {hubs})")
+    """All pairs of small groups; in larger ones near neighbours, and even indexes and hubs with each of three hubs."""
+    i, n, hubs = F.col("i"), F.col("n"), hubs_of((1, 2))
+    near = later(i + 1, F.least(i + 3, n - 1))
+    from_hub = F.when(F.array_contains(hubs, i), F.filter(later(i + 1, n - 1), lambda j: (j % 2 == 0) | F.array_contains(hubs, j))).otherwise(F.array().cast("array<bigint>"))
+    to_hub = F.when(i % 2 == 0, F.filter(hubs, lambda h: h > i)).otherwise(F.array().cast("array<bigint>"))
+    return index_pairs(indexed(spark, sf), F.when(n <= 24, later(i + 1, n - 1)).otherwise(F.concat(near, from_hub, to_hub)))
 
 
 @query("set_equality", """WITH a AS (SELECT source, list_sort(list(doc_id)) AS x FROM documents GROUP BY source), b AS (SELECT source, list_sort(list(doc_id)) AS y FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) GROUP BY source)
     SELECT source, x = y AS same, (len(x) - len(y))::INT AS missing FROM a JOIN b USING (source)""")
 def set_equality(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id")
-    a = d.groupBy("source").agg(F.collect_set("doc_id").alias("x"))
-    b = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.collect_set("doc_id").alias("y"))
-    return a.join(b, "source").select("source", ((F.size(F.array_except("x", "y")) == 0) & (F.size(F.array_except("y", "x")) == 0)).alias("same"), F.size(F.array_except("x", "y")).alias("missing"))
+    """Sets by counts of their distinct members: a member of only one side is seen without gathering either."""
+    d = table(spark, sf, "documents").select("source", "doc_id").distinct()
+    listed = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("there")).distinct()
+    n = d.join(listed, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("there").alias("m"))
+    return n.filter("m > 0").select("source", (F.col("n") == F.col("m")).alias("same"), (F.col("n") - F.col("m")).cast("int").alias("missing"))
 
 
 @query("exact_cover", "SELECT conv_id, list_sort(list(turn)) = range(0, count(*)) AS ok FROM conversations GROUP BY conv_id")

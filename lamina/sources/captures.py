@@ -1,14 +1,22 @@
-"""Capture files: JPEG headers and EXIF tags from bytes, never pixels; failures become rows."""
+"""Capture files: listing, JPEG headers and EXIF tags from bytes, never pixels; failures become rows.
+
+Folders are listed by tasks, level by level, and not by Spark's file index, which passes over names that begin
+with ``_``. Tasks open files by pyarrow, so a folder's URI must be one that it knows.
+"""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators.kept import kept
+
 HEADER = 64 * 1024
 #: JPEG frame headers (all SOF markers but DHT, JPG and DAC) and TIFF type sizes.
 FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
@@ -42,8 +50,11 @@ def segments(data: bytes) -> Iterator[tuple[int, bytes]]:
         p += 2 + size
 
 
-def exif(tiff: bytes) -> dict[int, object]:
-    """Tags of the first directory and the EXIF one; text, numbers and lists of them."""
+def exif(tiff: bytes, issues: list[str] | None = None) -> dict[int, object]:
+    """Tags of the first directory and the EXIF one; text, numbers and lists of them.
+
+    Of a directory with more entries than a sound one has, the first ``MOST_ENTRIES`` are read, and ``issues`` says so.
+    """
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
     if order is None or struct.unpack(order + "H", tiff[2:4])[0] != 42:
         raise ValueError("not a TIFF header")
@@ -54,7 +65,11 @@ def exif(tiff: bytes) -> dict[int, object]:
         if at in seen or at + 2 > len(tiff):
             continue
         seen.add(at)
-        n = min(struct.unpack_from(order + "H", tiff, at)[0], MOST_ENTRIES)
+        n = struct.unpack_from(order + "H", tiff, at)[0]
+        if n > MOST_ENTRIES:
+            if issues is not None:
+                issues.append(f"directory of {n} entries cut at {MOST_ENTRIES}")
+            n = MOST_ENTRIES
         for k in range(n):
             e = at + 2 + 12 * k
             if e + 12 > len(tiff):
@@ -88,7 +103,9 @@ def header(data: bytes) -> dict:
             if marker in FRAMES and out["width"] is None and len(body) >= 5:
                 out["height"], out["width"] = struct.unpack(">HH", body[1:5])
             elif marker == 0xE1 and body[:6] == b"Exif\0\0":
-                tags = exif(body[6:])
+                found: list[str] = []
+                tags = exif(body[6:], found)
+                out["issue"] = out["issue"] or next(iter(found), None)
                 for name, wanted in TAGS.items():
                     out[name] = next((str(tags[t]) for t in wanted if tags.get(t)), None)
         if out["width"] is None:
@@ -101,26 +118,97 @@ def header(data: bytes) -> dict:
 SCHEMA = "width int, height int, capture_time string, camera string, lens string, issue string"
 
 
-def with_headers(files: DataFrame, content: str = "content") -> DataFrame:
-    """``files`` plus the header's columns; only the first 64 KB of a file reach Python, all of it where the frame header lies later."""
+def with_headers(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) plus the header's columns. A task reads the first 64 KB of a file, and all of it where the frame header lies later."""
 
     @F.pandas_udf(SCHEMA)
-    def parsed(heads: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([header(bytes(h) if h is not None else b"") for h in heads], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    out = files.withColumn("_h", parsed(F.substring(content, 1, HEADER)))
-    late = (F.col("_h.issue") == "no frame header") & (F.length(content) > HEADER)
-    out = out.withColumn("_h", F.when(late, parsed(F.when(late, F.col(content)))).otherwise(F.col("_h")))
+    def parsed(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in paths:
+            try:
+                with opened(p) as f:
+                    head = f.read(HEADER)
+                    got = header(head)
+                    if got["issue"] == "no frame header" and len(head) == HEADER:
+                        got = header(head + f.read())
+            except OSError as error:
+                got = dict.fromkeys(c.split()[0] for c in SCHEMA.split(", ")) | {"issue": f"unreadable: {error}"}
+            out.append(got)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    out = files.withColumn("_h", parsed("path"))
     iso = F.nullif(F.regexp_replace(F.trim("_h.capture_time"), r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3"), F.lit(""))
     return out.select(*files.columns, "_h.width", "_h.height", iso.alias("capture_time"), "_h.camera", "_h.lens", "_h.issue")
 
 
-def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg"), recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of files with these extensions in any case; hidden names are passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*extensions))
-
-
-def split_issues(images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Images, and (path, issue) of those whose header failed; an image with an issue stays."""
-    return images.drop("content"), images.filter("issue is not null").select("path", "issue")
+@contextmanager
+def opened(uri: str):
+    """A file's bytes from its full URI."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        yield f
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's full URI, as every process understands it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+#: Fixed value: the engine's own cache, never scanned.
+CACHE_FOLDER = ".stack_cache"
+LISTED = "path string, length bigint, modified timestamp, folder boolean, issue string"
+
+
+def listed(folders: DataFrame) -> DataFrame:
+    """(path, length, modified, folder, issue): what lies directly in ``folders`` (path); one that can't be listed is an issue."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for uri in pdf["path"]:
+                try:
+                    store, path = fs.FileSystem.from_uri(uri)
+                    for e in store.get_file_info(fs.FileSelector(path)):
+                        out.append((f"{uri.rstrip('/')}/{e.base_name}", e.size, e.mtime, e.type == fs.FileType.Directory, None))
+                except OSError as error:
+                    out.append((uri, None, None, False, f"unable to list: {error}"))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in LISTED.split(", ")])
+            frame["modified"] = pd.to_datetime(frame["modified"], utc=True).dt.tz_localize(None)
+            yield frame
+
+    return folders.select("path").mapInPandas(task, LISTED)
+
+
+def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg"), recursive: bool = True, excluded: tuple[str, ...] = (), hidden: bool = False) -> DataFrame:
+    """(path, length, modified, issue) of files with these extensions in any case.
+
+    Names that begin with a dot are passed over unless ``hidden``, and folders of such a name with all that is in them;
+    excluded folders and the engine's cache are never entered. A folder that can't be listed is a row with an issue.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    away = [qualified(spark, e) for e in excluded]
+    seen = F.lit(True) if hidden else ~name.startswith(".")
+    enter = seen & (name != CACHE_FOLDER) & (~F.col("path").isin(away) if away else F.lit(True))
+    root = qualified(spark, folder)
+    level, found = spark.createDataFrame([(root,)] if root not in away else [], "path string"), []
+    while True:
+        entries = kept(listed(level))
+        found.append(entries)
+        level = entries.filter(F.col("folder") & enter).select("path")
+        if not recursive or level.isEmpty():
+            break
+        level = level.repartition("path")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    wanted = seen & F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*extensions)
+    return every.filter(F.col("issue").isNotNull() | (~F.col("folder") & wanted)).select("path", "length", "modified", "issue")
+
+
+def records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images with their headers, and (path, issue) of every issue: of a folder's listing and of a file's header. An image with an issue stays."""
+    failed = files.filter("issue is not null").select("path", "issue")
+    images = with_headers(files.filter("issue is null").drop("issue"))
+    return images, failed.unionByName(images.filter("issue is not null").select("path", "issue"))

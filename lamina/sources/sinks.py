@@ -12,31 +12,52 @@ from pyspark.sql import functions as F
 BOM = b"\xef\xbb\xbf"
 
 
-def write_manifest(df: DataFrame, path: str, order: list[str]) -> None:
-    """One UTF-8 CSV file with a byte-order mark, there whole or not at all.
+def replace_file(spark: SparkSession, draft, target: str) -> None:
+    """Put a finished file in the place of another in one step: readers see the one or the other."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final = jvm.org.apache.hadoop.fs.Path(target)
+    store = final.getFileSystem(conf)
+    options = jvm.org.apache.hadoop.fs.Options
+    how = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+    how[0] = getattr(options, "Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf).rename(store.makeQualified(draft), store.makeQualified(final), how)
+
+
+def write_manifest(df: DataFrame, path: str, order: list[str], form: str = "csv") -> None:
+    """One UTF-8 file, there whole or not at all: CSV with a byte-order mark and a header, or a JSON array of objects.
 
-    Parts are written in order by Spark and joined by the driver as streams of bytes, so the manifest
-    never has to fit in one task's memory.
+    Parts are written in order by Spark and joined by the driver as streams of bytes, so the manifest never has to
+    fit in one task's memory. The finished file takes the place of the old one in one step.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     draft = f"{path}.{uuid.uuid4().hex}"
-    text = df.select(*[F.when(F.col(c).isNull(), "").otherwise(F.col(c).cast("string")).alias(c) for c in df.columns])
-    text.orderBy(*order).write.option("header", False).option("quoteAll", True).option("escape", '"').csv(draft)
-    target, parts = jvm.org.apache.hadoop.fs.Path(f"{draft}.csv"), jvm.org.apache.hadoop.fs.Path(draft)
+    if form == "csv":
+        text = df.select(*[F.when(F.col(c).isNull(), "").otherwise(F.col(c).cast("string")).alias(c) for c in df.columns])
+        text.orderBy(*order).write.option("header", False).option("quoteAll", True).option("escape", '"').csv(draft)
+        head, tail = BOM + (",".join(f'"{c}"' for c in df.columns) + "\n").encode(), b""
+    else:
+        # A comma stands in front of every object; the first is left out below.
+        lines = df.orderBy(*order).select(F.concat(F.lit(","), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("value"))
+        lines.write.text(draft)
+        head, tail = b"[", b"]\n"
+    target, parts = jvm.org.apache.hadoop.fs.Path(f"{draft}.whole"), jvm.org.apache.hadoop.fs.Path(draft)
     fs = target.getFileSystem(conf)
     out = fs.create(target, True)
-    out.write(bytearray(BOM + (",".join(f'"{c}"' for c in df.columns) + "\n").encode()))
+    out.write(bytearray(head))
+    comma = form != "csv"
     for s in sorted(fs.listStatus(parts), key=lambda s: s.getPath().getName()):
-        if s.getPath().getName().startswith("part-"):
+        if s.getPath().getName().startswith("part-") and s.getLen():
             part = fs.open(s.getPath())
+            if comma:
+                part.read()  # the first comma of all
+                comma = False
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 65536, False)
             part.close()
+    out.write(bytearray(tail)) if tail else None
     out.close()
     fs.delete(parts, True)
-    final = jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(final, False)
-    fs.rename(target, final)
+    replace_file(spark, target, path)
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:

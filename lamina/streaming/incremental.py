@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,18 +40,39 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.select("group_id", "id", "status", "progress").groupBy("group_id").applyInPandasWithState(step, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def captures_per_window(events: DataFrame, time: str = "ts", late: str = "1 day", window: str = "6 hours") -> DataFrame:
-    """Counts per window, final once the watermark has passed it."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+def captures_per_window(events: DataFrame, time: str = "ts", late: str = "1 day", window: str = "6 hours", slide: str | None = None) -> DataFrame:
+    """Counts per window, final once the watermark has passed it; with ``slide``, windows overlap."""
+    w = F.window(time, window, slide) if slide else F.window(time, window)
+    return events.withWatermark(time, late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def upsert_sink(stream: DataFrame, tables: VersionedTables, name: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep a table at the latest row of each key. A batch that is replayed gives the same table, so nothing doubles."""
+PARTS = 16
+
+
+def part_of(keys: list[str], parts: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def upsert_sink(stream: DataFrame, tables: VersionedTables, name: str, keys: list[str], order: list[str], checkpoint: str, parts: int = PARTS, keep: int = 3) -> StreamingQuery:
+    """Keep a table at the latest row of each key. A batch that is replayed gives the same table, so nothing doubles.
+
+    The table lies in parts by a hash of the key; a batch rewrites the parts that it touches and no other. Versions
+    but the last ``keep`` are deleted.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        new = latest(batch, keys, order)
-        base = tables.read(name) if name in tables.names() else new.limit(0)
-        tables.commit({name: latest(upsert(base, new, keys).unionByName(base), keys, order)})
+        new = latest(batch, keys, order).withColumn("_part", part_of(keys, parts)).persist()
+        touched = sorted(r["_part"] for r in new.select("_part").distinct().collect())  # at most ``parts`` numbers
+        _, held = tables.state()
+        known = [k for p in touched if (k := f"{name}/{p:05d}") in held]
+        plain = new.drop("_part")
+        base = tables.spark.read.parquet(*[held[k] for k in known]) if known else plain.limit(0)
+        after = latest(upsert(base, plain, keys).unionByName(base), keys, order)
+        folder = f"{tables.root}/{name}-parts/{uuid.uuid4().hex}"
+        after.withColumn("_part", part_of(keys, parts)).write.partitionBy("_part").parquet(folder)
+        new.unpersist()
+        tables.publish({f"{name}/{p:05d}": f"{folder}/_part={p}" for p in touched}, {f"{name}/{p:05d}": held.get(f"{name}/{p:05d}") for p in touched})
+        tables.vacuum_parts(name, keep)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
