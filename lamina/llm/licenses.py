@@ -25,11 +25,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ascii_lower, counted_broadcast, let, materialize
+from lamina.llm.common import LOWER, ascii_lower, counted_broadcast, let, materialize
 from lamina.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
+#: Anything but a-z and 0-9, once A-Z are lower case.
 SEPARATOR = "[^a-z0-9]+"
+_SEPARATOR = f"[^{''.join(LOWER)}0123456789]+"  # the same, listed: the JVM tests a listed character by one look-up
 #: Words too frequent in prose to tell a license by.
 FREQUENT = (
     "the of and to in a is for on or this that by with any be it as at are not from an you may no but if all use work under can has have will shall which was "
@@ -63,14 +65,14 @@ def guard_words(templates: list[tuple[str, int, dict[str, int]]], threshold: flo
             gain: Counter[str] = Counter()
             for g, c in without.items():
                 gain.update(dict.fromkeys(g.split(" "), c))
-            best = min(gain, key=lambda w: (w in FREQUENT or len(w) < 3, -min(len(w), 9), -gain[w], w))
+            best = min(gain, key=lambda w: (w in FREQUENT, w.isdigit(), -min(len(w), 9), -gain[w], w))
             chosen.add(best)
             without = {g: c for g, c in without.items() if best not in g.split(" ")}
     return sorted(chosen)
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: w != "")
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _SEPARATOR), lambda w: w != "")
 
 
 def bigrams_of(words: Column) -> Column:
