@@ -135,20 +135,50 @@ def noise_ceiling(samples: DataFrame, bin_col: str, value: str, spread: str, lea
     return bins.join(near, bin_col, "left").select(bin_col, F.coalesce("own", "near").alias("ceiling"), F.col("own").isNull().alias("borrowed"))
 
 
-def stencil(px: DataFrame, group: list[str], value: str, x: str, y: str, size: int, kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """Correlation with a small kernel, borders reflected without the edge (101).
+def _readers(c: Column, d: Column, size: int) -> Column:
+    """Places whose tap at distance d is c: from c itself and from its images beyond either border."""
+    seen = F.array_distinct(F.array(c, -c, 2 * (size - 1) - c))
+    return F.filter(F.transform(seen, lambda v: v - d), lambda t: (t >= 0) & (t < size))
+
+
+def stencils(px: DataFrame, group: list[str], x: str, y: str, size: int, kernels: dict[str, tuple[str, dict[tuple[int, int], float]]]) -> DataFrame:
+    """Correlations with small kernels, borders reflected without the edge (101): each name is a column and its kernel.
 
-    Each position sends its weighted value to the places that read it, over the border too, and they are summed:
-    one shuffle, no join, and the fan-out is the kernel's size.
+    Each position sends its weighted values to the places that read it, over the border too, and they are summed:
+    one shuffle for all kernels, no join, and the fan-out is the number of taps.
     """
+    taps = sorted({o for _, k in kernels.values() for o in k})
+    weight = lambda name, o: F.lit(float(kernels[name][1].get(o, 0.0))).alias(name)
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), *[weight(n, (dx, dy)) for n in kernels]) for dx, dy in taps])
+    sent = px.select(*group, x, y, *sorted({c for c, _ in kernels.values()}), F.explode(offsets).alias("t"))
+    sent = sent.select(*group, y, F.col("t.dy").alias("_dy"), *[(F.col(f"t.{n}") * F.col(c)).alias(f"_{n}") for n, (c, _) in kernels.items()], F.explode(_readers(F.col(x), F.col("t.dx"), size)).alias("_x"))
+    sent = sent.select(*group, *[f"_{n}" for n in kernels], "_x", F.explode(_readers(F.col(y), F.col("_dy"), size)).alias("_y"))
+    return sent.groupBy(*group, F.col("_x").alias(x), F.col("_y").alias(y)).agg(*[F.sum(f"_{n}").alias(n) for n in kernels])
+
+
+def stencil(px: DataFrame, group: list[str], value: str, x: str, y: str, size: int, kernel: dict[tuple[int, int], float]) -> DataFrame:
+    """One correlation, as ``response``."""
+    return stencils(px, group, x, y, size, {"response": (value, kernel)})
+
+
+def sent(px: DataFrame, keys: list[str], columns: list[str], x: str, y: str, size: int, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Columns of each position at the places that it reaches: rows (keys, x, y, dx, dy, columns); nothing leaves the map."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
+    out = px.select(*keys, x, y, *columns, F.explode(steps).alias("s"))
+    tx, ty = F.col(x) + F.col("s.dx"), F.col(y) + F.col("s.dy")
+    return out.filter(tx.between(0, size - 1) & ty.between(0, size - 1)).select(*keys, tx.alias(x), ty.alias(y), F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"), *columns)
+
+
+def disc(rx: float, ry: float) -> list[tuple[int, int]]:
+    """Offsets inside an ellipse."""
+    return [(dx, dy) for dx in range(-int(rx), int(rx) + 1) for dy in range(-int(ry), int(ry) + 1) if (dx / max(rx, 1e-9)) ** 2 + (dy / max(ry, 1e-9)) ** 2 <= 1]
+
+
+def window(r: int) -> list[tuple[int, int]]:
+    return [(dx, dy) for dx in range(-r, r + 1) for dy in range(-r, r + 1)]
 
-    def readers(c: Column, d: Column) -> Column:
-        """Places whose tap at distance d is c: from c itself and from its images beyond either border."""
-        seen = F.array_distinct(F.array(c, -c, 2 * (size - 1) - c))
-        return F.filter(F.transform(seen, lambda v: v - d), lambda t: (t >= 0) & (t < size))
 
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for (dx, dy), w in kernel.items()])
-    taps = px.select(*group, x, y, value, F.explode(offsets).alias("t"))
-    sent = taps.select(*group, y, (F.col("t.w") * F.col(value)).alias("_v"), F.col("t.dy").alias("_dy"), F.explode(readers(F.col(x), F.col("t.dx"))).alias("_x"))
-    sent = sent.select(*group, "_v", "_x", F.explode(readers(F.col(y), F.col("_dy"))).alias("_y"))
-    return sent.groupBy(*group, F.col("_x").alias(x), F.col("_y").alias(y)).agg(F.sum("_v").alias("response"))
+def overruled(base: DataFrame, evidence: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, owner, best) after evidence (keys, strong, strength): its owner takes over unless its strength is under ``share`` of the local best."""
+    met = base.join(evidence, keys, "left")
+    return met.select(*keys, F.when(F.col("strength") >= share * F.col("best"), F.col("strong")).otherwise(F.col("owner")).alias("owner"), "best")

@@ -65,12 +65,16 @@ def coverage_fraction(spark, sf):
 
 
 #: Coverage targets of the modes and their aliases.
-MODES = {"sparse": 0.98, "compact": 0.98, "minimal": 0.98, "balanced": 0.995, "extreme": 0.9995, "maximum": 0.9995}
+MODES = {
+    "sparse": 0.98, "compact": 0.98, "minimal": 0.98, "精简": 0.98, "balanced": 0.995, "balance": 0.995, "平衡": 0.995, "extreme": 0.9995, "maximum": 0.9995, "极致": 0.9995,
+}
 
 
-@query("coverage_mode_target", """SELECT event_id, least(1.0, greatest(0.0, coalesce(CASE WHEN event_id % 5 = 0 THEN value / 100 END, CASE event_type WHEN 'click' THEN 0.98 WHEN 'purchase' THEN 0.9995 ELSE 0.995 END))) AS target FROM events""")
+@query("coverage_mode_target", """SELECT event_id, least(1.0, greatest(0.0, coalesce(CASE WHEN event_id % 5 = 0 THEN value / 100 END, CASE event_type WHEN 'click' THEN 0.98 WHEN 'purchase' THEN 0.9995 WHEN 'signup' THEN CASE event_id % 3 WHEN 0 THEN 0.98 WHEN 1 THEN 0.9995 ELSE 0.995 END ELSE 0.995 END))) AS target FROM events""")
 def coverage_mode_target(spark, sf):
-    mode = F.when(F.col("event_type") == "click", "Compact").when(F.col("event_type") == "purchase", "EXTREME").otherwise(F.col("event_type"))
+    third = F.col("event_id") % 3
+    named = F.when(third == 0, "精简").when(third == 1, " 极致 ").otherwise("平衡")
+    mode = F.trim(F.when(F.col("event_type") == "click", "Compact").when(F.col("event_type") == "purchase", "EXTREME").when(F.col("event_type") == "signup", named).otherwise(F.col("event_type")))
     table_ = F.create_map(*[F.lit(x) for kv in MODES.items() for x in kv])
     named = F.coalesce(F.try_element_at(table_, F.lower(mode)), F.lit(0.995))
     explicit = F.when(F.col("event_id") % 5 == 0, F.col("value") / 100)
@@ -83,14 +87,21 @@ def map_summary(spark, sf):
     return unit(spark, sf).groupBy("g", "f").agg(*[(c if k == "focused" else F.round(c, 9)).alias(k) for k, c in s.items()])
 
 
-@query("percentile_normalise", f"""WITH s AS (SELECT g, f, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM ({UNIT_SQL}) GROUP BY g, f)
-    SELECT g, f, p, round(CASE WHEN hi > lo THEN least(1, greatest(0, (v - lo) / (hi - lo))) ELSE 0 END, 9) AS v FROM ({UNIT_SQL}) JOIN s USING (g, f)""")
+#: Maps of which some are flat but for a few positions, and some throughout.
+SPARSE_SQL = f"SELECT g, f, p, CASE WHEN f % 5 = 0 THEN CASE WHEN p = 7 THEN 0.75 ELSE 0.25 END WHEN f % 5 = 1 THEN 0.5 ELSE v END AS v FROM ({UNIT_SQL})"
+
+
+@query("percentile_normalise", f"""WITH u AS ({SPARSE_SQL}), s AS (SELECT g, f, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi, min(v) AS least, max(v) AS most FROM u GROUP BY g, f)
+    SELECT g, f, p, round(CASE WHEN hi > lo THEN least(1, greatest(0, (v - lo) / (hi - lo))) WHEN most > least THEN least(1, greatest(0, (v - least) / (most - least))) ELSE 0 END, 9) AS v FROM u JOIN s USING (g, f)""")
 def percentile_normalise(spark, sf):
-    px = unit(spark, sf)
-    s = px.groupBy("g", "f").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("b"))
+    """By percentiles; a map that they find flat by its range, a flat one as zeros. The 2nd and 98th, which one position of 64 doesn't move."""
+    v = F.when(F.col("f") % 5 == 0, F.when(F.col("p") == 7, 0.75).otherwise(0.25)).when(F.col("f") % 5 == 1, 0.5).otherwise(F.col("v"))
+    px = unit(spark, sf).withColumn("v", v)
+    s = px.groupBy("g", "f").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("b"), F.min("v").alias("least"), F.max("v").alias("most"))
+    scaled = lambda lo, hi: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("v") - lo) / (hi - lo)))
     lo, hi = F.get("b", 0), F.get("b", 1)
-    v = F.when(hi > lo, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("v") - lo) / (hi - lo)))).otherwise(0.0)
-    return px.join(s, ["g", "f"]).select("g", "f", "p", F.round(v, 9).alias("v"))
+    out = F.when(hi > lo, scaled(lo, hi)).when(F.col("most") > F.col("least"), scaled(F.col("least"), F.col("most"))).otherwise(0.0)
+    return px.join(s, ["g", "f"]).select("g", "f", "p", F.round(out, 9).alias("v"))
 
 
 @query("quantise", f"SELECT g, f, p, round_even(v * 65535, 0)::INT AS code, round_even(v * 65535, 0) / 65535 AS back FROM ({UNIT_SQL})")
@@ -129,12 +140,20 @@ def map_similarity(spark, sf):
     return similar(spark, sf).select("g", "i", "j", *[F.round(c, 8).alias(c) for c in ("similarity", "difference", "overlap")])
 
 
-@query("map_distance", f"WITH {SIMILAR_SQL} SELECT g, i, j, round(least(1, greatest(0, 0.6 * (1 - similarity) + 0.4 * least(1, difference))), 8) AS distance, similarity >= 0.7 AND difference <= 0.16 AND overlap >= 0.1 AS same_focus FROM similar_maps")
+FLAT_SQL = f"d AS (SELECT g, f, stddev_pop(v) AS sd FROM ({UNIT_SQL}) GROUP BY g, f)"
+
+
+@query("map_distance", f"""WITH {SIMILAR_SQL}, {FLAT_SQL} SELECT m.g, i, j, round(least(1, greatest(0, 0.6 * (1 - similarity) + 0.4 * least(1, difference))), 8) AS distance,
+    similarity >= 0.7 AND difference <= 0.16 AND (a.sd + b.sd < 0.17 OR overlap >= 0.1) AS same_focus, a.sd + b.sd < 0.17 AS flat FROM similar_maps m JOIN d a ON a.g = m.g AND a.f = i JOIN d b ON b.g = m.g AND b.f = j""")
 def map_distance(spark, sf):
-    """Duplicate distance and the three-way test, with thresholds scaled to these maps."""
+    """Duplicate distance and the same-focus test, with thresholds scaled to these maps: of two flat maps the overlap says nothing."""
     d = 0.6 * (1 - F.col("similarity")) + 0.4 * F.least(F.lit(1.0), F.col("difference"))
-    same = (F.col("similarity") >= 0.7) & (F.col("difference") <= 0.16) & (F.col("overlap") >= 0.1)
-    return similar(spark, sf).select("g", "i", "j", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d)), 8).alias("distance"), same.alias("same_focus"))
+    sd = unit(spark, sf).groupBy("g", "f").agg(F.stddev_pop("v").alias("sd"))
+    side = lambda c: sd.select("g", F.col("f").alias(c), F.col("sd").alias(f"sd_{c}"))
+    flat = F.col("sd_i") + F.col("sd_j") < 0.17
+    same = (F.col("similarity") >= 0.7) & (F.col("difference") <= 0.16) & (flat | (F.col("overlap") >= 0.1))
+    m = similar(spark, sf).join(side("i"), ["g", "i"]).join(side("j"), ["g", "j"])
+    return m.select("g", "i", "j", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d)), 8).alias("distance"), same.alias("same_focus"), flat.alias("flat"))
 
 
 @query("exposure_shift_similarity", f"WITH {SIMILAR_SQL} SELECT g, i, j, round(0.65 * (c + 1) / 2 + 0.35 * (1 - difference), 8) AS similarity FROM sim")
@@ -145,18 +164,35 @@ def exposure_shift_similarity(spark, sf):
     return m.select("g", "i", "j", F.round(0.65 * (F.col("c") + 1) / 2 + 0.35 * (1 - F.col("d")), 8).alias("similarity"))
 
 
-@query("scene_similarity", """WITH h AS (SELECT label AS g, vec_id AS i, lead(vec_id) OVER w AS j, embedding AS a, lead(embedding) OVER w AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
-    x AS (SELECT g, i, j, (SELECT sum(least(abs(a[k]::DOUBLE), abs(b[k]::DOUBLE))) / 64 FROM generate_series(1, 64) AS s(k)) AS hist, (SELECT count_if((a[k] > 0) = (b[k] > 0)) / 64.0 FROM generate_series(1, 64) AS s(k)) AS hash FROM h WHERE j IS NOT NULL)
-    SELECT g, i, j, round(hist, 9) AS hist, hash, round(0.15 * hist + 0.10 * hash, 9) AS evidence FROM x""")
+@query("scene_similarity", f"""WITH px AS ({UNIT_SQL}), pairs AS ({CONSECUTIVE}), low AS (SELECT x.g, i, j, least(1, greatest(0, 0.7 * (coalesce(corr(a.v, b.v), 1) + 1) / 2 + 0.3 * (1 - avg(abs(a.v - b.v))))) AS low FROM pairs x JOIN px a ON a.g = x.g AND a.f = x.i JOIN px b ON b.g = x.g AND b.f = x.j AND b.p = a.p GROUP BY x.g, i, j),
+    h AS (SELECT g, f, least(31, floor(v * 32))::INT AS bin, count(*) / 64.0 AS share FROM px GROUP BY ALL), hist AS (SELECT x.g, i, j, coalesce(sum(least(a.share, coalesce(b.share, 0))), 0) AS hist FROM pairs x LEFT JOIN h a ON a.g = x.g AND a.f = x.i LEFT JOIN h b ON b.g = x.g AND b.f = x.j AND b.bin = a.bin GROUP BY x.g, i, j),
+    e AS (SELECT label AS g, vec_id AS f, i - 1 AS p, embedding[i] > 0 AS bit FROM embeddings, generate_series(1, 64) AS s(i)), hash AS (SELECT x.g, i, j, count_if(a.bit = b.bit) / 64.0 AS hash FROM pairs x JOIN e a ON a.g = x.g AND a.f = x.i JOIN e b ON b.g = x.g AND b.f = x.j AND b.p = a.p GROUP BY x.g, i, j),
+    n AS (SELECT x.g, i, j, (i * 7 + j) % 41 AS matches, (i * 7 + j) % 41 - (i + j) % 3 AS inliers FROM pairs x), geo AS (SELECT g, i, j, CASE WHEN matches < 8 THEN 0 ELSE least(1, greatest(0, 0.55 * inliers / matches + 0.45 * least(1, inliers / 30.0))) END AS geometry FROM n)
+    SELECT g, i, j, round(low, 8) AS low, round(hist, 9) AS hist, hash, round(geometry, 9) AS geometry, round(0.5 * low + 0.15 * hist + 0.10 * hash + 0.25 * geometry, 8) AS evidence FROM low JOIN hist USING (g, i, j) JOIN hash USING (g, i, j) JOIN geo USING (g, i, j)""")
 def scene_similarity(spark, sf):
-    """Histogram intersection and hash agreement of consecutive previews, inside the row."""
-    w = Window.partitionBy("g").orderBy("i")
-    e = table(spark, sf, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
-    e = e.withColumns({"j": F.lead("i").over(w), "b": F.lead("a").over(w)}).filter("j is not null")
+    """All four evidences of consecutive previews: low frequencies, histogram intersection, hash agreement, geometry.
+
+    The counts of matches and inliers, which ``align`` finds in real images, are a fixture here.
+    """
+    pairs, px = consecutive(spark, sf), unit(spark, sf)
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    side = lambda df, key, name: df.withColumnsRenamed({"f": key, "v": f"v_{name}"})
+    m = pairs.join(side(px, "i", "a"), ["g", "i"]).join(side(px, "j", "b"), ["g", "j", "p"]).groupBy("g", "i", "j")
+    low = m.agg(F.coalesce(F.corr("v_a", "v_b"), F.lit(1.0)).alias("c"), F.avg(F.abs(F.col("v_a") - F.col("v_b"))).alias("d")).select("g", "i", "j", clip(0.7 * (F.col("c") + 1) / 2 + 0.3 * (1 - F.col("d"))).alias("low"))
+    e = table(spark, sf, "embeddings")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    hist = total(F.zip_with("a", "b", lambda x, y: F.least(F.abs(x.cast("double")), F.abs(y.cast("double"))))) / 64
-    hash_ = total(F.zip_with("a", "b", lambda x, y: ((x > 0) == (y > 0)).cast("double"))) / 64.0
-    return e.select("g", "i", "j", F.round(hist, 9).alias("hist"), hash_.alias("hash"), F.round(0.15 * hist + 0.10 * hash_, 9).alias("evidence"))
+    values = F.transform("embedding", lambda v: F.bround(F.abs(v.cast("double")) * 65535) / 65535)
+    bins = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.size(F.filter("v", lambda v: F.least(F.lit(31), F.floor(v * 32)) == b)) / 64.0)
+    shares = e.select(F.col("label").alias("g"), F.col("vec_id").alias("f"), values.alias("v"), F.transform("embedding", lambda v: v > 0).alias("bits")).select("g", "f", bins.alias("share"), "bits")
+    both = pairs.join(shares.withColumnsRenamed({"f": "i", "share": "sa", "bits": "ba"}), ["g", "i"]).join(shares.withColumnsRenamed({"f": "j", "share": "sb", "bits": "bb"}), ["g", "j"])
+    hist = total(F.zip_with("sa", "sb", lambda a, b: F.least(a, b)))
+    hash_ = total(F.zip_with("ba", "bb", lambda a, b: (a == b).cast("double"))) / 64.0
+    matches = (F.col("i") * 7 + F.col("j")) % 41
+    inliers = matches - (F.col("i") + F.col("j")) % 3
+    geometry = F.when(matches < 8, 0.0).otherwise(clip(0.55 * inliers / F.greatest(matches, F.lit(1)) + 0.45 * F.least(F.lit(1.0), inliers / 30.0)))
+    out = both.select("g", "i", "j", hist.alias("hist"), hash_.alias("hash"), geometry.alias("geometry")).join(low, ["g", "i", "j"])
+    evidence = 0.5 * F.col("low") + 0.15 * F.col("hist") + 0.10 * F.col("hash") + 0.25 * F.col("geometry")
+    return out.select("g", "i", "j", F.round("low", 8).alias("low"), F.round("hist", 9).alias("hist"), "hash", F.round("geometry", 9).alias("geometry"), F.round(evidence, 8).alias("evidence"))
 
 
 @query("quality_score", f"""WITH s AS (SELECT g, f, var_pop(v) AS var, median(v) AS med, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi, avg(CASE WHEN v <= 0.01 OR v >= 0.99 THEN 1.0 ELSE 0.0 END) AS clipped, stddev_pop(v) AS sd FROM ({UNIT_SQL}) GROUP BY g, f)
@@ -234,11 +270,6 @@ def local_detail_evidence(spark, sf):
     return items.join(c, "bin", "left").groupBy("bin").agg(F.count_if(F.col("ceiling").isNull() | (F.col("v") > 1.5 * F.col("ceiling"))).alias("n"))
 
 
-@query("material_probe", f"SELECT g, p % 4 AS material, p, min(q) AS lo, max(q) AS hi, count(*) % 65536 AS n FROM ({PX_SQL}) WHERE {VALID} GROUP BY g, p")
-def material_probe(spark, sf):
-    return pixels(spark, sf).filter(frame_valid()).groupBy("g", "p").agg(F.min("q").alias("lo"), F.max("q").alias("hi"), (F.count("*") % 65536).alias("n")).withColumn("material", F.col("p") % 4)
-
-
 @query("drifting_vote", f"WITH s AS (SELECT g, p % 4 AS material, p, (max(q) - min(q)) / 700 AS span FROM ({PX_SQL}) GROUP BY g, p) SELECT g, material, count_if(span > 3 AND span <= 40) AS votes FROM s GROUP BY g, material HAVING count_if(span > 3 AND span <= 40) >= greatest(4, round_even(0.01 * count(*), 0))")
 def drifting_vote(spark, sf):
     s = pixels(spark, sf).groupBy("g", "p").agg(((F.max("q") - F.min("q")) / 700).alias("span")).withColumn("material", F.col("p") % 4)
@@ -265,6 +296,13 @@ def rgb(spark, sf):
     return e.select("f", "p", byte(0).alias("r"), byte(1).alias("gr"), byte(2).alias("b"))
 
 
+@query("material_probe", f"SELECT p, p % 4 AS material, min(r) AS r_lo, max(r) AS r_hi, min(gr) AS g_lo, max(gr) AS g_hi, min(b) AS b_lo, max(b) AS b_hi, count(*) % 65536 AS n FROM ({RGB_SQL}) WHERE {VALID} GROUP BY p")
+def material_probe(spark, sf):
+    """Least and greatest colour of each position over the frames that cover it, and their count, which wraps at 16 bits."""
+    ends = [f(c).alias(f"{name}_{end}") for c, name in (("r", "r"), ("gr", "g"), ("b", "b")) for f, end in ((F.min, "lo"), (F.max, "hi"))]
+    return rgb(spark, sf).filter(frame_valid()).groupBy("p").agg(*ends, (F.count("*") % 65536).alias("n")).withColumn("material", F.col("p") % 4)
+
+
 @query("chroma", f"SELECT f, p, greatest(r, gr, b) - least(r, gr, b) AS chroma, round(0.299 * r + 0.587 * gr + 0.114 * b, 6) AS luma FROM ({RGB_SQL})")
 def chroma(spark, sf):
     return rgb(spark, sf).select("f", "p", (F.greatest("r", "gr", "b") - F.least("r", "gr", "b")).alias("chroma"), F.round(0.299 * F.col("r") + 0.587 * F.col("gr") + 0.114 * F.col("b"), 6).alias("luma"))
@@ -295,13 +333,44 @@ def normalised_field(spark, sf):
     return rgb(spark, sf).select("f", "p", F.round(F.when(frame_valid(), F.col("r")).otherwise(0) / F.greatest(F.col("b").cast("double"), F.lit(1e-6)), 9).alias("field"))
 
 
-@query("focus_fields", f"SELECT f, p, round(sqrt(xx + yy), 8) AS base, round(sqrt(greatest(0, (xx - yy) * (xx - yy) + 4 * xy * xy)), 8) AS sharp, xx + yy > 0.0005536332 AND sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) / greatest(xx + yy, 1e-12) < 0.6 AS texture FROM (SELECT f, p, r / 255.0 * (r / 255.0) AS xx, gr / 255.0 * (gr / 255.0) AS yy, r / 255.0 * (gr / 255.0) * 0.5 AS xy FROM ({RGB_SQL}))")
+SOBEL_X = {(-1, -1): -1.0, (1, -1): 1.0, (-1, 0): -2.0, (1, 0): 2.0, (-1, 1): -1.0, (1, 1): 1.0}
+SOBEL_Y = {(y, x): w for (x, y), w in SOBEL_X.items()}
+LAPLACE = {(0, 0): -4.0, (1, 0): 1.0, (-1, 0): 1.0, (0, 1): 1.0, (0, -1): 1.0}
+BOX = {o: 1 / 9 for o in maps.window(1)}
+#: Each position's 3 x 3 taps, reflected at the border.
+TAPS_SQL = """SELECT t.g, t.f, t.p, dx, dy, s.v FROM (SELECT g, f, p, dx, dy, CASE WHEN x < 0 THEN -x WHEN x > 7 THEN 14 - x ELSE x END AS x, CASE WHEN y < 0 THEN -y WHEN y > 7 THEN 14 - y ELSE y END AS y
+    FROM (SELECT g, f, p, dx, dy, p % 8 + dx AS x, p // 8 + dy AS y FROM {px}, generate_series(-1, 1) AS a(dx), generate_series(-1, 1) AS b(dy))) t JOIN {px} s ON s.g = t.g AND s.f = t.f AND s.p = x + 8 * y"""
+GRADIENT_SQL = f"""px AS ({UNIT_SQL}), taps AS ({TAPS_SQL.format(px='px')}), gr AS (SELECT g, f, p, sum(v * dx * (2 - abs(dy))) AS gx, sum(v * dy * (2 - abs(dx))) AS gy, sum(v * (CASE WHEN dx = 0 AND dy = 0 THEN -4 WHEN dx = 0 OR dy = 0 THEN 1 ELSE 0 END)) AS lap, avg(v) AS mean, avg(v * v) AS square FROM taps GROUP BY g, f, p)"""
+
+
+def gradients(spark, sf):
+    """(g, f, x, y, gx, gy, lap, mean, square) of maps with values 0..1."""
+    px = unit(spark, sf).select("g", "f", "v", (F.col("v") * F.col("v")).alias("vv"), (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"))
+    return maps.stencils(px, ["g", "f"], "x", "y", 8, {"gx": ("v", SOBEL_X), "gy": ("v", SOBEL_Y), "lap": ("v", LAPLACE), "mean": ("v", BOX), "square": ("vv", BOX)})
+
+
+@query("stencil_fields", f"WITH {GRADIENT_SQL} SELECT g, f, p, round(sqrt(gx * gx + gy * gy), 7) AS gradient, round(lap, 7) AS laplacian, round(greatest(0, square - mean * mean), 7) AS variance FROM gr")
+def stencil_fields(spark, sf):
+    """Sobel gradient, Laplacian and 3 x 3 variance in one shuffle."""
+    p = (F.col("x") + 8 * F.col("y")).alias("p")
+    variance = F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))
+    return gradients(spark, sf).select("g", "f", p, F.round(F.hypot("gx", "gy"), 7).alias("gradient"), F.round("lap", 7).alias("laplacian"), F.round(variance, 7).alias("variance"))
+
+
+@query("focus_fields", f"""WITH {GRADIENT_SQL}, w AS (SELECT g, f, p, gx * gx AS xx, gy * gy AS yy, gx * gy AS xy, sqrt(gx * gx + gy * gy) AS grad, greatest(0, square - mean * mean) AS variance, abs(lap) AS detail FROM gr), t3 AS (SELECT g, f, p, xx AS v FROM w), t4 AS (SELECT g, f, p, yy AS v FROM w), t5 AS (SELECT g, f, p, xy AS v FROM w),
+    sx AS (SELECT g, f, p, avg(v) AS xx FROM ({TAPS_SQL.format(px='t3')}) GROUP BY g, f, p), sy AS (SELECT g, f, p, avg(v) AS yy FROM ({TAPS_SQL.format(px='t4')}) GROUP BY g, f, p), sc AS (SELECT g, f, p, avg(v) AS xy FROM ({TAPS_SQL.format(px='t5')}) GROUP BY g, f, p),
+    z AS (SELECT g, f, p, sx.xx + sy.yy AS trace, sqrt(greatest(0, (sx.xx - sy.yy) * (sx.xx - sy.yy) + 4 * sc.xy * sc.xy)) AS spread, grad, variance, detail FROM w JOIN sx USING (g, f, p) JOIN sy USING (g, f, p) JOIN sc USING (g, f, p))
+    SELECT g, f, p, round(0.65 * grad + 0.35 * trace + 0.10 * variance, 6) AS base, round(CASE WHEN grad > 1e-4 AND detail > 0.05 THEN grad * sqrt(detail) ELSE 0 END, 6) AS sharp, round((trace - spread) / 2 - 0.12 * trace, 7) > 0 AND detail > 0.05 AND trace > 2e-5 AS texture FROM z""")
 def focus_fields(spark, sf):
-    """Energy, anisotropy and the texture test of a structure tensor."""
-    x, y = F.col("r") / 255.0, F.col("gr") / 255.0
-    t = rgb(spark, sf).select("f", "p", (x * x).alias("xx"), (y * y).alias("yy"), (x * y * 0.5).alias("xy"))
-    energy, aniso = F.expr("xx + yy"), F.expr("(xx - yy) * (xx - yy) + 4 * xy * xy")
-    return t.select("f", "p", F.round(F.sqrt(energy), 8).alias("base"), F.round(F.sqrt(F.greatest(F.lit(0.0), aniso)), 8).alias("sharp"), ((energy > 0.0005536332) & (F.sqrt(aniso) / F.greatest(energy, F.lit(1e-12)) < 0.6)).alias("texture"))
+    """Base energy, sharp detail and the texture test from a smoothed structure tensor: real gradients, then their products over 3 x 3."""
+    w = gradients(spark, sf).select("g", "f", "x", "y", (F.col("gx") * F.col("gx")).alias("xx"), (F.col("gy") * F.col("gy")).alias("yy"), (F.col("gx") * F.col("gy")).alias("xy"), F.hypot("gx", "gy").alias("grad"), F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")).alias("variance"), F.abs("lap").alias("detail"))
+    own = {(0, 0): 1.0}
+    z = maps.stencils(w, ["g", "f"], "x", "y", 8, {"sxx": ("xx", BOX), "syy": ("yy", BOX), "sxy": ("xy", BOX), "sg": ("grad", own), "sv": ("variance", own), "sd": ("detail", own)})
+    trace = F.col("sxx") + F.col("syy")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.expr("(sxx - syy) * (sxx - syy) + 4 * sxy * sxy")))
+    texture = (F.round((trace - spread) / 2 - 0.12 * trace, 7) > 0) & (F.col("sd") > 0.05) & (trace > 2e-5)
+    sharp = F.when((F.col("sg") > 1e-4) & (F.col("sd") > 0.05), F.col("sg") * F.sqrt("sd")).otherwise(0.0)
+    return z.select("g", "f", (F.col("x") + 8 * F.col("y")).alias("p"), F.round(0.65 * F.col("sg") + 0.35 * trace + 0.10 * F.col("sv"), 6).alias("base"), F.round(sharp, 6).alias("sharp"), texture.alias("texture"))
 
 
 @query("independent_detail", f"SELECT f, count_if(r > 20 AND (r > 2 * gr OR r > 16 * b)) AS n FROM ({RGB_SQL}) GROUP BY f")
@@ -323,16 +392,39 @@ def hard_mask(spark, sf):
     return px.join(maps.owner(px, ["g", "p"], "f", "q"), ["g", "p"]).select("g", "f", "p", F.when(F.col("owner") == F.col("f"), 255).otherwise(0).alias("mask"))
 
 
-@query("neutral_filter", f"SELECT count_if(chroma < 65 AND r > 200) AS guarded, count_if(chroma < 65 AND r > 200 AND p % 3 = 0) AS changed FROM (SELECT *, greatest(r, gr, b) - least(r, gr, b) AS chroma FROM ({RGB_SQL}))")
+@query("neutral_filter", f"""WITH c AS (SELECT *, greatest(r, gr, b) - least(r, gr, b) AS chroma FROM ({RGB_SQL})), l AS (SELECT p, max(r) AS top, arg_max(f, (r, -f)) AS label FROM c GROUP BY p),
+    u AS (SELECT c.p, arg_max(f, (r, -f)) AS owner, max(r) AS best FROM c JOIN l USING (p) WHERE chroma < 65 AND (f + c.p) % 7 <> 0 AND gr > 20 AND r >= 0.7 * top GROUP BY c.p)
+    SELECT l.p, CASE WHEN best > 1e-6 AND l.p % 5 <> 0 THEN owner ELSE label END AS owner, coalesce(best > 1e-6 AND l.p % 5 <> 0, false) AS guarded, coalesce(best > 1e-6 AND l.p % 5 <> 0 AND owner <> label, false) AS changed FROM l LEFT JOIN u USING (p)""")
 def neutral_filter(spark, sf):
-    guard = (F.greatest("r", "gr", "b") - F.least("r", "gr", "b") < 65) & (F.col("r") > 200)
-    return rgb(spark, sf).agg(F.count_if(guard).alias("guarded"), F.count_if(guard & (F.col("p") % 3 == 0)).alias("changed"))
-
-
-@query("blend_tile", f"SELECT f, p, CASE WHEN r >= 0.9 * greatest(r, gr) THEN 'reference' ELSE 'other' END AS source, round(t * t * (3 - 2 * t), 9) AS fade FROM (SELECT *, b / 255.0 AS t FROM ({RGB_SQL}))")
+    """Neutral positions go to the strongest neutral detail near the local best: filter, update, apply; protected positions stay.
+
+    The red channel is the detail; foreground, material and protection are masks by place.
+    """
+    c = rgb(spark, sf).withColumn("chroma", F.greatest("r", "gr", "b") - F.least("r", "gr", "b"))
+    labels = maps.owner(c, ["p"], "f", "r").withColumnsRenamed({"best": "top", "owner": "label"})
+    able = c.join(labels, "p").filter((F.col("chroma") < 65) & ((F.col("f") + F.col("p")) % 7 != 0) & (F.col("gr") > 20) & (F.col("r") >= 0.7 * F.col("top")))
+    update = maps.owner(able, ["p"], "f", "r")
+    use = F.coalesce((F.col("best") > 1e-6) & (F.col("p") % 5 != 0), F.lit(False))
+    out = labels.join(update, "p", "left")
+    return out.select("p", F.when(use, F.col("owner")).otherwise(F.col("label")).alias("owner"), use.alias("guarded"), F.coalesce(use & (F.col("owner") != F.col("label")), F.lit(False)).alias("changed"))
+
+
+@query("blend_tile", f"""WITH px AS ({PX_SQL}), ref AS (SELECT g, p, arg_min(f, f) AS reference, arg_min(q, f) AS r FROM px GROUP BY g, p), o AS (SELECT g, p, arg_max(f, (q, -f)) AS owner, max(q) AS best FROM px GROUP BY g, p),
+    c AS (SELECT g, p, CASE WHEN r >= 0.9 * best THEN reference ELSE owner END AS owner, r >= 0.9 * best AS kept, r, CASE WHEN r >= 0.9 * best THEN r ELSE best END AS source, least(least(p % 8, 7 - p % 8), least(p // 8, 7 - p // 8)) / 3.0 AS d FROM ref JOIN o USING (g, p))
+    SELECT g, p, owner, kept, round_even(least(255, greatest(0, (r // 256) * (1 - a) + (source // 256) * a)), 0)::INT AS blended FROM (SELECT *, least(d, 1) * least(d, 1) * (3 - 2 * least(d, 1)) AS a FROM c)""")
 def blend_tile(spark, sf):
-    t = F.col("b") / 255.0
-    return rgb(spark, sf).select("f", "p", F.when(F.col("r") >= 0.9 * F.greatest("r", "gr"), "reference").otherwise("other").alias("source"), F.round(t * t * (3 - 2 * t), 9).alias("fade"))
+    """Inside a tile the best frame, but the reference where it has 0.9 of the best; faded in from the tile's edge by a smooth step."""
+    px = pixels(spark, sf)
+    ref = px.groupBy("g", "p").agg(F.min("f").alias("reference"), F.min_by("q", "f").alias("r"))
+    o = maps.owner(px, ["g", "p"], "f", "q")
+    x, y = F.col("p") % 8, F.floor(F.col("p") / 8)
+    t = F.least(F.least(x, 7 - x, y, 7 - y) / 3.0, F.lit(1.0))
+    kept = F.col("r") >= 0.9 * F.col("best")
+    byte = lambda c: F.floor(c / 256)
+    a = t * t * (3 - 2 * t)
+    source = F.when(kept, F.col("r")).otherwise(F.col("best"))
+    value = F.bround(F.least(F.lit(255.0), F.greatest(F.lit(0.0), byte(F.col("r")) * (1 - a) + byte(source) * a))).cast("int")
+    return ref.join(o, ["g", "p"]).select("g", "p", F.when(kept, F.col("reference")).otherwise(F.col("owner")).alias("owner"), kept.alias("kept"), value.alias("blended"))
 
 
 @query("masked_neighbour_owner", f"WITH o AS (SELECT g, p, arg_max(f, (q, -f)) AS owner FROM ({PX_SQL}) GROUP BY g, p), n AS (SELECT a.g, a.p, b.owner, count(*) AS c FROM o a JOIN o b ON a.g = b.g AND a.p <> b.p AND abs(a.p % 8 - b.p % 8) <= 1 AND abs(a.p // 8 - b.p // 8) <= 1 GROUP BY ALL) SELECT g, p, arg_max(owner, (c, -owner)) AS dominant FROM n GROUP BY g, p")
@@ -353,14 +445,30 @@ def box_stencil(spark, sf):
     return out.select("g", "f", (F.col("x") + 8 * F.col("y")).alias("p"), F.round("response", 6).alias("mean"))
 
 
-@query("median_label_filter", f"WITH o AS (SELECT g, p, arg_max(f, (q, -f)) AS owner FROM ({PX_SQL}) GROUP BY g, p) SELECT a.g, a.p, quantile_disc(b.owner, 0.5) AS owner FROM o a JOIN o b ON a.g = b.g AND abs(a.p % 8 - b.p % 8) <= 1 AND abs(a.p // 8 - b.p // 8) <= 1 WHERE a.p % 8 BETWEEN 1 AND 6 AND a.p // 8 BETWEEN 1 AND 6 GROUP BY a.g, a.p")
+@query("median_label_filter", f"""WITH i AS (SELECT label AS g, vec_id AS f, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings), o AS (SELECT x.g, x.p, k AS label FROM (SELECT g, p, arg_max(f, (q, -f)) AS owner FROM ({PX_SQL}) GROUP BY g, p) x JOIN i ON i.g = x.g AND i.f = x.owner),
+    c AS (SELECT i.g, p, 0.299 * r + 0.587 * gr + 0.114 * b AS gray, greatest(r, gr, b) - least(r, gr, b) AS chroma FROM ({RGB_SQL}) x JOIN i ON i.f = x.f AND k = 0),
+    t AS (SELECT o.g, o.p, least(7, greatest(0, p % 8 + dx)) + 8 * least(7, greatest(0, p // 8 + dy)) AS s FROM o, generate_series(-7, 7) AS a(dx), generate_series(-7, 7) AS b(dy)), m AS (SELECT t.g, t.p, quantile_disc(o.label, 0.5) AS middle FROM t JOIN o ON o.g = t.g AND o.p = t.s GROUP BY t.g, t.p),
+    w AS (SELECT g, max(label) AS most FROM o GROUP BY g)
+    SELECT o.g, o.p, CASE WHEN most <= 255 AND gray < 235 AND chroma < 65 THEN middle ELSE label END AS label FROM o JOIN m USING (g, p) JOIN c USING (g, p) JOIN w USING (g)""")
 def median_label_filter(spark, sf):
-    """Median label of the 3 x 3 surroundings of inner positions; nine values, so the middle exists."""
-    o = owner_map(spark, sf)
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    x, y = F.col("p") % 8 + F.col("s.dx"), F.floor(F.col("p") / 8) + F.col("s.dy")
-    sent = o.select("g", "owner", "p", F.explode(steps).alias("s")).filter(x.between(1, 6) & y.between(1, 6)).select("g", (x + 8 * y).cast("int").alias("p"), "owner")
-    return sent.groupBy("g", "p").agg(F.get(F.sort_array(F.collect_list("owner")), 4).alias("owner"))
+    """Median label of the 15 x 15 surroundings, the edge carried on, where the reference is neither bright nor coloured.
+
+    Labels are numbers of frames in their group; a group with a label over 255 is left as it is. A group's label map is
+    one row of 64, searched in place.
+    """
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("f"))
+    index = e.withColumn("k", (F.row_number().over(Window.partitionBy("g").orderBy("f")) - 1).cast("int"))
+    o = owner_map(spark, sf).join(index, (F.col("owner") == index.f), "inner").select(index.g, "p", F.col("k").alias("label"))
+    whole = o.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]).alias("m"))
+    near = lambda c: F.sequence(c - 7, c + 7)
+    clamp = lambda c: F.least(F.lit(7), F.greatest(F.lit(0), c))
+    x, y = F.col("p") % 8, F.floor(F.col("p") / 8).cast("int")
+    taps = F.flatten(F.transform(near(y), lambda j: F.transform(near(x), lambda i: F.get("m", clamp(i) + 8 * clamp(j)))))
+    middle = F.get(F.sort_array(taps), 112)
+    first = index.filter("k = 0").select("g", "f")
+    gate = rgb(spark, sf).join(first, "f").select("g", "p", ((0.299 * F.col("r") + 0.587 * F.col("gr") + 0.114 * F.col("b") < 235) & (F.greatest("r", "gr", "b") - F.least("r", "gr", "b") < 65)).alias("open"))
+    rows = whole.select("g", "m", F.posexplode("m").alias("p", "label")).join(gate, ["g", "p"])
+    return rows.select("g", "p", F.when(F.col("open") & (F.array_max("m") <= 255), middle).otherwise(F.col("label")).alias("label"))
 
 
 @query("tile_windows", "WITH s(size, tile, overlap) AS (VALUES (1000, 256, 64), (700, 512, 128), (200, 256, 64)), w AS (SELECT *, greatest(64, tile - overlap) AS stride FROM s), b AS (SELECT *, unnest(generate_series(0, greatest(0, size - tile + stride - 1) // stride)) AS k FROM w) SELECT DISTINCT size, tile, greatest(0, least(k * stride, size - tile))::BIGINT AS start, least(size, greatest(0, least(k * stride, size - tile)) + tile)::BIGINT AS stop FROM b")
@@ -400,10 +508,20 @@ def refiner_gate(spark, sf):
     return m.join(every, "g").select("g", "i", "j", F.when(F.col("every"), "refined").otherwise("identity").alias("transform"))
 
 
-@query("alignment_validation", "SELECT doc_id, CASE WHEN ratio < 0.35 OR ratio > 1.75 THEN 'reject' WHEN ratio < 0.65 THEN 'warn' ELSE 'ok' END AS state FROM (SELECT doc_id, n_chars / 2000.0 AS ratio FROM documents)")
+@query("alignment_validation", """WITH a AS (SELECT conv_id AS g, count(*) AS n, count(*) - (conv_id % 11 = 0)::INT AS inputs, count(DISTINCT CASE WHEN conv_id % 7 = 0 THEN turn % 2 ELSE 0 END) AS sizes, max(length(text)) / 100.0 AS residual, min(length(text)) > 5 AS subject, sum(length(text)) / 900.0 AS ratio FROM conversations GROUP BY conv_id)
+    SELECT g, CASE WHEN n <> inputs THEN 'count' WHEN residual > 4 THEN 'silhouette' WHEN NOT subject THEN 'subject' WHEN sizes > 1 THEN 'size' WHEN ratio < 0.35 OR ratio > 1.75 THEN 'crop' WHEN ratio < 0.65 THEN 'warning' ELSE 'ok' END AS state FROM a""")
 def alignment_validation(spark, sf):
-    r = F.col("n_chars") / 2000.0
-    return table(spark, sf, "documents").select("doc_id", F.when((r < 0.35) | (r > 1.75), "reject").when(r < 0.65, "warn").otherwise("ok").alias("state"))
+    """Gates of an aligned stack in order: count, silhouette, subject, size, crop ratio; a small ratio is a warning.
+
+    Measures of the frames are stand-ins; the silhouette's and the subject's are ``silhouette_residual`` and ``scenes``.
+    """
+    c, even = table(spark, sf, "conversations"), F.when(F.col("conv_id") % 7 == 0, F.col("turn") % 2).otherwise(0)
+    a = c.groupBy(F.col("conv_id").alias("g")).agg(
+        F.count("*").alias("n"), F.count_distinct(even).alias("sizes"), (F.max(F.length("text")) / 100.0).alias("residual"), (F.min(F.length("text")) > 5).alias("subject"), (F.sum(F.length("text")) / 900.0).alias("ratio"),
+    )
+    inputs, r = F.col("n") - (F.col("g") % 11 == 0).cast("int"), F.col("ratio")
+    state = F.when(F.col("n") != inputs, "count").when(F.col("residual") > 4, "silhouette").when(~F.col("subject"), "subject").when(F.col("sizes") > 1, "size")
+    return a.select("g", state.when((r < 0.35) | (r > 1.75), "crop").when(r < 0.65, "warning").otherwise("ok").alias("state"))
 
 
 @query("texture_rois", f"WITH t AS (SELECT g, f, p // 8 AS patch, stddev_pop(q) AS texture FROM ({PX_SQL}) GROUP BY ALL) SELECT f, patch, round(texture, 6) AS texture FROM t WHERE texture > 1 QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(texture, 6) DESC, patch) <= 6")
@@ -414,25 +532,64 @@ def texture_rois(spark, sf):
     return t.withColumn("k", F.row_number().over(w)).filter("k <= 6").select("f", "patch", "texture")
 
 
-@query("nearest_edge", f"WITH px AS (SELECT g, f, p % 8 AS x, p // 8 AS y, p, q FROM ({PX_SQL})), e AS (SELECT * FROM px WHERE q > 15000) SELECT px.f, px.p, arg_min(e.q, ((px.x - e.x) * (px.x - e.x) + (px.y - e.y) * (px.y - e.y), e.y, e.x)) AS strength FROM px JOIN e ON px.f = e.f AND abs(px.x - e.x) <= 2 AND abs(px.y - e.y) <= 2 GROUP BY px.f, px.p")
-def nearest_edge(spark, sf):
-    """Strength of the nearest edge position within two steps: edges are sent to the places they reach."""
-    px = pixels(spark, sf).select("f", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "q")
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3)])
-    sent = px.filter("q > 15000").select("f", "x", "y", "q", F.explode(steps).alias("s"))
-    tx, ty = F.col("x") + F.col("s.dx"), F.col("y") + F.col("s.dy")
-    sent = sent.filter(tx.between(0, 7) & ty.between(0, 7)).select("f", (tx + 8 * ty).alias("p"), F.struct((F.col("s.dx") * F.col("s.dx") + F.col("s.dy") * F.col("s.dy")).alias("d"), "y", "x").alias("k"), "q")
-    return sent.groupBy("f", "p").agg(F.min_by("q", "k").alias("strength"))
+RADIUS = 8
+
 
+@query("nearest_edge", f"""WITH px AS (SELECT g, f, p, p % 8 AS x, p // 8 AS y, q FROM ({PX_SQL})), e AS (SELECT * FROM px WHERE q > 15000),
+    s AS (SELECT a.f, a.x, a.y, sum(b.q * exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 8.0)) / sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 8.0)) AS strength FROM e a JOIN e b ON a.f = b.f AND abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6 GROUP BY a.f, a.x, a.y),
+    n AS (SELECT px.f, px.p, min((px.x - s.x) * (px.x - s.x) + (px.y - s.y) * (px.y - s.y)) AS d2, arg_min(strength, ((px.x - s.x) * (px.x - s.x) + (px.y - s.y) * (px.y - s.y), s.y, s.x)) AS strength FROM px JOIN s ON px.f = s.f GROUP BY px.f, px.p)
+    SELECT f, p, round(strength * least(1, greatest(0, (9 - sqrt(d2)) / 2.0)), 5) AS strength FROM n""")
+def nearest_edge(spark, sf):
+    """Every position takes the smoothed strength of its nearest edge (sigma 2, over edges alone), which fades towards the radius.
 
-@query("owner_propagation", f"WITH px AS (SELECT f, p % 8 AS x, p // 8 AS y, p, q FROM ({PX_SQL})), m AS (SELECT p, max(q) AS top FROM px GROUP BY p), s AS (SELECT px.* FROM px JOIN m USING (p) WHERE q >= 0.5 * top) SELECT a.f AS f, a.p, arg_min(s.f, ((a.x - s.x) * (a.x - s.x) + (a.y - s.y) * (a.y - s.y), s.f)) AS owner FROM px a JOIN s ON abs(a.x - s.x) <= 1 AND abs(a.y - s.y) <= 1 GROUP BY a.f, a.p")
+    Edges are sent to the places they reach; the radius spans these maps.
+    """
+    px = pixels(spark, sf).select("f", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "q")
+    edges = px.filter("q > 15000")
+    w = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / 8.0)
+    smooth = maps.sent(edges, ["f"], ["q"], "x", "y", 8, maps.window(6)).groupBy("f", "x", "y").agg((F.sum(w * F.col("q")) / F.sum(w)).alias("strength"))
+    strength = edges.select("f", "x", "y").join(smooth, ["f", "x", "y"]).withColumns({"ex": F.col("x"), "ey": F.col("y")})
+    d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    near = maps.sent(strength, ["f"], ["strength", "ex", "ey"], "x", "y", 8, maps.window(RADIUS - 1)).groupBy("f", "x", "y").agg(F.min(F.struct(d2.alias("d2"), "ey", "ex", "strength")).alias("m"))
+    fade = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (RADIUS + 1 - F.sqrt("m.d2")) / max(2.0, RADIUS / 4)))
+    return near.select("f", (F.col("x") + 8 * F.col("y")).alias("p"), F.round(F.col("m.strength") * fade, 5).alias("strength"))
+
+
+@query("owner_propagation", f"""WITH o AS (SELECT g, p, p % 8 AS x, p // 8 AS y, max(q) AS best, arg_max(f, (q, -f)) AS owner FROM ({PX_SQL}) WHERE q < 21000 GROUP BY g, p), l AS (SELECT a.g, a.p, max(b.best) AS top FROM o a JOIN o b ON a.g = b.g AND (a.x - b.x) * (a.x - b.x) / 4.0 + (a.y - b.y) * (a.y - b.y) <= 1 GROUP BY a.g, a.p),
+    s AS (SELECT o.* FROM o JOIN l USING (g, p) WHERE best >= 0.98 * top), n AS (SELECT o.g, o.p, arg_min(s.owner, ((o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y), s.p)) AS near FROM o JOIN s ON o.g = s.g AND (o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y) <= 9 GROUP BY o.g, o.p)
+    SELECT o.g, o.p, CASE WHEN o.p % 9 <> 0 THEN coalesce(near, owner) ELSE owner END AS owner FROM o LEFT JOIN n USING (g, p)""")
 def owner_propagation(spark, sf):
-    """Every position takes the nearest seed's owner; seeds hold half of the local best."""
-    px = pixels(spark, sf).select("f", "p", "q")
-    top = px.groupBy("p").agg(F.max("q").alias("top"))
-    seeds = px.join(top, "p").filter(F.col("q") >= 0.5 * F.col("top"))
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    tx, ty = F.col("p") % 8 + F.col("s.dx"), F.floor(F.col("p") / 8).cast("int") + F.col("s.dy")
-    sent = seeds.select("p", F.col("f").alias("o"), F.explode(steps).alias("s")).filter(tx.between(0, 7) & ty.between(0, 7)).select((tx + 8 * ty).alias("p"), F.struct((F.col("s.dx") * F.col("s.dx") + F.col("s.dy") * F.col("s.dy")).alias("d"), F.col("o")).alias("k"))
-    near = sent.groupBy("p").agg(F.min("k")["o"].alias("owner"))
-    return px.select("f", "p").join(near, "p")
+    """Seeds hold most of the local best in an ellipse; positions inside take the owner of the nearest seed within the radius.
+
+    The share of the best is 0.98 in place of 0.5, which every position of these maps would hold.
+    """
+    px = pixels(spark, sf).filter("q < 21000")
+    o = maps.owner(px, ["g", "p"], "f", "q").select("g", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "best", "owner")
+    top = maps.sent(o, ["g"], ["best"], "x", "y", 8, maps.disc(2, 1)).groupBy("g", "x", "y").agg(F.max("best").alias("top"))
+    seeds = o.join(top, ["g", "x", "y"]).filter(F.col("best") >= 0.98 * F.col("top")).withColumn("sp", F.col("x") + 8 * F.col("y"))
+    d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    near = maps.sent(seeds, ["g"], ["owner", "sp"], "x", "y", 8, maps.disc(3, 3)).groupBy("g", "x", "y").agg(F.min(F.struct(d2.alias("d2"), "sp", F.col("owner").alias("near"))).alias("n"))
+    p = F.col("x") + 8 * F.col("y")
+    return o.join(near, ["g", "x", "y"], "left").select("g", p.alias("p"), F.when(p % 9 != 0, F.coalesce("n.near", "owner")).otherwise(F.col("owner")).alias("owner"))
+
+
+@query("mask_shrink", f"SELECT f, (p // 8) // 2 * 4 + (p % 8) // 2 AS cell, bool_and({VALID}) AS valid FROM ({PX_SQL}) GROUP BY ALL")
+def mask_shrink(spark, sf):
+    """A mask at half the size: a cell is valid only if all of it is."""
+    cell = (F.floor(F.floor(F.col("p") / 8) / 2) * 4 + F.floor(F.col("p") % 8 / 2)).cast("bigint")
+    return pixels(spark, sf).groupBy("f", cell.alias("cell")).agg(F.bool_and(frame_valid()).alias("valid"))
+
+
+@query("flat_gate", f"""WITH px AS ({PX_SQL}), s AS (SELECT g, p, max(q) AS best, arg_max(f, (q, -f)) AS owner, min(f) AS reference, stddev_pop(q) AS spread FROM px GROUP BY g, p), l AS (SELECT g, quantile_cont(spread, 0.35) AS t FROM s GROUP BY g), f AS (SELECT s.g, best FROM s JOIN l USING (g) WHERE spread <= t),
+    m AS (SELECT g, median(best) AS med FROM f GROUP BY g), c AS (SELECT g, med + 0.5 * 1.4826 * median(abs(best - med)) AS ceiling FROM f JOIN m USING (g) GROUP BY g, med)
+    SELECT g, p, CASE WHEN spread <= t AND best <= ceiling THEN reference ELSE owner END AS owner, spread <= t AND best <= ceiling AS locked FROM s JOIN l USING (g) JOIN c USING (g)""")
+def flat_gate(spark, sf):
+    """Flat positions whose response stays under the noise ceiling are locked to the reference, the first frame."""
+    s = pixels(spark, sf).groupBy("g", "p").agg(F.max(F.struct("q", (-F.col("f")).alias("f"))).alias("m"), F.min("f").alias("reference"), F.stddev_pop("q").alias("spread"))
+    s = s.select("g", "p", F.col("m.q").alias("best"), (-F.col("m.f")).alias("owner"), "reference", "spread")
+    l = s.groupBy("g").agg(F.percentile("spread", 0.35).alias("t"))
+    flat = s.join(l, "g").filter(F.col("spread") <= F.col("t"))
+    m = flat.groupBy("g").agg(F.percentile("best", 0.5).alias("med"))
+    c = flat.join(m, "g").groupBy("g", "med").agg(F.percentile(F.abs(F.col("best") - F.col("med")), 0.5).alias("mad")).select("g", (F.col("med") + 0.5 * 1.4826 * F.col("mad")).alias("ceiling"))
+    locked = (F.col("spread") <= F.col("t")) & (F.col("best") <= F.col("ceiling"))
+    return s.join(l, "g").join(c, "g").select("g", "p", F.when(locked, F.col("reference")).otherwise(F.col("owner")).alias("owner"), locked.alias("locked"))
