@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators.sequence import global_rank
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order``; ties fall to the greatest whole row, so a re-run gives the same."""
@@ -53,14 +55,9 @@ def conform(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 def append_with_ids(base: DataFrame, new: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Append rows with dense surrogate ids after the greatest one present."""
+    """Append rows with dense surrogate ids after the greatest one present, in the order of ``order``, which must be unique."""
     top = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    # Dense numbers without one global window: rank inside hash buckets, then add the buckets before.
-    cells = new.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(64)).cast("int"))
-    sums = cells.groupBy("_b").count()
-    before = sums.select("_b", (F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    ranked = cells.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(F.broadcast(before), "_b").join(F.broadcast(top))
-    numbered = ranked.withColumn(id_col, F.col("_top") + F.coalesce("_before", F.lit(0)) + F.col("_k"))
+    numbered = global_rank(new, order, "_k").join(F.broadcast(top)).withColumn(id_col, F.col("_top") + F.col("_k"))  # one row
     return base.unionByName(numbered.select(*base.columns))
 
 
@@ -173,6 +170,18 @@ class VersionedTables:
                     raise
         raise ValueError("tries must be positive")
 
+    def migrate(self, name: str, schema: dict[str, str]) -> bool:
+        """Bring a stored table to ``schema``: missing columns are added as nulls, types are widened, unknown columns go. False if it is so already."""
+        changed = []
+
+        def change(read):
+            df = read(name)
+            changed[:] = [c for c, t in schema.items() if c not in df.columns or df.select(F.col(c).cast(t)).schema != df.select(c).schema] + [c for c in df.columns if c not in schema]
+            return {name: conform(df, schema)} if changed else {}
+
+        self.update(change)
+        return bool(changed)
+
     def vacuum(self, keep: int = 3) -> int:
         """Delete pointers but the last ``keep`` whole ones, and folders that none of those name; returns how many folders went.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import state
+from lamina.operators import archive, sequence, state
 from lamina.plans.registry import query
 from lamina.sources.adapters import IMAGES_SQL, JOBS_SQL, OLD_NEW_SQL, images, jobs, members, old_and_new, table
 
@@ -87,13 +87,13 @@ def schema_migration(spark, sf):
     return state.conform(old, {"key": "bigint", "size": "double", "status": "string", "error": "string", "attempt": "bigint"})
 
 
-@query("insert_group", "SELECT count(*) AS n, min(c_custkey) AS first_id, max(c_custkey) AS last_id, count(DISTINCT c_custkey) AS n_ids FROM (SELECT c_custkey FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey) FROM supplier)")
+@query("insert_group", """SELECT c_custkey, c_name, NULL AS progress, NULL AS members FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_name), s_name, least(1.0, greatest(0.0, s_acctbal / 5000))::DOUBLE, '[' || s_suppkey || ',' || s_nationkey || ']' FROM supplier""")
 def insert_group(spark, sf):
-    """Appended rows get dense ids after the greatest present."""
-    base = table(spark, sf, "customer").select("c_custkey", "c_name")
-    new = table(spark, sf, "supplier").select(F.col("s_name").alias("c_name"))
-    out = state.append_with_ids(base, new, "c_custkey", ["c_name"])
-    return out.agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_id"), F.max("c_custkey").alias("last_id"), F.count_distinct("c_custkey").alias("n_ids"))
+    """Appended rows get dense ids after the greatest present, a clamped progress and their order as JSON."""
+    base = table(spark, sf, "customer").select("c_custkey", "c_name", F.lit(None).cast("double").alias("progress"), F.lit(None).cast("string").alias("members"))
+    progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s_acctbal") / 5000))
+    new = table(spark, sf, "supplier").select(F.col("s_name").alias("c_name"), progress.alias("progress"), F.to_json(F.array(F.col("s_suppkey"), F.col("s_nationkey").cast("bigint"))).alias("members"))
+    return state.append_with_ids(base, new, "c_custkey", ["c_name"])
 
 
 @query("foreign_key_set_null", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN NULL ELSE o_custkey END AS o_custkey FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
@@ -122,6 +122,33 @@ def cached_plans(spark, sf):
     return parsed.select("key", F.when(hit, F.try_variant_get("v", "$.k", "bigint")).alias("k"), hit.alias("hit"))
 
 
+#: Version of the payloads that this engine writes.
+PLAN_VERSION = 1
+PLANS_SQL = "SELECT event_id % 2 AS kind, event_id // 3 AS cache_key, CASE WHEN event_id % 11 = 0 THEN '{broken' ELSE props END AS payload, event_id % 3 AS version, event_id AS written FROM events"
+
+
+def plans(spark, sf):
+    e = table(spark, sf, "events")
+    payload = F.when(F.col("event_id") % 11 == 0, "{broken").otherwise(F.col("props"))
+    return e.select((F.col("event_id") % 2).alias("kind"), F.floor(F.col("event_id") / 3).alias("cache_key"), payload.alias("payload"), (F.col("event_id") % 3).alias("version"), F.col("event_id").alias("written"))
+
+
+@query("plan_cache_upsert", f"WITH p AS ({PLANS_SQL}) SELECT kind, cache_key, arg_max(payload, written) AS payload, arg_max(version, written) AS version, max(written) AS written FROM p GROUP BY kind, cache_key")
+def plan_cache_upsert(spark, sf):
+    """The cache after all writes: the even half stored, the odd half put on top by (kind, key), the later write winning."""
+    p = plans(spark, sf)
+    stored, new = (state.latest(p.filter(F.col("written") % 4 < 2 if old else F.col("written") % 4 >= 2), ["kind", "cache_key"], ["written"]) for old in (True, False))
+    return state.latest(state.upsert(stored, new, ["kind", "cache_key"]).unionByName(stored), ["kind", "cache_key"], ["written"])
+
+
+@query("plan_cache_invalidate", f"WITH p AS ({PLANS_SQL}), c AS (SELECT kind, cache_key, arg_max(payload, written) AS payload, arg_max(version, written) AS version FROM p GROUP BY kind, cache_key) SELECT kind, cache_key, version FROM c WHERE json_valid(payload) AND cache_key NOT IN (SELECT doc_id FROM labels)")
+def plan_cache_invalidate(spark, sf):
+    """Rows whose payload can't be parsed, and those whose key is listed as changed, are deleted."""
+    cache = state.latest(plans(spark, sf), ["kind", "cache_key"], ["written"])
+    changed = table(spark, sf, "labels").select(F.col("doc_id").alias("cache_key")).distinct()
+    return cache.filter(F.try_parse_json("payload").isNotNull()).join(changed, "cache_key", "left_anti").select("kind", "cache_key", "version")
+
+
 @query("manifest_journal", """SELECT conv_id AS group_id, turn AS position, role AS kind, length(text) AS n FROM conversations WHERE role IS NOT NULL""")
 def manifest_journal(spark, sf):
     """Rows stored as a JSON array per group, replayed in order."""
@@ -131,27 +158,81 @@ def manifest_journal(spark, sf):
     return rows.select("group_id", "r.position", "r.kind", F.length("r.name").cast("bigint").alias("n"))
 
 
-@query("manifest_rows", """WITH d AS (SELECT doc_id, source, n_chars FROM documents), l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-    g AS (SELECT DISTINCT source FROM d UNION SELECT 'empty-group'), a AS (SELECT 'archive-' || item_id AS path FROM benchmark)
-    SELECT g.source AS group_id, CASE WHEN d.doc_id IS NOT NULL THEN g.source || d.doc_id END AS image, d.n_chars AS size, CASE WHEN d.doc_id IS NULL THEN 'group has no images' WHEN l.toxic = 1 THEN 'excluded' WHEN l.quality = 1 THEN 'selected' ELSE 'not selected' END AS reason
-    FROM g LEFT JOIN d ON d.source = g.source LEFT JOIN l ON l.doc_id = d.doc_id UNION ALL SELECT 'archive', path, NULL, 'archive only' FROM a""")
-def manifest_rows(spark, sf):
-    """One row per image of each group; an empty group keeps one row; sources known only to the archive are added."""
-    d = table(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").alias("size"))
-    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    groups = d.select("source").distinct().union(spark.createDataFrame([("empty-group",)], "source string"))
-    reason = F.when(F.col("doc_id").isNull(), "group has no images").when(F.col("toxic") == 1, "excluded").when(F.col("quality") == 1, "selected").otherwise("not selected")
-    rows = groups.join(d, "source", "left").join(labels, "doc_id", "left").select(F.col("source").alias("group_id"), F.when(F.col("doc_id").isNotNull(), F.concat("source", F.col("doc_id").cast("string"))).alias("image"), "size", reason.alias("reason"))
-    archive = table(spark, sf, "benchmark").select(F.lit("archive").alias("group_id"), F.concat(F.lit("archive-"), F.col("item_id").cast("string")).alias("image"), F.lit(None).cast("bigint").alias("size"), F.lit("archive only").alias("reason"))
-    return rows.unionByName(archive.join(rows.select("image"), "image", "left_anti"))
+#: The fields of a manifest row, in order, and names that other parts use for them.
+MANIFEST_FIELDS = (
+    "group_id first_image image selected selection_reason quality_score coverage_gain group_coverage merge_output status capture_order alignment_order actual_hugin_input_order "
+    "alignment_order_confidence preview_reference fusion_backend requested_backend actual_backend alignment_level alignment_status crop_ratio fallback_used diagnostics"
+).split()
+MANIFEST_ALIASES = {"first_original": "first_image", "first_original_image": "first_image", "filename": "image", "output_path": "merge_output", "coverage": "group_coverage", "reason": "selection_reason"}
 
 
-@query("manifest_normalise", "SELECT doc_id AS image_id, lower(CAST(n_chars > 1000 AS VARCHAR)) AS selected, '{\"lang\":\"' || lang || '\",\"size\":' || n_chars || '}' AS details FROM documents")
+@query("manifest_rows", """WITH d AS (SELECT doc_id, source, n_chars, source || doc_id AS image, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS a FROM documents), l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+    g AS (SELECT source, arg_min(image, doc_id) AS first_image FROM d GROUP BY source UNION ALL SELECT 'empty-group', ''), s AS (SELECT source, count_if(quality = 1) / count(*) AS share, count_if(quality = 1) AS n FROM d LEFT JOIN l USING (doc_id) GROUP BY source), a AS (SELECT 'archive-' || item_id AS path FROM benchmark)
+    SELECT g.source AS group_id, first_image, coalesce(image, '') AS image, CASE WHEN quality = 1 AND toxic <> 1 THEN 'true' ELSE 'false' END AS selected, CASE WHEN image IS NULL THEN '' WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'selected' ELSE 'not selected' END AS selection_reason,
+    (quality * 0.75)::DOUBLE AS quality_score, CASE WHEN quality = 1 THEN n_chars / 1000.0 END AS coverage_gain, share AS group_coverage, CASE WHEN n > 1 THEN 'out/' || g.source || '.tif' ELSE '' END AS merge_output, CASE WHEN n > 1 THEN 'DONE' ELSE 'NO_MERGE' END AS status, coalesce(k::VARCHAR, '') AS capture_order, coalesce(a::VARCHAR, '') AS alignment_order,
+    '' AS actual_hugin_input_order, CASE WHEN k IS NOT NULL THEN 1.0::DOUBLE END AS alignment_order_confidence, first_image AS preview_reference, 'ai' AS fusion_backend, 'ai' AS requested_backend, CASE WHEN n_chars % 5 = 0 THEN 'quality' ELSE 'ai' END AS actual_backend, (d.doc_id % 4)::INT AS alignment_level, CASE WHEN image IS NULL THEN '' WHEN d.doc_id % 4 = 3 THEN 'failed' ELSE 'ok' END AS alignment_status,
+    n_chars / 2000.0 AS crop_ratio, CASE WHEN n_chars % 5 = 0 THEN 'true' ELSE 'false' END AS fallback_used, CASE WHEN image IS NULL THEN 'group has no images' WHEN d.doc_id % 4 = 3 THEN 'level 3; alignment failed' ELSE 'level ' || d.doc_id % 4 END AS diagnostics
+    FROM g LEFT JOIN d ON d.source = g.source LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN s ON s.source = g.source
+    UNION ALL SELECT 'archive', '', path, 'false', '', NULL, NULL, NULL, '', 'archive only', '', '', '', NULL, '', '', '', '', NULL, '', NULL, 'false', 'archive only' FROM a""")
+def manifest_rows(spark, sf):
+    """One row of 23 fields per image of each group; an empty group keeps one row; sources known only to the archive are added.
+
+    An error is appended to a row's diagnostics.
+    """
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", F.concat("source", F.col("doc_id").cast("string")).alias("image"))
+    d = sequence.grouped_rank(sequence.grouped_rank(d, ["source"], ["doc_id"], "k"), ["source"], ["n_chars", "doc_id"], "a")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    images = d.join(labels, "doc_id", "left")
+    groups = images.groupBy("source").agg(F.min_by("image", "doc_id").alias("first_image"), (F.count_if(F.col("quality") == 1) / F.count("*")).alias("share"), F.count_if(F.col("quality") == 1).alias("n"))
+    groups = groups.unionByName(spark.createDataFrame([("empty-group", "")], "source string, first_image string"), allowMissingColumns=True)
+    none, chosen, level = F.col("image").isNull(), F.col("quality") == 1, (F.col("doc_id") % 4).cast("int")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    note = F.concat(F.lit("level "), level.cast("string"))
+    fallback = F.col("n_chars") % 5 == 0
+    values = {
+        "group_id": F.col("source"), "first_image": F.col("first_image"), "image": text(F.col("image")), "selected": flag(chosen & (F.col("toxic") != 1)),
+        "selection_reason": F.when(none, "").when(F.col("toxic") == 1, "excluded").when(chosen, "selected").otherwise("not selected"),
+        "quality_score": F.col("quality") * 0.75, "coverage_gain": F.when(chosen, F.col("n_chars") / 1000.0), "group_coverage": F.col("share"),
+        "merge_output": F.when(F.col("n") > 1, F.concat(F.lit("out/"), "source", F.lit(".tif"))).otherwise(""), "status": F.when(F.col("n") > 1, "DONE").otherwise("NO_MERGE"),
+        "capture_order": text(F.col("k") - 1), "alignment_order": text(F.col("a") - 1), "actual_hugin_input_order": F.lit(""), "alignment_order_confidence": F.when(F.col("k").isNotNull(), 1.0),
+        "preview_reference": F.col("first_image"), "fusion_backend": F.lit("ai"), "requested_backend": F.lit("ai"), "actual_backend": F.when(fallback, "quality").otherwise("ai"),
+        "alignment_level": level, "alignment_status": F.when(none, "").when(level == 3, "failed").otherwise("ok"), "crop_ratio": F.col("n_chars") / 2000.0, "fallback_used": flag(fallback),
+        "diagnostics": F.when(none, "group has no images").when(level == 3, F.concat(note, F.lit("; alignment failed"))).otherwise(note),
+    }
+    rows = groups.join(images, "source", "left").select(*[values[f].alias(f) for f in MANIFEST_FIELDS])
+    archive = table(spark, sf, "benchmark").select(F.concat(F.lit("archive-"), F.col("item_id").cast("string")).alias("image")).join(rows.select("image"), "image", "left_anti")
+    fixed = {"group_id": "archive", "selected": "false", "status": "archive only", "fallback_used": "false", "diagnostics": "archive only"}
+    numbers = {f.name: f.dataType for f in rows.schema if f.dataType.typeName() != "string"}
+    return rows.unionByName(archive.select(*[F.col(f) if f == "image" else F.lit(None).cast(numbers[f]).alias(f) if f in numbers else F.lit(fixed.get(f, "")).alias(f) for f in MANIFEST_FIELDS]))
+
+
+@query("manifest_normalise", """SELECT doc_id::VARCHAR AS image, CASE WHEN doc_id % 3 = 0 THEN 'first' || source ELSE 'orig' || source END AS first_image, 'out/' || doc_id AS merge_output, n_chars / 1000.0 AS group_coverage, lang AS selection_reason,
+    CASE WHEN n_chars > 1000 THEN 'true' ELSE 'false' END AS selected, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS fallback_used, '[' || doc_id || ',' || n_chars || ']' AS capture_order, '{"lang":"' || lang || '","size":' || n_chars || '}' AS diagnostics FROM documents""")
 def manifest_normalise(spark, sf):
-    """Aliases renamed, booleans and structs as text."""
-    d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") > 1000).alias("use"), F.struct("lang", F.col("n_chars").alias("size")).alias("meta"))
-    d = d.withColumnsRenamed({"doc_id": "image_id", "use": "selected", "meta": "details"})
-    return d.select("image_id", F.lower(F.col("selected").cast("string")).alias("selected"), F.to_json("details").alias("details"))
+    """All aliases renamed, where the field itself isn't there; booleans as text, a missing selection as false; lists and structs as compact JSON."""
+    d = table(spark, sf, "documents")
+    raw = d.select(
+        F.col("doc_id").cast("string").alias("filename"), F.concat(F.lit("orig"), "source").alias("first_original"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("first"), "source")).alias("first_original_image"),
+        F.concat(F.lit("out/"), F.col("doc_id").cast("string")).alias("output_path"), (F.col("n_chars") / 1000.0).alias("coverage"), F.col("lang").alias("reason"), F.when(F.col("n_chars") > 1000, True).alias("selected"),
+        (F.col("doc_id") % 2 == 0).alias("fallback_used"), F.array("doc_id", "n_chars").alias("capture_order"), F.struct("lang", F.col("n_chars").alias("size")).alias("diagnostics"),
+    )
+    return normalised_manifest(raw)
+
+
+def normalised_manifest(raw):
+    """Columns named as fields or by their aliases, as manifest text and numbers."""
+    given = [f for f in MANIFEST_FIELDS if f in raw.columns or any(a in raw.columns for a, g in MANIFEST_ALIASES.items() if g == f)]
+    out = []
+    for field in given:
+        names = [field] if field in raw.columns else [a for a, g in reversed(MANIFEST_ALIASES.items()) if g == field and a in raw.columns]
+        c, kind = F.coalesce(*map(F.col, names)), raw.schema[names[0]].dataType.typeName()
+        if field in ("selected", "fallback_used") and kind == "boolean":
+            c = F.when(c, "true").otherwise("false")
+        elif kind in ("array", "struct", "map"):
+            c = F.to_json(c)
+        out.append(c.alias(field))
+    return raw.select(*out)
 
 
 @query("manifest_upsert", "SELECT user_id AS group_id, event_type AS image, max_by(value, event_id) AS size, min(event_id) AS first_seen FROM events GROUP BY ALL")
@@ -199,10 +280,23 @@ def job_state_machine(spark, sf):
     s AS (SELECT source, list_sort(list(id)) AS all_ids, list_sort(list(id) FILTER (status = 'click')) AS chosen FROM i GROUP BY source)
     SELECT group_id, len(CASE WHEN chosen IS NULL OR len(chosen) = 0 THEN all_ids ELSE chosen END)::INT AS n, coalesce(chosen = all_ids, false) AS same FROM u JOIN s ON s.source = u.group_id""")
 def recovery_join(spark, sf):
-    """Unfinished groups with the images to go on with: the selected ones, or all if none are."""
+    """Unfinished groups with how many images go on: the selected ones, or all if none are; by counts, no group is gathered."""
     unfinished = job_latest(spark, sf).select("group_id")
-    per_group = images(spark, sf).groupBy(F.col("source").alias("group_id")).agg(F.array_sort(F.collect_list("id")).alias("all_ids"), F.array_sort(F.collect_list(F.when(F.col("status") == "click", F.col("id")))).alias("chosen"))
-    return unfinished.join(per_group, "group_id").select("group_id", F.size(F.when(F.size("chosen") == 0, F.col("all_ids")).otherwise(F.col("chosen"))).alias("n"), ((F.size("chosen") > 0) & (F.col("chosen") == F.col("all_ids"))).alias("same"))
+    n = images(spark, sf).groupBy(F.col("source").alias("group_id")).agg(F.count("*").alias("all"), F.count_if(F.col("status") == "click").alias("chosen"))
+    return unfinished.join(n, "group_id").select("group_id", F.when(F.col("chosen") == 0, F.col("all")).otherwise(F.col("chosen")).cast("int").alias("n"), (F.col("chosen") == F.col("all")).alias("same"))
+
+
+@query("archive_reconciliation", """WITH j AS (SELECT doc_id AS op, n_chars AS expected, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'archiving' ELSE 'archived' END AS phase FROM documents), t AS (SELECT page_id * 2 AS op, CASE WHEN page_id % 3 = 0 THEN (SELECT n_chars FROM documents WHERE doc_id = page_id * 2) ELSE 7 END AS size FROM pages), s AS (SELECT doc_id AS op FROM labels GROUP BY doc_id)
+    SELECT j.op, CASE WHEN phase = 'archived' THEN 'archived' WHEN t.size = expected THEN 'archived' WHEN t.size IS NOT NULL THEN 'failed' WHEN s.op IS NOT NULL THEN 'pending' ELSE 'failed' END AS phase, CASE WHEN phase <> 'archived' AND t.size = expected THEN expected END AS bytes,
+    CASE WHEN phase <> 'archived' AND t.size <> expected THEN 'size differs' WHEN phase <> 'archived' AND t.size IS NULL AND s.op IS NULL THEN 'source and target are missing' END AS error FROM j LEFT JOIN t USING (op) LEFT JOIN s USING (op)""")
+def archive_reconciliation(spark, sf):
+    """After a crash: an unfinished operation is archived if its target has the expected size, failed if another, pending if only its source is there."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("op"), F.col("n_chars").alias("expected"))
+    phase = F.when(F.col("op") % 3 == 0, "pending").when(F.col("op") % 3 == 1, "archiving").otherwise("archived")
+    sizes = d.withColumnRenamed("expected", "whole")
+    targets = table(spark, sf, "pages").select((F.col("page_id") * 2).alias("op"), (F.col("page_id") % 3 == 0).alias("complete")).join(sizes, "op", "left").select("op", F.when(F.col("complete"), F.col("whole")).otherwise(7).alias("size"))
+    sources = table(spark, sf, "labels").select(F.col("doc_id").alias("op")).distinct().withColumn("there", F.lit(True))
+    return archive.reconciled(d.withColumn("phase", phase), targets, sources)
 
 
 @query("run_summary", f"WITH j AS ({JOBS_SQL}) SELECT status, count(*) AS n, count(DISTINCT group_id) AS n_groups, min(id) AS first_id, max(id) AS last_id FROM j GROUP BY status")
