@@ -182,3 +182,14 @@ def overruled(base: DataFrame, evidence: DataFrame, keys: list[str], share: floa
     """(keys, owner, best) after evidence (keys, strong, strength): its owner takes over unless its strength is under ``share`` of the local best."""
     met = base.join(evidence, keys, "left")
     return met.select(*keys, F.when(F.col("strength") >= share * F.col("best"), F.col("strong")).otherwise(F.col("owner")).alias("owner"), "best")
+
+
+def array_quantile(values: Column, share: float) -> Column:
+    """Linear quantile of an array's numbers; null for an empty one."""
+    def at(v: Column) -> Column:
+        rank = share * (F.size(v) - 1)
+        low = F.floor(rank).cast("int")
+        a, b = F.get(v, low), F.get(v, F.ceil(rank).cast("int"))
+        return a + (rank - low) * (b - a)
+
+    return F.get(F.transform(F.array(F.sort_array(values)), at), 0)

@@ -17,15 +17,26 @@ def split_sequence(rows: DataFrame, source: str, order: list[str], boundary: Col
     return rows.withColumn("_b", F.coalesce(boundary, F.lit(False)).cast("int")).withColumn("group_no", F.sum("_b").over(w)).drop("_b")
 
 
-def capture_boundary(source: str, order: list[str], time: str, value: str, bad: Column, *, pause: float, long_pause: float, change: float, pause_change: float) -> Column:
-    """Where a capture sequence is cut: time runs backwards, a long pause, a great change, or a pause with
-    a small change; unreadable rows stand alone. A missing time is no gap."""
+def capture_boundary(
+    source: str, order: list[str], time: str, value: str, bad: Column, *, pause: float, long_pause: float, change: float, pause_change: float, shape: str | None = None, subject_changed: Column | None = None
+) -> Column:
+    """Where a capture sequence is cut: time runs backwards, a long pause, a great change, another shape or subject, or a
+    pause with a small change; unreadable rows stand alone. A missing time is no gap; what isn't known is no change."""
     w = Window.partitionBy(source).orderBy(*order)
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    known = lambda c: F.coalesce(c, F.lit(False))
     gap = F.coalesce(seconds(F.col(time)) - F.lag(seconds(F.col(time))).over(w), F.lit(0.0))
     moved = F.abs(F.col(value) - F.lag(value).over(w))
     after_bad = F.coalesce(F.lag(bad).over(w), F.lit(False))
-    return bad | after_bad | (gap < 0) | (gap > long_pause) | (moved > change) | ((gap >= pause) & (moved > pause_change))
+    cut = known(bad) | after_bad | (gap < 0) | (gap > long_pause) | known(moved > change) | ((gap >= pause) & known(moved > pause_change))
+    if shape is not None:
+        cut = cut | known(F.col(shape) != F.lag(shape).over(w))
+    return cut if subject_changed is None else cut | known(subject_changed)
+
+
+def path_key(path: Column) -> Column:
+    """A path's key: one kind of slash, no ``.`` parts, none at the end, lower case."""
+    return F.lower(F.regexp_replace(F.replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/./"), F.lit("/")), "/+$", ""))
 
 
 def natural_key(text: Column) -> Column:

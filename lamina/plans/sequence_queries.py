@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import sequence
+from lamina.operators import archive, scenes, sequence
 from lamina.plans.registry import query
 from lamina.sources.adapters import IMAGES_SQL, images, members, table
 
@@ -13,18 +13,29 @@ HOUR = 3600.0
 RULE = {"pause": 2 * HOUR, "long_pause": 8 * HOUR, "change": 300.0, "pause_change": 20.0}
 
 
-@query("sequence_split", f"""WITH i AS ({IMAGES_SQL}), b AS (SELECT *, coalesce(epoch_us(capture_time) / 1e6 - lag(epoch_us(capture_time) / 1e6) OVER w, 0) AS gap, abs(brightness - lag(brightness) OVER w) AS moved,
-    status = 'error' AS bad, coalesce(lag(status = 'error') OVER w, false) AS after_bad FROM i WINDOW w AS (PARTITION BY source ORDER BY seq))
-    SELECT source, id, seq, sum(CASE WHEN coalesce(bad OR after_bad OR gap < 0 OR gap > 28800 OR moved > 300 OR (gap >= 7200 AND moved > 20), false) THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY seq)::BIGINT AS group_no,
+SPLIT_SQL = f"""i AS (SELECT *, CASE WHEN id % 89 = 0 THEN 'portrait' ELSE 'landscape' END AS shape, CASE WHEN id % 4 = 0 THEN id % 13 END AS subject FROM ({IMAGES_SQL})), b AS (SELECT *, coalesce(epoch_us(capture_time) / 1e6 - lag(epoch_us(capture_time) / 1e6) OVER w, 0) AS gap, abs(brightness - lag(brightness) OVER w) AS moved,
+    status = 'error' AS bad, coalesce(lag(status = 'error') OVER w, false) AS after_bad, shape <> lag(shape) OVER w AS turned, abs(subject - lag(subject) OVER w) > 9 AS other FROM i WINDOW w AS (PARTITION BY source ORDER BY seq))"""
+
+
+@query("sequence_split", f"""WITH {SPLIT_SQL} SELECT source, id, seq, sum(CASE WHEN coalesce(bad, false) OR after_bad OR gap < 0 OR gap > 28800 OR coalesce(moved > 300, false) OR coalesce(turned, false) OR coalesce(other, false) OR coalesce(gap >= 7200 AND moved > 20, false) THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY seq)::BIGINT AS group_no,
     CASE WHEN bad THEN 'unreadable' END AS excluded_reason FROM b""")
 def sequence_split(spark, sf):
-    """Default group detector over capture records."""
+    """Default group detector over capture records: time, brightness, shape and subject; ``scene_split`` finds the subject in previews."""
     bad = F.col("status") == "error"
-    rule = sequence.capture_boundary("source", ["seq"], "capture_time", "brightness", bad, **RULE)
-    out = sequence.split_sequence(images(spark, sf), "source", ["seq"], rule)
+    w = Window.partitionBy("source").orderBy("seq")
+    rows = images(spark, sf).withColumns({"shape": F.when(F.col("id") % 89 == 0, "portrait").otherwise("landscape"), "subject": F.when(F.col("id") % 4 == 0, F.col("id") % 13)})
+    other = F.abs(F.col("subject") - F.lag("subject").over(w)) > 9
+    rule = sequence.capture_boundary("source", ["seq"], "capture_time", "brightness", bad, shape="shape", subject_changed=other, **RULE)
+    out = sequence.split_sequence(rows, "source", ["seq"], rule)
     return out.select("source", "id", "seq", "group_no", F.when(bad, "unreadable").alias("excluded_reason"))
 
 
+@query("scene_split")
+def scene_split(spark, sf):
+    """The same rule over previews, whose subjects are found: see ``operators.scenes``."""
+    return scenes.split(scenes.features(scenes.fixture(table(spark, sf, "embeddings"))))
+
+
 @query("out_of_order_time", "SELECT event_id, coalesce(ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), false) AS backwards FROM events")
 def out_of_order_time(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -45,13 +56,24 @@ def capture_time_normalise(spark, sf):
     return table(spark, sf, "events").select("event_id", F.nullif(F.regexp_replace(F.trim(raw), r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3"), F.lit("")).alias("iso"))
 
 
-@query("composition_change", "SELECT e.vec_id, (SELECT avg(abs(e.embedding[i]::DOUBLE - p.embedding[i]::DOUBLE)) FROM generate_series(1, 64) AS s(i)) AS change FROM (SELECT *, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) e JOIN embeddings p ON p.vec_id = e.prev")
+@query("composition_change", """WITH e AS (SELECT label AS g, vec_id AS f, i - 1 AS p, abs(embedding[i]::DOUBLE) AS r, abs(embedding[i % 64 + 1]::DOUBLE) AS gr, abs(embedding[(i + 1) % 64 + 1]::DOUBLE) AS b FROM embeddings, generate_series(1, 64) AS s(i)), n AS (SELECT g, f, lag(f) OVER (PARTITION BY g ORDER BY f) AS prev FROM (SELECT DISTINCT g, f FROM e)),
+    d AS (SELECT n.g, n.f, (abs(x.r - y.r) + abs(x.gr - y.gr) + abs(x.b - y.b)) / 3 AS d, greatest(x.r, x.gr, x.b, y.r, y.gr, y.b) > 0.15 AS seen FROM n JOIN e x ON x.g = n.g AND x.f = n.f JOIN e y ON y.g = n.g AND y.f = n.prev AND y.p = x.p WHERE prev IS NOT NULL)
+    SELECT g, f, round(coalesce(avg(CASE WHEN seen THEN d END), avg(d)), 9) AS change FROM d GROUP BY g, f""")
 def composition_change(spark, sf):
-    """Mean absolute difference of each preview from the one before it in its group."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf, "embeddings").withColumn("prev", F.lag("embedding").over(w)).filter("prev is not null")
-    diff = F.zip_with("embedding", "prev", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
-    return e.select("vec_id", (F.aggregate(diff, F.lit(0.0), lambda s, x: s + x) / F.size("embedding")).alias("change"))
+    """Mean absolute difference of the colours of consecutive previews, where either is brighter than 0.15, or else everywhere."""
+    w = Window.partitionBy("g").orderBy("f")
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("f"), F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("m"))
+    e = e.withColumn("prev", F.lag("m").over(w)).filter("prev is not null")
+    colours = lambda c, p: [F.get(c, (p + k) % 64) for k in range(3)]
+
+    def at(p):
+        now, then = colours("m", p), colours("prev", p)
+        return F.struct((sum((F.abs(a - b) for a, b in zip(now[1:], then[1:])), F.abs(now[0] - then[0])) / 3).alias("d"), (F.greatest(*now, *then) > 0.15).alias("seen"))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(63)), at)
+    mean = lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda t, x: t + x["d"]) / F.size(xs))
+    rows = e.select("g", "f", every.alias("d"))
+    return rows.select("g", "f", F.round(F.coalesce(mean(F.filter("d", lambda x: x["seen"])), mean(F.col("d"))), 9).alias("change"))
 
 
 @query("manual_override", """WITH m AS (SELECT conv_id, turn, role = 'assistant' AS manual FROM conversations), c AS (SELECT *, CASE WHEN manual <> lag(manual) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS c FROM m),
@@ -241,10 +263,25 @@ def anti_append(spark, sf):
     return own.withColumn("origin", F.lit("group")).unionByName(extra.withColumn("origin", F.lit("archive")))
 
 
-@query("path_join", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(c_mktsegment) = 'building' GROUP BY n_name")
+@query("path_join", """WITH k AS (SELECT page_id, url, lower(regexp_replace(replace(replace(url, chr(92), '/'), '/./', '/'), '/+$', '')) AS k FROM pages), w AS (SELECT page_id AS wanted_id, upper(replace(url, '/', chr(92))) || chr(92) AS wanted FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT -1, 'none')
+    SELECT wanted_id, page_id FROM w LEFT JOIN k ON k = lower(regexp_replace(replace(replace(wanted, chr(92), '/'), '/./', '/'), '/+$', ''))""")
 def path_join(spark, sf):
-    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
-    return c.filter(F.lower("c_mktsegment") == "building").join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("n"))
+    """Paths meet by a normalised key: one kind of slash, none at the end, no ``.`` parts, any case."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    slash = F.lit("\\")
+    wanted = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("wanted_id"), F.concat(F.upper(F.replace("url", F.lit("/"), slash)), slash).alias("wanted"))
+    wanted = wanted.unionByName(spark.createDataFrame([(-1, "none")], "wanted_id bigint, wanted string"))
+    known = pages.select("page_id", sequence.path_key(F.col("url")).alias("k"))
+    return wanted.withColumn("k", sequence.path_key(F.col("wanted"))).join(known, "k", "left").select("wanted_id", "page_id")
+
+
+@query("collision_names")
+def collision_names(spark, sf):
+    """Names against those that are there, numbers counted up: see ``operators.archive``."""
+    d = table(spark, sf, "documents")
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit(" (2).jpg"))).when(F.col("doc_id") % 5 == 1, F.concat(F.upper("source"), F.lit(".JPG"))).otherwise(F.concat("source", F.lit(".jpg")))
+    there = d.filter("doc_id < 40 and doc_id % 2 = 0").select(name.alias("name")).distinct()
+    return archive.assigned(d.filter("doc_id >= 40 or doc_id % 2 = 1").select(F.col("doc_id").alias("id"), name.alias("name")), there)
 
 
 PAIRS = "SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
@@ -343,6 +380,31 @@ def tumbling_windows(spark, sf):
     return table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+@query("sliding_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events, generate_series(0, 2) AS s(k) GROUP BY ALL")
+def sliding_windows(spark, sf):
+    w = F.window("ts", "3 hours", "1 hour")
+    return table(spark, sf, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), "event_type", "n", "users")
+
+
+@query("approximate_users", "SELECT event_type, true AS near FROM events GROUP BY event_type")
+def approximate_users(spark, sf):
+    """Distinct users by a sketch, within five standard errors of the true count."""
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"))
+    return e.select("event_type", (F.abs(F.col("a") - F.col("n")) <= F.greatest(F.lit(2.0), 0.1 * F.col("n"))).alias("near"))
+
+
+@query("interval_join", "SELECT a.event_id, count(b.event_id) AS clicks FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'click' AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts GROUP BY a.event_id")
+def interval_join(spark, sf):
+    """Clicks of the user in the six hours up to each event: a range join by buckets of six hours, two for each event."""
+    e = table(spark, sf, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
+    span = 6 * 3600 * 1_000_000
+    bucket = lambda c: F.floor(c / span)
+    clicks = e.filter("event_type = 'click'").select("user_id", bucket(F.col("s")).alias("k"), F.col("s").alias("at"), F.col("event_id").alias("click"))
+    wanted = e.select("event_id", "user_id", "s", F.explode(F.array(bucket(F.col("s")), bucket(F.col("s")) - 1)).alias("k"))
+    met = wanted.join(clicks, ["user_id", "k"], "left").withColumn("hit", F.col("at").between(F.col("s") - span, F.col("s")))
+    return met.groupBy("event_id").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("clicks"))
+
+
 @query("session_windows", """WITH g AS (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 8 HOUR, false) AS gap FROM events))
     SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
 def session_windows(spark, sf):

@@ -88,17 +88,28 @@ def background_owner(spark, sf):
     return stacks.background_owner(maps(spark, sf))
 
 
-@query("descriptor_matches", """WITH d AS (SELECT label AS g, vec_id AS i, list_sum([CASE WHEN embedding[k + 1] > 0 THEN 1::UBIGINT << k ELSE 0::UBIGINT END FOR k IN range(0, 63)])::BIGINT AS bits FROM embeddings),
+BITS_SQL = "list_sum([CASE WHEN embedding[k + 1] > 0 THEN 1::UBIGINT << k ELSE 0::UBIGINT END FOR k IN range(0, 64)])::UBIGINT"
+
+
+@query("descriptor_matches", f"""WITH d AS (SELECT label AS g, vec_id AS i, {BITS_SQL} AS bits FROM embeddings),
     m AS (SELECT a.g, a.i, b.i AS j, bit_count(xor(a.bits, b.bits))::INT AS d FROM d a JOIN d b ON a.g = b.g AND a.i <> b.i), r AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY d, j) AS k FROM m)
-    SELECT a.g, a.i, a.j, a.d AS distance FROM r a JOIN r b ON a.g = b.g AND a.i = b.i AND a.k = 1 AND b.k = 2 WHERE a.d < 0.9 * b.d""")
+    SELECT a.g, a.i, a.j, a.d AS distance, b.d AS second, a.d < 0.75 * b.d AS good FROM r a JOIN r b ON a.g = b.g AND a.i = b.i AND a.k = 1 AND b.k = 2""")
 def descriptor_matches(spark, sf):
-    """Two nearest descriptors by Hamming distance in the group, kept by the ratio test."""
-    e = table(spark, sf, "embeddings")
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 63), lambda v, k: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), k).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    d = e.select(F.col("label").alias("g"), F.col("vec_id").alias("i"), bits.alias("bits"))
-    other = d.select("g", F.col("i").alias("j"), F.col("bits").alias("b2"))
-    near = d.join(other, "g").filter("i <> j").select("g", "i", F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.col("b2"))).alias("d"), "j").alias("n"))
-    # min_by on structs keeps two, so no window has to sort all partners.
-    best = near.groupBy("g", "i").agg(F.min("n").alias("a"))
-    second = near.join(best, ["g", "i"]).filter(F.col("n") > F.col("a")).groupBy("g", "i", "a").agg(F.min("n").alias("b"))
-    return second.filter(F.col("a.d") < 0.9 * F.col("b.d")).select("g", "i", "a.j", F.col("a.d").alias("distance"))
+    """The two nearest descriptors by Hamming distance in the group, over all 64 bits, and the ratio test at 0.75.
+
+    Each row goes once over its group's descriptors and keeps two of them, so no pair becomes a row. A group's
+    descriptors are one array: ``align.corners`` takes at most 500 of a frame. ``align.consensus`` fits what matches.
+    """
+    bits = F.expr("aggregate(transform(embedding, (v, k) -> if(v > 0, shiftleft(1L, k), 0L)), 0L, (a, b) -> a | b)")
+    d = table(spark, sf, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("i"), bits.alias("bits"))
+    groups = d.groupBy("g").agg(F.collect_list(F.struct("i", "bits")).alias("all"))
+    none = F.struct(F.lit(999).alias("d"), F.lit(2**62).alias("j"))
+    keep = "struct<a:struct<d:int,j:bigint>,b:struct<d:int,j:bigint>>"
+
+    def nearer(s, x):
+        n = F.struct(F.bit_count(F.col("bits").bitwiseXOR(x["bits"])).alias("d"), x["i"].alias("j"))
+        return F.when(x["i"] == F.col("i"), s).when(n < s["a"], F.struct(n.alias("a"), s["a"].alias("b")).cast(keep)).when(n < s["b"], F.struct(s["a"].alias("a"), n.alias("b")).cast(keep)).otherwise(s)
+
+    two = F.aggregate("all", F.struct(none.alias("a"), none.alias("b")).cast(keep), nearer)
+    met = d.join(groups, "g").select("g", "i", two.alias("t")).filter("t.b.d < 999")
+    return met.select("g", "i", "t.a.j", F.col("t.a.d").alias("distance"), F.col("t.b.d").alias("second"), (F.col("t.a.d") < 0.75 * F.col("t.b.d")).alias("good"))
