@@ -398,3 +398,108 @@ def background_owner(maps: DataFrame, least: int = 6, share: float = 0.4) -> Dat
     anchors = tones.join(middle, ["g", "region"]).groupBy("g", "region").agg(F.min_by("f", F.struct(F.abs(F.col("tone") - F.col("middle")), "f")).alias("anchor"))
     locked = regions.join(anchors, ["g", "region"]).select("g", "p", "anchor")
     return owners.join(locked, ["g", "p"], "left").select("g", "p", F.coalesce("anchor", "owner").alias("owner"))
+
+
+def edge_guarded(maps: DataFrame, edge: float = 0.35, steps: int = 2, share: float = 0.7) -> DataFrame:
+    """(g, p, owner): owners beside subject edges given to one sharp frame of each outline.
+
+    Outlines are connected positions where the group's best sharpness is above its 1 - ``edge`` quantile. Each takes the
+    frame of greatest sharpness summed over it, the lowest of equals; positions within ``steps`` follow unless that frame
+    has less than ``share`` of the best there. A later outline, in scan order, goes over an earlier one.
+    """
+    px = measured(maps, sharpness)
+    owners = dense.owner(px, ["g", "p"], "f", "s")
+    limit = owners.groupBy("g").agg(F.percentile("best", 1 - edge).alias("t"))
+    marked = owners.join(limit, "g").select("g", "p", (F.col("best") > F.col("t")).cast("int").alias("edge"))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for g, x in zip(pdf["g"], pdf["labels"], strict=True):
+                regions, n = kernels.components(square(x) > 0)
+                for k in range(1, n + 1):
+                    near = kernels.dilated(regions == k, steps)
+                    out += [(g, k, int(p), bool(regions.ravel()[p] == k)) for p in np.flatnonzero(near.ravel())]
+            yield pd.DataFrame(out, columns=["g", "region", "p", "inside"])
+
+    places = label_maps(marked, "edge").mapInPandas(task, "g int, region int, p int, inside boolean")
+    sums = px.join(places.filter("inside"), ["g", "p"]).groupBy("g", "region", "f").agg(F.sum("s").alias("s"))
+    chosen = dense.owner(sums, ["g", "region"], "f", "s").select("g", "region", F.col("owner").alias("f"))
+    able = places.join(chosen, ["g", "region"]).join(px.select("g", "f", "p", "s"), ["g", "f", "p"]).join(owners.select("g", "p", "best"), ["g", "p"])
+    guard = able.filter(F.col("s") >= share * F.col("best")).groupBy("g", "p").agg(F.max_by("f", "region").alias("guard"))
+    return owners.join(guard, ["g", "p"], "left").select("g", "p", F.coalesce("guard", "owner").alias("owner"))
+
+
+def gain_overlap(maps: DataFrame, factor: int = 2) -> DataFrame:
+    """(g, f, gain, overlap): the median ratio of the group's first frame to each registered and shrunk one, over places that both cover.
+
+    Places next to one that isn't covered don't count, nor do dark or saturated ones; gains are clamped to 0.9..1.1.
+    """
+
+    def work(pdf: pd.DataFrame) -> list[list]:
+        moving, fixed = images_of(pdf["m"]), images_of(pdf["ref"])
+        t, _, _ = align.register(fixed, moving)
+        gains, overlaps = [], []
+        for a, b, m in zip(fixed, align.warp(moving, t), t, strict=True):
+            h, w = max(1, a.shape[0] // factor), max(1, a.shape[1] // factor)
+            use = kernels.shrunk(align.valid(a.shape, m), factor)[:h, :w]
+            x, y = kernels.resize(a, h, w), kernels.resize(b, h, w)
+            good = use & (x > 0.02) & (y > 0.02) & (x < 0.98) & (y < 0.98)
+            gains.append(float(np.clip(np.median(x[good] / y[good]), 0.9, 1.1)) if good.any() else 1.0)
+            overlaps.append(float(use.mean()))
+        return [pdf["g"], pdf["f"], gains, overlaps]
+
+    return framewise(with_reference(maps), "g int, f bigint, gain double, overlap double", work)
+
+
+def contours(maps: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """(g, f, p, energy): each frame's contour energy, with strong support as seeds."""
+    rows = framewise(
+        maps.select("g", "f", "m"), "g int, f bigint, e array<double>",
+        lambda pdf: [pdf["g"], pdf["f"], [kernels.contour_energy(kernels.gradient(x), np.abs(kernels.laplacian(x)), kernels.strong(x), sigma).ravel() for x in images_of(pdf["m"])]],
+    )
+    return rows.select("g", "f", F.posexplode("e").alias("p", "energy"))
+
+
+def centrelines(maps: DataFrame, threshold: float = 0.12, strips: int = 6, least: int = 3, tolerance: float = 2.0) -> DataFrame:
+    """(g, f, strips, offset, consistent): each frame's shape against the first of its group, across the main axis.
+
+    Null where the first shape isn't long.
+    """
+
+    def work(pdf: pd.DataFrame) -> list[list]:
+        found = [kernels.centreline(a > threshold, b > threshold, strips, least) for a, b in zip(images_of(pdf["ref"]), images_of(pdf["m"]), strict=True)]
+        good = [None if f is None else f[0] >= strips - 1 and f[1] <= tolerance and 0.97 <= f[2] <= 1.03 and 0.75 <= f[3] <= 1.33 for f in found]
+        return [pdf["g"], pdf["f"], [None if f is None else f[0] for f in found], [None if f is None or not np.isfinite(f[1]) else f[1] for f in found], good]
+
+    return framewise(with_reference(maps), "g int, f bigint, strips int, offset double, consistent boolean", work)
+
+
+TONED = "g int, f bigint, r array<int>, gr array<int>, b array<int>"
+
+
+def toned(colours: DataFrame, sigma: float = 2.0, least: int = 4) -> DataFrame:
+    """Frames (g, f, r, gr, b arrays of 0..255) brought to the tone of their group's first, material by material.
+
+    A material's core are positions of the same material in both frames. Offsets are added, rounded half to even and
+    clipped; the reference and positions outside every core's reach stay.
+    """
+    refs = colours.groupBy("g").agg(F.min_by(F.struct("r", "gr", "b"), "f").alias("ref")).select("g", F.col("ref.r").alias("rr"), F.col("ref.gr").alias("rg"), F.col("ref.b").alias("rb"))
+
+    def material(rgb: np.ndarray) -> np.ndarray:
+        """Coarse classes: gray levels, or the strongest colour."""
+        spread = rgb.max(axis=2) - rgb.min(axis=2)
+        return np.where(spread >= 50, 4 + rgb.argmax(axis=2), np.digitize(rgb.max(axis=2), [64, 160]))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                own, ref = (np.stack([square(c) for c in cs], axis=2) for cs in ((r.r, r.gr, r.b), (r.rr, r.rg, r.rb)))
+                classes = material(own)
+                offset = kernels.tone_offset(ref, own, classes, classes == material(ref), sigma, least)
+                new = np.clip(np.rint(own + offset), 0, 255).astype(int)
+                out.append((r.g, r.f, *(new[:, :, c].ravel() for c in range(3))))
+            yield pd.DataFrame(out, columns=["g", "f", "r", "gr", "b"])
+
+    return colours.join(refs, "g").mapInPandas(task, TONED)

@@ -308,6 +308,22 @@ def chroma(spark, sf):
     return rgb(spark, sf).select("f", "p", (F.greatest("r", "gr", "b") - F.least("r", "gr", "b")).alias("chroma"), F.round(0.299 * F.col("r") + 0.587 * F.col("gr") + 0.114 * F.col("b"), 6).alias("luma"))
 
 
+GRAY_SQL = f"SELECT f, p, CASE f % 4 WHEN 0 THEN r::DOUBLE WHEN 1 THEN r / 255.0 WHEN 2 THEN CASE WHEN p % 5 = 0 THEN 'NaN'::DOUBLE ELSE r / 255.0 END ELSE r * 257.0 END AS r, CASE f % 4 WHEN 0 THEN gr::DOUBLE WHEN 3 THEN gr * 257.0 ELSE gr / 255.0 END AS gr, CASE f % 4 WHEN 0 THEN b::DOUBLE WHEN 3 THEN b * 257.0 ELSE b / 255.0 END AS b FROM ({RGB_SQL})"
+
+
+@query("gray_conversion", f"""WITH c AS ({GRAY_SQL}), n AS (SELECT f, p, CASE WHEN isnan(r) THEN 0 ELSE r END AS r, gr, b FROM c), m AS (SELECT f, max(greatest(r, gr, b)) AS top FROM n GROUP BY f)
+    SELECT f, p, round((0.299 * r + 0.587 * gr + 0.114 * b) / CASE WHEN top > 255 THEN 65535.0 WHEN top > 1 THEN 255.0 ELSE 1.0 END, 9)::DOUBLE AS gray FROM n JOIN m USING (f)""")
+def gray_conversion(spark, sf):
+    """Luma 0..1 of frames of 8 or 16 bits or of fractions, told by their greatest value; what is no number counts as 0."""
+    kind, p = F.col("f") % 4, F.col("p")
+    scaled = lambda c: F.when(kind == 0, F.col(c).cast("double")).when(kind == 3, F.col(c) * 257.0).otherwise(F.col(c) / 255.0)
+    c = rgb(spark, sf).select("f", "p", F.when((kind == 2) & (p % 5 == 0), F.lit(float("nan"))).otherwise(scaled("r")).alias("r"), scaled("gr").alias("gr"), scaled("b").alias("b"))
+    n = c.select("f", "p", *[F.nanvl(k, F.lit(0.0)).alias(k) for k in ("r", "gr", "b")])
+    top = n.groupBy("f").agg(F.max(F.greatest("r", "gr", "b")).alias("top"))
+    divisor = F.when(F.col("top") > 255, 65535.0).when(F.col("top") > 1, 255.0).otherwise(1.0)
+    return n.join(top, "f").select("f", "p", F.round((0.299 * F.col("r") + 0.587 * F.col("gr") + 0.114 * F.col("b")) / divisor, 9).alias("gray"))
+
+
 @query("material_class", f"SELECT f, p, CASE WHEN r >= 50 THEN 1 + ((gr % 180 + 15) // 30) % 6 + 6 * (b < 64)::INT ELSE 13 + (b >= 64)::INT + (b >= 160)::INT END AS material FROM ({RGB_SQL})")
 def material_class(spark, sf):
     """Hue sector and darkness for saturated colours, else one of three grays; saturation, hue and value stand in for r, g and b."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import archive, scenes, sequence
+from lamina.operators import archive, cache, scenes, sequence
 from lamina.plans.registry import query
 from lamina.sources.adapters import IMAGES_SQL, images, members, table
 
@@ -168,6 +168,15 @@ def plan_key(spark, sf):
     return d.select("source", F.sha2(F.to_json("m"), 256).alias("digest"))
 
 
+@query("focus_cache_key", "SELECT doc_id, sha256('{\"edge\":600,\"sigmas\":[0.8,1.6,3.2]}') AS namespace, substr(sha256('{\"edge\":600,\"sigmas\":[0.8,1.6,3.2]}'), 1, 16) || '/' || sha256(source || doc_id || chr(1) || n_chars || chr(1) || lang) AS key FROM documents")
+def focus_cache_key(spark, sf):
+    """A stored map's key: the digest of what its configuration says, and the file's fingerprint."""
+    d = table(spark, sf, "documents")
+    namespace = cache.namespace({"sigmas": [0.8, 1.6, 3.2], "edge": 600})
+    path = F.concat("source", F.col("doc_id").cast("string"))
+    return d.select("doc_id", F.lit(namespace).alias("namespace"), cache.key(namespace, path, F.col("n_chars").cast("string"), F.col("lang")).alias("key"))
+
+
 @query("duration_format", """WITH s AS (SELECT event_id, round(value * 50)::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN s || ' 秒' WHEN s < 3600 THEN (s // 60) || ' 分 ' || lpad((s % 60)::VARCHAR, 2, '0') || ' 秒' ELSE (s // 3600) || ' 时 ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ' 分' END AS text FROM s""")
 def duration_format(spark, sf):
     s = F.col("s")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import stacks
 from lamina.plans.registry import query
-from lamina.sources.adapters import maps, table
+from lamina.sources.adapters import colours, maps, table
 
 
 @query("whole_frame_selection")
@@ -88,6 +88,31 @@ def background_owner(spark, sf):
     return stacks.background_owner(maps(spark, sf))
 
 
+@query("edge_guard")
+def edge_guard(spark, sf):
+    return stacks.edge_guarded(maps(spark, sf))
+
+
+@query("gain_overlap")
+def gain_overlap(spark, sf):
+    return stacks.gain_overlap(maps(spark, sf))
+
+
+@query("contour_energy")
+def contour_energy(spark, sf):
+    return stacks.contours(maps(spark, sf)).select("g", "f", "p", F.round("energy", 9).alias("energy"))
+
+
+@query("centreline_check")
+def centreline_check(spark, sf):
+    return stacks.centrelines(maps(spark, sf))
+
+
+@query("tone_harmonised")
+def tone_harmonised(spark, sf):
+    return stacks.toned(colours(spark, sf)).select("g", "f", F.posexplode(F.arrays_zip("r", "gr", "b")).alias("p", "c")).select("g", "f", "p", "c.r", "c.gr", "c.b")
+
+
 BITS_SQL = "list_sum([CASE WHEN embedding[k + 1] > 0 THEN 1::UBIGINT << k ELSE 0::UBIGINT END FOR k IN range(0, 64)])::UBIGINT"
 
 

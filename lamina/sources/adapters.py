@@ -72,3 +72,10 @@ def old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 OLD_NEW_SQL = """old AS (SELECT event_id AS key, user_id AS group_id, value AS size, event_type AS status FROM events WHERE event_id % 2 = 0),
 new AS (SELECT event_id AS key, user_id AS group_id, CASE WHEN event_id % 5 <> 0 THEN value + 1 END AS size, 'updated' AS status FROM events WHERE event_id % 3 = 0)"""
+
+
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with three channels 0..255: g, f, r, gr, b arrays of 64; neighbouring responses over a common ground."""
+    e = table(spark, sf_dir, "embeddings")
+    byte = lambda k: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: (F.lit(90) + F.floor(F.abs(F.get("embedding", (p + k) % 64).cast("double")) * 100)).cast("int"))
+    return e.select(F.col("label").alias("g"), F.col("vec_id").alias("f"), byte(0).alias("r"), byte(1).alias("gr"), byte(2).alias("b"))
