@@ -9,6 +9,7 @@ that has no place in a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -258,7 +259,7 @@ def fuse_narrow(maps: DataFrame) -> DataFrame:
     return blended(moved, owner_labels(moved), narrowed)
 
 
-#: A model: an image to its response at each position. Weights are the caller's; see ``onnx_model``.
+#: A model: an image to its response at each position. Weights are the caller's; see ``OnnxModel``.
 Model = Callable[[np.ndarray], np.ndarray]
 TILE, OVERLAP = 512, 64
 SCALES = (1, 2)
@@ -305,22 +306,23 @@ PROVIDERS = ("CUDAExecutionProvider", "DmlExecutionProvider", "CPUExecutionProvi
 _sessions: dict[str, object] = {}
 
 
-def onnx_model(path: str) -> Model:
-    """A network that takes (1, 1, h, w) and returns as many responses; the session is made once in each worker."""
+@dataclass(frozen=True)
+class OnnxModel:
+    """A network that takes (1, 1, h, w) and returns as many responses; only its path travels, and each worker makes one session."""
 
-    def run(image: np.ndarray) -> np.ndarray:
-        if path not in _sessions:
+    path: str
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        if self.path not in _sessions:
             import onnxruntime
 
             there = set(onnxruntime.get_available_providers())
-            _sessions[path] = onnxruntime.InferenceSession(path, providers=[p for p in PROVIDERS if p in there])
-        session = _sessions[path]
+            _sessions[self.path] = onnxruntime.InferenceSession(self.path, providers=[p for p in PROVIDERS if p in there])
+        session = _sessions[self.path]
         wide = kernels.padded(image.astype(np.float32))
         out = session.run(None, {session.get_inputs()[0].name: wide[None, None]})[0]
         return np.asarray(out, float).reshape(wide.shape)[: image.shape[0], : image.shape[1]]
 
-    return run
-
 
 def fuse_by_model(maps: DataFrame, model: Model = response_model) -> DataFrame:
     """Softmax of a model's responses over the frames of each position, tempered by the group's deviation."""

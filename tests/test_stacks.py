@@ -444,3 +444,35 @@ def test_fusion_picks_the_sharp_half(spark):
     for name in ("quality", "narrow"):
         fused = np.array([r.fused for r in stacks.fuse(maps, name).orderBy("p").collect()]).reshape(24, 24)
         assert np.abs(fused - scene).mean() < 0.5 * np.abs(left - scene).mean()
+
+
+def onnx_square(path):
+    """A network of one node, y = x * x, written in the format's own bytes."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    number = lambda tag, n: varint(tag << 3) + varint(n)
+    part = lambda tag, data: varint(tag << 3 | 2) + varint(len(data)) + data
+    dims = part(2, b"".join(part(1, d) for d in (number(1, 1), number(1, 1), part(2, b"h"), part(2, b"w"))))
+    value = lambda name: part(1, name) + part(2, part(1, number(1, 1) + dims))
+    node = part(1, b"x") + part(1, b"x") + part(2, b"y") + part(4, b"Mul")
+    graph = part(1, node) + part(2, b"g") + part(11, value(b"x")) + part(12, value(b"y"))
+    path.write_bytes(number(1, 8) + part(7, graph) + part(8, part(1, b"") + number(2, 13)))
+
+
+def test_network_by_its_file(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    onnx_square(tmp_path / "m.onnx")
+    model = stacks.OnnxModel(str(tmp_path / "m.onnx"))
+    a = np.random.default_rng(9).random((70, 33))
+    assert np.allclose(model(a), a * a, atol=1e-5) and np.allclose(stacks.at_scales(model, a, (1,)), a * a, atol=1e-5)
+    maps = adapters.maps(spark, DATA).filter("g = 1 and f < 100")
+    fused = [r.fused for r in stacks.fuse_by_model(maps, model).orderBy("p").collect()]
+    images, _, _ = moved([np.array(r.m).reshape(8, 8) / 65535 for r in maps.orderBy("f").collect()])
+    r = np.array([stacks.at_scales(lambda x: x * x, x) for x in images])
+    e = np.exp((r - r.max(axis=0)) / r.std())
+    assert np.allclose(fused, ((e * images).sum(axis=0) / e.sum(axis=0)).ravel(), atol=1e-4)
