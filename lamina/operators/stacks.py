@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import align, cover, kernels
 from lamina.operators import maps as dense
+from lamina.operators.kept import kept
 
 #: Bytes that a stack, or the matrix of its pairs of frames, may have in one task.
 MOST_BYTES = 1 << 30
@@ -217,9 +218,20 @@ def regularised(labels: DataFrame, least: int = 8) -> DataFrame:
     return labels.select("g", "labels").mapInPandas(task, "g int, labels array<bigint>")
 
 
-def owner_labels(maps: DataFrame, least: int = 8) -> DataFrame:
-    """(g, labels): the sharpest frame of each position, small regions settled. Warped frames in, one row per group out."""
-    return regularised(label_maps(dense.owner(measured(maps, sharpness), ["g", "p"], "f", "s"), "owner"), least)
+def owner_labels(maps: DataFrame, least: int = 8, guarded: bool = False) -> DataFrame:
+    """(g, labels): the sharpest frame of each position, small regions settled. Warped frames in, one row per group out.
+
+    With ``guarded``, large flat regions are then locked to the frame of median tone, and edges to their sharpest frame.
+    """
+    px = measured(maps, sharpness)
+    owners = dense.owner(px, ["g", "p"], "f", "s")
+    labels = regularised(label_maps(owners, "owner"), least)
+    if not guarded:
+        return labels
+    px, owners = kept(px), kept(owners)
+    now = labels.select("g", F.posexplode("labels").alias("p", "owner"))
+    now = overridden(overridden(now, background_locks(px, owners)), edge_guards(px, owners))
+    return label_maps(now, "owner")
 
 
 def blended(maps: DataFrame, labels: DataFrame, weigh: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
@@ -247,15 +259,15 @@ def narrowed(labels: np.ndarray, frame: int) -> np.ndarray:
 
 @register_strategy("quality")
 def fuse_quality(maps: DataFrame) -> DataFrame:
-    """Frames warped to the first, hard owners by sharpness, small regions settled, feathered."""
-    moved = registered(with_reference(maps)).select("g", "f", "m")
-    return blended(moved, owner_labels(moved), feathered)
+    """Frames warped to the first, hard owners by sharpness, regularised and guarded, feathered."""
+    moved = kept(registered(with_reference(maps)).select("g", "f", "m"))
+    return blended(moved, owner_labels(moved, guarded=True), feathered)
 
 
 @register_strategy("narrow")
 def fuse_narrow(maps: DataFrame) -> DataFrame:
-    """As ``quality``, but owners are copied exactly and only seams are feathered."""
-    moved = registered(with_reference(maps)).select("g", "f", "m")
+    """Frames warped to the first, hard owners with small regions settled, copied exactly; only seams are feathered."""
+    moved = kept(registered(with_reference(maps)).select("g", "f", "m"))
     return blended(moved, owner_labels(moved), narrowed)
 
 
@@ -375,13 +387,11 @@ def residual_diagnostics(features: DataFrame, reliable: float = 0.1) -> DataFram
     return features.groupBy("g").agg(F.count_if(good).alias("n"), F.percentile(F.when(good, F.hypot("dy", "dx")), 0.5).alias("residual"))
 
 
-def background_owner(maps: DataFrame, least: int = 6, share: float = 0.4) -> DataFrame:
-    """Owners with large flat regions locked to the frame of median tone, the lowest of equals.
+def background_locks(px: DataFrame, owners: DataFrame, least: int = 6, share: float = 0.4) -> DataFrame:
+    """(g, p, owner): positions of large flat regions, locked to the frame of median tone, the lowest of equals.
 
     Flat are positions whose best sharpness is below the group's ``share`` quantile; regions of ``least`` positions count.
     """
-    px = measured(maps, sharpness)
-    owners = dense.owner(px, ["g", "p"], "f", "s")
     limit = owners.groupBy("g").agg(F.percentile("best", share).alias("t"))
     flat = owners.join(limit, "g").select("g", "p", (F.col("best") < F.col("t")).cast("int").alias("flat"))
 
@@ -398,19 +408,28 @@ def background_owner(maps: DataFrame, least: int = 6, share: float = 0.4) -> Dat
     tones = px.join(regions, ["g", "p"]).groupBy("g", "region", "f").agg(F.avg("v").alias("tone"))
     middle = tones.groupBy("g", "region").agg(F.percentile("tone", 0.5).alias("middle"))
     anchors = tones.join(middle, ["g", "region"]).groupBy("g", "region").agg(F.min_by("f", F.struct(F.abs(F.col("tone") - F.col("middle")), "f")).alias("anchor"))
-    locked = regions.join(anchors, ["g", "region"]).select("g", "p", "anchor")
-    return owners.join(locked, ["g", "p"], "left").select("g", "p", F.coalesce("anchor", "owner").alias("owner"))
+    return regions.join(anchors, ["g", "region"]).select("g", "p", F.col("anchor").alias("owner"))
+
+
+def background_owner(maps: DataFrame) -> DataFrame:
+    """(g, p, owner): the sharpest frame of each position, large flat regions locked."""
+    px = measured(maps, sharpness)
+    owners = dense.owner(px, ["g", "p"], "f", "s")
+    return overridden(owners.select("g", "p", "owner"), background_locks(px, owners))
+
+
+def overridden(owners: DataFrame, change: DataFrame) -> DataFrame:
+    """Owners (g, p, owner) with those of ``change`` in their place."""
+    return owners.join(change.withColumnRenamed("owner", "_now"), ["g", "p"], "left").select("g", "p", F.coalesce("_now", "owner").alias("owner"))
 
 
-def edge_guarded(maps: DataFrame, edge: float = 0.35, steps: int = 2, share: float = 0.7) -> DataFrame:
-    """(g, p, owner): owners beside subject edges given to one sharp frame of each outline.
+def edge_guards(px: DataFrame, owners: DataFrame, edge: float = 0.35, steps: int = 2, share: float = 0.7) -> DataFrame:
+    """(g, p, owner): positions beside subject edges, given to one sharp frame of each outline.
 
     Outlines are connected positions where the group's best sharpness is above its 1 - ``edge`` quantile. Each takes the
     frame of greatest sharpness summed over it, the lowest of equals; positions within ``steps`` follow unless that frame
     has less than ``share`` of the best there. A later outline, in scan order, goes over an earlier one.
     """
-    px = measured(maps, sharpness)
-    owners = dense.owner(px, ["g", "p"], "f", "s")
     limit = owners.groupBy("g").agg(F.percentile("best", 1 - edge).alias("t"))
     marked = owners.join(limit, "g").select("g", "p", (F.col("best") > F.col("t")).cast("int").alias("edge"))
 
@@ -428,8 +447,14 @@ def edge_guarded(maps: DataFrame, edge: float = 0.35, steps: int = 2, share: flo
     sums = px.join(places.filter("inside"), ["g", "p"]).groupBy("g", "region", "f").agg(F.sum("s").alias("s"))
     chosen = dense.owner(sums, ["g", "region"], "f", "s").select("g", "region", F.col("owner").alias("f"))
     able = places.join(chosen, ["g", "region"]).join(px.select("g", "f", "p", "s"), ["g", "f", "p"]).join(owners.select("g", "p", "best"), ["g", "p"])
-    guard = able.filter(F.col("s") >= share * F.col("best")).groupBy("g", "p").agg(F.max_by("f", "region").alias("guard"))
-    return owners.join(guard, ["g", "p"], "left").select("g", "p", F.coalesce("guard", "owner").alias("owner"))
+    return able.filter(F.col("s") >= share * F.col("best")).groupBy("g", "p").agg(F.max_by("f", "region").alias("owner"))
+
+
+def edge_guarded(maps: DataFrame) -> DataFrame:
+    """(g, p, owner): the sharpest frame of each position, guarded beside subject edges."""
+    px = measured(maps, sharpness)
+    owners = dense.owner(px, ["g", "p"], "f", "s")
+    return overridden(owners.select("g", "p", "owner"), edge_guards(px, owners))
 
 
 def gain_overlap(maps: DataFrame, factor: int = 2) -> DataFrame:

@@ -341,6 +341,18 @@ def test_consensus_ignores_outliers():
     assert align.matched(a, b) == want == [(i, 4 - i) for i in range(5)]
 
 
+def locked(labels, s, images):
+    best = s.max(axis=0)
+    regions, n = kernels.components(best < np.percentile(best, 40))
+    out = labels.copy()
+    for k in range(1, n + 1):
+        inside = regions == k
+        if inside.sum() >= 6:
+            tone = images[:, inside].mean(axis=1)
+            out[inside] = int(np.abs(tone - np.median(tone)).argmin())
+    return out
+
+
 @pytest.mark.parametrize("name", ["fuse_quality", "fuse_narrow", "fuse_model"])
 def test_fusion(spark, groups, name):
     got = rows(spark, name, "g", "p")
@@ -353,6 +365,8 @@ def test_fusion(spark, groups, name):
             want = (e * images).sum(axis=0) / e.sum(axis=0)
         else:
             labels = kernels.settled(owner)
+            if name == "fuse_quality":
+                labels = kernels.edge_guard(locked(labels, s, np.array(images)), s, np.arange(len(images)), s.max(axis=0) > np.percentile(s.max(axis=0), 65))
             used = sorted(set(labels.ravel()))
             w = np.array([plain_gaussian((labels == k).astype(float), 1.0) for k in used])
             if name == "fuse_narrow":
@@ -369,14 +383,7 @@ def test_settled_owner_and_background(spark, groups):
         images = np.array([a.reshape(8, 8) for a in x])
         s, owner = plain_owner(images)
         assert [settled[g, p].owner for p in range(64)] == [frames[i] for i in kernels.settled(owner).ravel()]
-        best = s.max(axis=0)
-        regions, n = kernels.components(best < np.percentile(best, 40))
-        want = owner.copy()
-        for k in range(1, n + 1):
-            inside = regions == k
-            if inside.sum() >= 6:
-                tone = images[:, inside].mean(axis=1)
-                want[inside] = int(np.abs(tone - np.median(tone)).argmin())
+        want = locked(owner, s, images)
         assert [background[g, p].owner for p in range(64)] == [frames[i] for i in want.ravel()]
 
 
