@@ -97,6 +97,17 @@ def with_quality(maps: DataFrame) -> DataFrame:
     )
 
 
+def scored(maps: DataFrame) -> DataFrame:
+    """(g, f, stability, quality): frames with the evidence of their registration to the group's first."""
+
+    def work(pdf: pd.DataFrame) -> list[list]:
+        moving = images_of(pdf["m"])
+        still = align.stability(*align.register(images_of(pdf["ref"]), moving))
+        return [pdf["g"], pdf["f"], still, [kernels.image_quality(x, s) for x, s in zip(moving, still, strict=True)]]
+
+    return framewise(with_reference(maps), "g int, f bigint, stability double, quality double", work)
+
+
 def focus_maps(rows: DataFrame) -> DataFrame:
     """(g, f, quality, m): the focus map of each frame as values 0..1."""
     return framewise(

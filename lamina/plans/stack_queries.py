@@ -80,7 +80,8 @@ def settled_owner(spark, sf):
 
 @query("scored_frames")
 def scored_frames(spark, sf):
-    return stacks.with_quality(maps(spark, sf)).select("g", "f", F.round("quality", 9).alias("quality"))
+    """Quality with the stability that the registration shows."""
+    return stacks.scored(maps(spark, sf)).select("g", "f", F.round("stability", 9).alias("stability"), F.round("quality", 9).alias("quality"))
 
 
 @query("background_owner")

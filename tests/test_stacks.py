@@ -407,7 +407,15 @@ def test_features_and_scores(spark, groups):
             flat = flat if flat.sum() >= 32 else np.ones((8, 8), bool)
             clip = lambda v: min(1.0, max(0.0, v))
             p2, p50, p98 = np.percentile(a, [2, 50, 98])
-            want = 0.45 * clip(np.log1p(lap.var() * 1200) / np.log1p(1200)) + 0.2 * 0.75 + 0.15 * clip(0.65 * clip(1 - abs(p50 - 0.5) * 1.35) + 0.35 * clip((p98 - p2) / 0.7))
+            t_, c_, model = align.register(x[0].reshape(1, 8, 8), a[None])
+            (m00, m01, tx), (m10, m11, ty) = t_[0]
+            size = np.sqrt(abs(m00 * m11 - m01 * m10))
+            base = clip(c_[0])
+            if model[0] == "identity" and not (c_[0] >= 0.9 and 0.8 <= size <= 1.25):
+                base = max(base, 0.45 + 0.2 * clip(c_[0]))
+            still = clip(0.95 * base + 0.05 * (1 - min(1, (abs(tx) + abs(ty)) / 80 + abs(np.log(size)) + abs(np.degrees(np.arctan2(m10, m00))) / 15)))
+            assert scores[g, f].stability == pytest.approx(still, abs=1e-6)
+            want = 0.45 * clip(np.log1p(lap.var() * 1200) / np.log1p(1200)) + 0.2 * scores[g, f].stability + 0.15 * clip(0.65 * clip(1 - abs(p50 - 0.5) * 1.35) + 0.35 * clip((p98 - p2) / 0.7))
             want += 0.1 * (1 - clip(((a <= 0.01) | (a >= 0.99)).mean() / 0.01)) + 0.1 * (1 - clip(((a - plain_gaussian(a, 1.2))[flat].std() - 0.008) / 0.08))
             assert scores[g, f].quality == pytest.approx(want, abs=1e-8)
             if r.peak >= 0.1:
