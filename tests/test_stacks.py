@@ -97,9 +97,9 @@ def test_kernels():
     assert (kernels.shrunk(m, 4) == [[m[4 * i : 4 * i + 4, 4 * j : 4 * j + 4].all() for j in range(4)] for i in range(3)]).all()
     assert kernels.padded(a).shape == (64, 64) and (kernels.padded(a)[:11, :14] == a).all()
     assert np.allclose(kernels.masked_smooth(a * 0 + 3.0, np.random.default_rng(3).random(a.shape) < 0.6, 1.0), 3.0)
-    energy = kernels.contour_energy(a, a > 0.5)
-    d = plain_gaussian((a > 0.5).astype(float), 2.0)
-    assert np.allclose(energy, plain_gaussian(a * (a > 0.5), 2.0) / d * np.sqrt(d))
+    detail, seeds = np.random.default_rng(4).random(a.shape), a > 0.5
+    d = plain_gaussian(seeds.astype(float), 2.0)
+    assert np.allclose(kernels.contour_energy(a, detail, seeds, 2.0), plain_gaussian(a * np.sqrt(detail) * seeds, 2.0) / d)
 
 
 def test_blends():
