@@ -69,14 +69,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 _stored: dict[str, set[str]] = {}  # application to the folders that it has made and not deleted
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small stored table that one file takes.
+ROWS_PER_FILE = 50_000
+
+
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and an executor may be lost.
 
-    ``discard`` deletes it. What a returned DataFrame still reads can't go with its operator: ``release`` deletes that.
+    A ``small`` table, which is made from many partitions but has few rows, is counted first and written in as few
+    files as its rows need; each file costs its store several calls. It is held in the executors meanwhile.
+    ``discard`` deletes a table. What a returned DataFrame still reads can't go with its operator: ``release`` deletes that.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    if small:
+        held = df.persist()
+        held.coalesce(max(1, -(-held.count() // ROWS_PER_FILE))).write.parquet(path)
+        held.unpersist()
+    else:
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lamina_path = path
     return out

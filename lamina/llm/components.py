@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     A root has no row of its own unless it occurs in an edge with another node. The result is a stored table.
     """
     current = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", small=True
     )
     seen = None
     while True:
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         after = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(after, "edges")
+        after = materialize(after, "edges", small=True)
         discard(current)
         current = after
     out = current.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -154,16 +154,16 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """
     own = [c for c in docs.columns if c != name]
     keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_d_key", key_of(F.col(text_col)))
-    items = materialize(items_of(benchmark, item_col, item_text), "items")
+    items = materialize(items_of(benchmark, item_col, item_text), "items", small=True)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most SHINGLE rows
     none = F.struct(F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<item:string,first:int,words:int>>").alias("spans"))
     if not sizes:
         return concluded(keyed.withColumn("_d_found", none), own, text_col, name)
-    places = materialize(places_of(items, sizes), "places")
+    places = materialize(places_of(items, sizes), "places", small=True)
     texts = docs.select(key_of(F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("words"))
-    matches = materialize(matches_of(texts, places, sizes, places.count()), "matches")
+    matches = materialize(matches_of(texts, places, sizes, places.count()), "matches", small=True)
     counts = matches.groupBy("size", "h").agg(F.sum("copies").alias("freq"))
-    anchors = materialize(anchors_of(places, counts, window), "anchors")
+    anchors = materialize(anchors_of(places, counts, window), "anchors", small=True)
     found = matches.join(counted_broadcast(anchors, anchors.count()), ["size", "h"]).withColumn("shift", F.col("pos") - F.col("at"))
     width = F.least(F.col("n"), F.lit(window))
     # Length and positional bounds: the first and the last window of the anchor limit the shift.
@@ -172,12 +172,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json("words")) + F.length(F.to_json("ids"))), F.lit(0)).alias("b")).first()
     listed = items.select("item", "ids", F.col("words").alias("item_words"))
     per_text = shifts.join(counted_broadcast(listed, size["n"], size["b"]), "item").groupBy("key").agg(F.collect_list(F.struct("item", "ids", "item_words", "at")).alias("candidates"))
-    candidates = materialize(per_text, "candidates")
+    candidates = materialize(per_text, "candidates", small=True)
     n_candidates = candidates.count()
     near, _ = parted_by_keys(docs.select(F.col(text_col).alias("text"), key_of(F.col(text_col)).alias("key")), "key", candidates, "key", n_candidates)
     near = near.join(counted_broadcast(candidates.select("key"), n_candidates), "key", "left_semi")
     distinct = near.groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("words"))
-    verdicts = materialize(verdicts_of(distinct, candidates, window), "verdicts")
+    verdicts = materialize(verdicts_of(distinct, candidates, window), "verdicts", small=True)
     weight = verdicts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json("found"))), F.lit(0)).alias("b")).first()
     discard(items, places, matches, anchors, candidates)
 

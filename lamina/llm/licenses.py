@@ -163,7 +163,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     null ids are kept; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    found = materialize(matches(docs, text_col, threshold, templates), "licenses")
+    found = materialize(matches(docs, text_col, threshold, templates), "licenses", small=True)
     out = rows.join(counted_broadcast(found, found.count()), "key", "left").withColumn("found", F.coalesce("found", F.array().cast(EMPTY_LICENSES)))
     first = F.array_max(F.transform("found", lambda m: m["dice"]))
     best = F.get(F.filter("found", lambda m: m["dice"] == first), 0)

@@ -80,8 +80,8 @@ def pack(histogram: dict[int, int], size: int = SIZE) -> list[Slot]:
     return slots
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Cut every document's ids (with the end id) into pieces; a narrow step, whole texts."""
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep: bool = True) -> DataFrame:
+    """Cut every document's ids (with the end id) into pieces; a narrow step, whole texts. ``keep``: workers keep their cache for the next task."""
     prepare(docs.sparkSession)
 
     def task(batches):
@@ -96,6 +96,8 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "part", "start", "length", "ids_crc32", "doc_tokens"])
+        if not keep:
+            tokens.forget(vocabulary)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, PIECES)
 
@@ -122,11 +124,11 @@ def assign(cut: DataFrame, size: int = SIZE) -> DataFrame:
     return placed.select(*cut.columns, (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("offset").cast("bigint").alias("offset"))
 
 
-def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, part, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are documents of the end id alone; very long texts are encoded whole and cut into many
     pieces; repeated rows are packed each; null ids are kept; other columns are ignored, whatever their names; an
     empty table gives no pieces. ``vocabulary`` is a path that executors can read, or a public vocabulary's name.
     """
-    return assign(materialize(pieces(docs, vocabulary, id_col, text_col, size), "pieces"), size)
+    return assign(materialize(pieces(docs, vocabulary, id_col, text_col, size, keep), "pieces"), size)

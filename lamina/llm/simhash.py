@@ -293,7 +293,7 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -
     named = lambda c: labelled.select(F.col("p").alias(c), F.col("fp").alias(f"fp_{c}"))
     across = found.select("q", "p").join(named("p"), "p").join(named("q"), "q").select(F.col("fp_q").alias("a"), F.col("fp_p").alias("b"))
     under = labelled.filter("p <> anchor").select("fp", "anchor").join(named("anchor"), "anchor").select(F.col("fp_anchor").alias("a"), F.col("fp").alias("b"))
-    out = materialize(across.unionByName(under), "near-pairs")
+    out = materialize(across.unionByName(under), "near-pairs", small=True)
     discard(labelled)
     return out
 

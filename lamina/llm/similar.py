@@ -13,9 +13,9 @@ Texts are one row for all their copies. Candidates meet in three rounds, each in
 2. in bands of several components, one more text of the band, chosen by a hash, with the others;
 3. in bands that still have several, all pairs across components that can reach the similarity at all.
 
-What a pair can reach is bounded by a bitmap of 512 bits for each text, in which its shingles set bits: a
-bit that the other text lacks stands for at least one shingle outside the overlap. The bound is inside the
-join, so a dense group of texts that are alike, or nearly, does not emit its pairs, and no candidate that could
+What a pair can reach is bounded by bitmaps of 512 and of 1,024 bits for each text, in which its shingles set
+bits: a bit that the other text lacks stands for at least one shingle outside the overlap. The bounds are inside
+the join, the coarse one first, so a dense group of texts that are alike, or nearly, does not emit its pairs, and no candidate that could
 be a link is left out.
 """
 
@@ -36,8 +36,8 @@ SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 6
 #: Shingles hashed at a time.
 CHUNK = 1024
-#: 64-bit words of the bitmap that bounds an overlap.
-WORDS = 8
+#: 64-bit words of the coarse bitmap, whose test compiles to a short method, and of the fine one.
+WORDS, FINE = 8, 16
 
 _random = np.random.default_rng(5)
 MASKS = _random.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -65,9 +65,9 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return (mixed ^ SALTS).view(np.int64)
 
 
-def bitmap_of(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * WORDS, bool)
-    bits[(shingles >> np.uint64(64 - (64 * WORDS - 1).bit_length())).astype(np.int64)] = True
+def bitmap_of(shingles: np.ndarray, words: int) -> np.ndarray:
+    bits = np.zeros(64 * words, bool)
+    bits[(shingles >> np.uint64(64 - (64 * words - 1).bit_length())).astype(np.int64)] = True
     return np.packbits(bits).view(np.int64)
 
 
@@ -84,12 +84,12 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(simhash.shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
 
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted", small=True)
     texts = docs.select(key_of(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(counted_broadcast(wanted, wanted.count()), "key", "left_semi")
-    sets = materialize(texts.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("s")), "sets")
+    sets = materialize(texts.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("s")), "sets", small=True)
     left = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("t")), "b")
     both = left.join(sets.select(F.col("key").alias("a"), "s"), "a")
-    out = materialize(both.filter(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "alike")
+    out = materialize(both.filter(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "alike", small=True)
     discard(wanted, sets)
     return out
 
@@ -99,14 +99,14 @@ def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
     named = rows.join(roots, rows.key == roots.node, "left").select(*rows.columns, F.coalesce("root", "key").alias("root"))
     several = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
-    out = materialize(named.join(several, "band", "left_semi"), "rooted")
+    out = materialize(named.join(several, "band", "left_semi"), "rooted", small=True)
     discard(roots)
     return out
 
 
 def first_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of the first round. ``texts``: key, fp, copies; ``rows``: band, key, size, copies, bits. A stored table."""
-    fps = materialize(texts.groupBy("fp").agg(F.sum("copies").alias("copies"), F.min("key").alias("head")), "prints")
+    fps = materialize(texts.groupBy("fp").agg(F.sum("copies").alias("copies"), F.min("key").alias("head")), "prints", small=True)
     near = simhash.near_pairs(fps.select("fp", "copies"))
     head = lambda c: fps.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_key"))
     across = near.join(head("a"), "a").join(head("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
@@ -120,22 +120,26 @@ def first_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
     """Distinct pairs with a < b. A stored table."""
-    return materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", small=True)
 
 
 def reach(a: str, b: str) -> Column:
-    """Whether texts of columns size_a, bits_a and size_b, bits_b can be alike, by the bits that only one of them has."""
+    """Whether texts of columns size_a, bits_a, fine_a and so on can be alike, by the bits that only one of them has."""
+    sizes = F.col(f"size_{a}"), F.col(f"size_{b}")
 
-    def most(x: str, y: str) -> Column:
+    def coarse(x: str, y: str) -> Column:
         alone = [F.bit_count(F.get(f"bits_{x}", k).bitwiseAND(F.bitwise_not(F.get(f"bits_{y}", k)))) for k in range(WORDS)]
-        return F.col(f"size_{x}") - sum(alone[1:], alone[0])
+        return alike(F.col(f"size_{x}") - sum(alone[1:], alone[0]), *sizes)
 
-    sizes = F.col(f"size_{a}"), F.col(f"size_{b}")
-    return alike(most(a, b), *sizes) & alike(most(b, a), *sizes)  # most pairs end at the first
+    def fine(x: str, y: str) -> Column:
+        alone = F.aggregate(F.zip_with(f"fine_{x}", f"fine_{y}", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, n: t + n)
+        return alike(F.col(f"size_{x}") - alone, *sizes)
+
+    return coarse(a, b) & coarse(b, a) & fine(a, b) & fine(b, a)  # most pairs end at the first
 
 
 def sided(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "bits", "root")))
+    return rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "bits", "fine", "root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,14 +151,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("fp bigint, size int, bits array<bigint>, bands array<bigint>")
+    @F.pandas_udf("fp bigint, size int, bits array<bigint>, fine array<bigint>, bands array<bigint>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             hashes = simhash.shingle_hashes(t, SHINGLE)
             s = shingle_set(hashes)
-            out.append((simhash.majority(hashes), len(s), bitmap_of(s), bands_of(s)))
-        return pd.DataFrame(out, columns=["fp", "size", "bits", "bands"])
+            out.append((simhash.majority(hashes), len(s), bitmap_of(s, WORDS), bitmap_of(s, FINE), bands_of(s)))
+        return pd.DataFrame(out, columns=["fp", "size", "bits", "fine", "bands"])
 
     text = F.col(text_col)
     hashed = materialize(docs.select(F.col(id_col).alias("doc_id"), key_of(text).alias("key"), sketch(text).alias("k")), "sketches")
@@ -166,8 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = first_pairs(texts.select("key", "fp", "copies"), rows)
     links = verified(first, docs, text_col)
     open_ = rooted(rows.select("band", "key"), links)
-    measured = materialize(open_.join(texts.select("key", "size", "bits"), "key").select("band", "key", "size", "bits", "root"), "measured")
-    heads = measured.groupBy("band").agg(F.min_by(F.struct("key", "size", "bits", "root"), F.xxhash64("key")).alias("h")).select("band", "h.*")
+    measured = materialize(open_.join(texts.select("key", "size", "bits", "fine"), "key").select("band", "key", "size", "bits", "fine", "root"), "measured", small=True)
+    heads = measured.groupBy("band").agg(F.min_by(F.struct("key", "size", "bits", "fine", "root"), F.xxhash64("key")).alias("h")).select("band", "h.*")
     met = sided(measured, "a").join(sided(heads, "b"), "band").filter((F.col("root_a") != F.col("root_b")) & reach("a", "b"))
     second = ordered_pairs(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).join(first, ["a", "b"], "left_anti"))
     more = verified(second, docs, text_col)
@@ -177,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b = sided(left, "a"), sided(left, "b")
     across = a.join(b, (a.band == b.band) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & reach("a", "b"))
     pairs = ordered_pairs(across.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
-    third = materialize(pairs.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
+    third = materialize(pairs.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs", small=True)
     last = verified(third, docs, text_col)
     linked = components(links.unionByName(last))
     out = materialize(hashed.select("doc_id", "key").join(linked, hashed.key == linked.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "groups")

@@ -113,11 +113,11 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 #: Characters of text that are cut into chunks at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 def documents(texts: Iterable[str | None], vocabulary: str, end: int = END) -> Iterable[np.ndarray]:
-    """Ids of each text with the end id; null counts as empty."""
+    """Ids of each text with the end id; null counts as empty. The worker keeps its cache; ``forget`` gives it back."""
     e, tail, part, size = encoder(vocabulary), np.array([end], dtype="<u4").tobytes(), [], 0
     for t in chain(texts, [...]):
         if part and (t is ... or size >= AT_ONCE):
@@ -129,6 +129,25 @@ def documents(texts: Iterable[str | None], vocabulary: str, end: int = END) -> I
             size += len(t or "")
 
 
+def forget(vocabulary: str) -> None:
+    """Give the memory of the worker's cache back to the system, where other steps need it more than the next task of this one."""
+    if vocabulary not in _encoders:
+        return
+    _encoders[vocabulary].known.clear()
+    _encoders[vocabulary].after_blank.clear()
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # free pages stay with the process otherwise
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 

@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = marked.filter("y = 1").orderBy(order, "_id").limit(MOST_TOXIC).unionByName(marked.filter("y = 0").orderBy(order, "_id").limit(MOST_OTHER))
     ids = spark.createDataFrame(ids.collect(), marked.schema)  # at most MOST_TOXIC + MOST_OTHER rows of two numbers
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id")
-    sample = materialize(texts.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y")), "toxicity-sample")
+    sample = materialize(texts.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y")), "toxicity-sample", small=True)
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_other = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_other:

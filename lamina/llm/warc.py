@@ -154,9 +154,9 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
     able = (F.col("payload_bytes") >= DEDUP_BYTES) & F.col("page_id").isNotNull()
     light = rows.filter(able).groupBy("payload_digest", "payload_bytes", "page_id", "url").agg(F.count("*").alias("n"))
-    light = materialize(light, "pages")
+    light = materialize(light, "pages", small=True)
     first = light.groupBy("payload_digest").agg(F.min(F.struct("page_id", F.col("url").isNull().alias("no_url"), "url")).alias("f"), F.sum("n").alias("copies")).filter("copies > 1")
-    first = materialize(first.select("payload_digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url")), "firsts")
+    first = materialize(first.select("payload_digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url")), "firsts", small=True)
     n = first.count()
 
     name = lambda page, url: F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("none")), F.substring("payload_digest", 1, 16), F.hex(F.xxhash64(url)))
