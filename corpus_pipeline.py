@@ -52,7 +52,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c"))
     counted = groups.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     marked = counted.join(chosen, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("key") == F.col("c.key")))
-    marked = materialize(marked.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("_p_id"), F.col("key").alias("_p_key"), "stays"), "marked")
+    marked = materialize(marked.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("_p_id"), F.col("key").alias("_p_key"), "stays"), "marked", small=True)
     n = {r["stays"]: r["count"] for r in marked.groupBy("stays").count().collect()}
     keyed = docs.withColumn("_p_own_key", similar.key_of(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_p_id")) & (F.col("_p_own_key") == F.col("_p_key"))
@@ -77,8 +77,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens: see ``packing.packed``, which names the cases."""
-    return packing.packed(docs, tokens.vocabulary("byte_bpe_50k.json"))
+    """Pieces of all documents in sequences of 2048 tokens: see ``packing.packed``, which names the cases.
+
+    Workers give their cache of words back after each task: other stages run in the same workers.
+    """
+    return packing.packed(docs, tokens.vocabulary("byte_bpe_50k.json"), keep=False)
 
 
 STAGES = [
