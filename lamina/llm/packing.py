@@ -81,7 +81,10 @@ def pack(histogram: dict[int, int], size: int = SIZE) -> list[Slot]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep: bool = True) -> DataFrame:
-    """Cut every document's ids (with the end id) into pieces; a narrow step, whole texts. ``keep``: workers keep their cache for the next task."""
+    """Cut every document's ids (with the end id) into pieces; a narrow step, whole texts.
+
+    ``keep``: workers keep their cache for the next task; without it they also cut less text at a time.
+    """
     prepare(docs.sparkSession)
 
     def task(batches):
@@ -89,7 +92,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
         for b in batches:
             out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), tokens.documents(b.column(1).to_pylist(), vocabulary), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tokens.documents(b.column(1).to_pylist(), vocabulary, at_once=None if keep else tokens.AT_ONCE // 4), strict=True):
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     out.append((doc_id, k, at, len(part), tokens.crc(part), len(ids)))

@@ -18,6 +18,8 @@ import numpy as np
 
 END = 1
 CACHE = 800_000
+#: Chunks that are encoded in one go.
+JOINED = 200
 #: Characters with the Unicode property White_Space, which the tokenizers' own patterns mean by \s.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: With the byte-level pattern a single blank belongs to the word after it, and of a run of white
@@ -42,6 +44,13 @@ class Encoder:
         self.keeps = keeps
         self.known: dict[str, bytes] = {}
         self.after_blank: dict[str, bytes] = {}  # ids of a blank and the word
+        line_end = self.raw("\n")
+        self.line_end = int.from_bytes(line_end, "little") if len(line_end) == 4 else None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None  # which ids end a word
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -58,14 +67,38 @@ class Encoder:
             return self.known, self.pattern.findall(text)
         return self.known, words
 
+    def joined(self, whole: list[str]) -> Iterable[bytes]:
+        """Ids of chunks by one encoding for ``JOINED`` of them, cut at what parts them: a line end, or each word's last token."""
+        gap = "\n" if self.keeps else " "
+        groups = [whole[at : at + JOINED] for at in range(0, len(whole), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([gap.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            last = np.flatnonzero(ids == self.line_end) if self.keeps else np.flatnonzero(self.ends[ids]) + 1
+            begin = [0, *(4 * (last + 1) if self.keeps else 4 * last[:-1]).tolist()]
+            after = [*(4 * last).tolist(), *([4 * len(ids)] if self.keeps else [])]
+            if len(begin) != len(group):  # parted otherwise than expected: one by one
+                yield from map(self.raw, group)
+                continue
+            data = ids.tobytes()
+            yield from (data[i:j] for i, j in zip(begin, after, strict=True))
+
+    def may_join(self, known: dict[str, bytes], chunk: str) -> bool:
+        """Whether the chunk's ids can be told apart from those beside it."""
+        if self.keeps:
+            return known is self.after_blank and self.line_end is not None and chunk[0] != "\n"
+        return self.ends is not None and chunk.isascii() and chunk.isalpha()
+
     def learn(self, known: dict[str, bytes], new: set[str]) -> list[str]:
         """Add the ids of new chunks; returns those to forget after this batch, if the cache is full."""
-        room, listed = max(0, CACHE - len(self.known) - len(self.after_blank)), list(new)
-        whole = listed if known is self.known else [c if c[0] == "\n" else " " + c for c in listed]
-        for at in range(0, len(listed), 20_000):
-            for c, e in zip(listed[at : at + 20_000], self.tokenizer.encode_batch_fast(whole[at : at + 20_000], add_special_tokens=False), strict=True):
+        room = max(0, CACHE - len(self.known) - len(self.after_blank))
+        easy = [c for c in new if self.may_join(known, c)]
+        known.update(zip(easy, self.joined([" " + c for c in easy] if self.keeps else easy), strict=True))
+        rest = [c for c in new if not self.may_join(known, c)]
+        whole = rest if known is self.known else [c if c[0] == "\n" else " " + c for c in rest]
+        for at in range(0, len(rest), 20_000):
+            for c, e in zip(rest[at : at + 20_000], self.tokenizer.encode_batch_fast(whole[at : at + 20_000], add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
-        return listed[room:]
+        return [*easy, *rest][room:]
 
     def encode(self, texts: list[str | None]) -> Iterable[bytes]:
         """Ids of each text. A text that holds a special token's string is encoded whole: it is cut there first."""
@@ -113,14 +146,15 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 #: Characters of text that are cut into chunks at a time.
-AT_ONCE = 500_000
+AT_ONCE = 2_000_000
 
 
-def documents(texts: Iterable[str | None], vocabulary: str, end: int = END) -> Iterable[np.ndarray]:
+def documents(texts: Iterable[str | None], vocabulary: str, end: int = END, at_once: int | None = None) -> Iterable[np.ndarray]:
     """Ids of each text with the end id; null counts as empty. The worker keeps its cache; ``forget`` gives it back."""
+    at_once = at_once or AT_ONCE
     e, tail, part, size = encoder(vocabulary), np.array([end], dtype="<u4").tobytes(), [], 0
     for t in chain(texts, [...]):
-        if part and (t is ... or size >= AT_ONCE):
+        if part and (t is ... or size >= at_once):
             for ids in e.encode(part):
                 yield np.frombuffer(ids + tail, dtype="<u4")
             part, size = [], 0
