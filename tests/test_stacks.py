@@ -525,3 +525,9 @@ def test_selection_over_a_long_stack(long_stack):
     choice = cover.near_best(focus, quality, np.zeros(len(x), bool))
     assert sorted(got) == list(range(len(x))) and {f for f, r in got.items() if r.selected} == {*choice.taken, reference}
     assert np.array_equal(kernels.focus_map(images), [kernels.focus_map(a) for a in images]) and kernels.image_qualities(images) == quality.tolist()
+
+
+def test_scenes_of_a_long_stack(long_stack):
+    x, maps = long_stack
+    got = [r.scene for r in stacks.anchor_split(maps).orderBy("f").collect()]
+    assert got == kernels.anchored_groups(x, lambda a, b: kernels.similarity(a, b) >= 0.55)
