@@ -534,6 +534,14 @@ def test_scenes_of_a_long_stack(long_stack):
 
 
 
+def test_clusters_of_a_long_stack(long_stack):
+    x, maps = long_stack
+    label, heads = kernels.clusters(x, x.mean(axis=1), lambda a, b: kernels.similarity(a, b) >= stacks.CLUSTER)
+    got = stacks.focus_clusters(maps).orderBy("f").collect()
+    assert [(r.cluster, r.representative) for r in got] == [(k, heads[k] == i) for i, k in enumerate(label)]
+
+
+
 def test_best_of_the_clusters_of_a_long_stack(long_stack, spark, monkeypatch):
     from lamina.plans import stack_queries
 
