@@ -550,3 +550,11 @@ def test_best_of_the_clusters_of_a_long_stack(long_stack, spark, monkeypatch):
     label, heads = kernels.clusters(x, x.mean(axis=1), lambda a, b: kernels.similarity(a, b) >= stacks.CLUSTER)
     got = {r.f: r.reason for r in stack_queries.dedup_keep_best(spark, DATA).collect()}
     assert got == {h: "only frame of its cluster" if label.count(k) == 1 else f"best of {label.count(k)} alike" for k, h in heads.items()}
+
+
+
+def test_library_over_a_long_stack(long_stack):
+    x, maps = long_stack
+    choice = cover.library(x, x.mean(axis=1))
+    got = sorted((r.place, r.f) for r in stacks.library_selection(maps).collect() if r.place is not None)
+    assert [f for _, f in got] == kernels.nearest_order(choice.taken, x)
