@@ -116,3 +116,78 @@ class Scenes:
     def end(self) -> list[int]:
         """The groups of the frames that still wait."""
         return [self.group] * self.waiting
+
+
+class Clusters:
+    """``kernels.clusters`` by similarities of at least ``least``: the representatives are remembered, with their names."""
+
+    BLOCK, AT_ONCE = 64, 2048
+
+    def __init__(self, least: float):
+        self.least, self.n = least, 0
+        self.quality: list[float] = []
+        self.names: list = []
+        self.heads: Maps | None = None
+
+    def _put(self, k: int, one: Maps) -> None:
+        if self.heads is None:
+            self.heads = Maps(*(np.zeros((self.BLOCK, *c.shape), c.dtype) for c in one.columns()))
+        if k >= len(self.heads.norm):
+            self.heads = self.heads.followed_by(Maps(*(np.zeros_like(c) for c in self.heads.columns())))
+        for c, v in zip(self.heads.columns(), one.columns(), strict=True):
+            c[k] = v
+
+    def _able(self, block: Maps) -> np.ndarray:
+        """Maps x representatives: similar enough if there were no distance between them."""
+        heads = self.heads[: self.n]
+        bits = lambda m: np.unpackbits(m.words.view(np.uint8), axis=1).astype(np.float32)
+        norm = np.outer(block.norm, heads.norm)
+        flat = norm <= 1e-8
+        corr = np.where(flat, 1.0, block.centred @ heads.centred.T / np.where(flat, 1.0, norm))
+        both = bits(block) @ bits(heads).T
+        either = block.count[:, None] + heads.count - both
+        overlap = np.where(either == 0, 1.0, both / np.maximum(either, 1))
+        return 0.225 * (corr + 1) + 0.30 + 0.25 * overlap >= self.least - ROUNDING
+
+    def _near(self, block: Maps) -> list[list[tuple[int, float]]]:
+        """For each map the representatives that are similar enough or within rounding of it, in order, with their similarity."""
+        out: list[list[tuple[int, float]]] = [[] for _ in block.norm]
+        rows, slots = np.nonzero(self._able(block)) if self.n else ((), ())
+        for k in range(0, len(rows), self.AT_ONCE):
+            r, h = rows[k : k + self.AT_ONCE], slots[k : k + self.AT_ONCE]
+            s = block[r].similar(self.heads[h])
+            for j in np.flatnonzero(s >= self.least - ROUNDING):
+                out[r[j]].append((int(h[j]), float(s[j])))
+        return out
+
+    def take(self, maps: np.ndarray, quality: np.ndarray, names: list) -> list[tuple]:
+        """(name, cluster, False) of the frames that are known not to stay representatives."""
+        out = []
+        for start in range(0, len(maps), self.BLOCK):
+            block = Maps.of(maps[start : start + self.BLOCK])
+            near = self._near(block)
+            #: Representatives that are new since then.
+            fresh: list[int] = []
+            for i, (q, name) in enumerate(zip(quality[start : start + self.BLOCK], names[start : start + self.BLOCK])):
+                met = near[i]
+                if fresh:
+                    met = sorted([t for t in met if t[0] not in fresh] + list(zip(fresh, self.heads[fresh].similar(block[i]), strict=True)))
+                k = next((k for k, s in met if reaches(s, self.least, block.maps[i], self.heads.maps[k])), None)
+                if k is None:
+                    k, self.n = self.n, self.n + 1
+                    self.quality.append(q)
+                    self.names.append(name)
+                elif q > self.quality[k]:
+                    out.append((self.names[k], k, False))
+                    self.quality[k], self.names[k] = q, name
+                else:
+                    out.append((name, k, False))
+                    continue
+                self._put(k, block[i])
+                if k not in fresh:
+                    fresh.append(k)
+        return out
+
+    def end(self) -> list[tuple]:
+        """(name, cluster, True) of the representatives."""
+        return [(name, k, True) for k, name in enumerate(self.names)]

@@ -586,3 +586,26 @@ def test_scenes_of_a_stack_beyond_the_bound(spark, monkeypatch):
         for size in (1, 7, 120):
             scenes = passes.Scenes(0.55, confirm)
             assert [k for part in streams(x / 65535, size) for k in scenes.take(part)] + scenes.end() == kernels.anchored_groups(x / 65535, same, confirm)
+
+
+def test_clusters_of_a_stack_beyond_the_bound(spark, monkeypatch):
+    """Near copies of few maps, flat and equal ones, better ones late; the representatives have a place, the stack has none."""
+    rng = np.random.default_rng(6)
+    x = np.clip(rng.random((12, 64))[rng.integers(0, 12, 300)] * rng.uniform(0.6, 1.0, (300, 1)) + rng.normal(0, 0.12, (300, 64)), 0, 1)
+    x[50:53], x[200:220] = 0.25, x[20:40]
+    x = np.rint(x * 65535) / 65535
+    plain = lambda x: kernels.clusters(x, x.mean(axis=1), lambda a, b: kernels.similarity(a, b) >= stacks.CLUSTER)
+    label, heads = plain(x)
+    assert 8 < len(heads) < 60 and [label.index(k) for k in heads] != list(heads.values())
+    monkeypatch.setattr(stacks, "MOST_BYTES", 8 * 64 * len(heads))
+    rows = [(g, f, (m * 65535).tolist()) for g in (1, None) for f, m in enumerate(x)]
+    got = {(r.g, r.f): (r.cluster, r.representative) for r in stacks.focus_clusters(spark.createDataFrame(rows, "g int, f bigint, m array<double>")).collect()}
+    assert got == {(g, f): (k, heads[k] == f) for g in (1, None) for f, k in enumerate(label)}
+    wide = rng.random((400, 64))
+    for y, size in ((x, 1), (x, 70), (wide, 400), (wide, 33)):
+        label, heads = plain(y)
+        clusters, found, begin = passes.Clusters(stacks.CLUSTER), [], 0
+        for part in streams(y, size):
+            found += clusters.take(part, part.mean(axis=1), list(range(begin, begin + len(part))))
+            begin += len(part)
+        assert sorted(found + clusters.end()) == [(f, k, heads[k] == f) for f, k in enumerate(label)]
