@@ -84,9 +84,15 @@ def choose(sharp: np.ndarray, support: np.ndarray, quality: np.ndarray, frames:
 
     The bonus, in positions, counts from the second frame on.
     """
-    total = max(1, int(support.sum()))
-    bits = pack(sharp & support)
-    cover = Cover(bits, quality, pack(support[None, :])[0], np.zeros(len(sharp)))
+    return choose_packed(pack(sharp & support), max(1, int(support.sum())), quality, frames, least_gain, enough, bonus)
+
+
+def choose_packed(bits: np.ndarray, total: int, quality: np.ndarray, frames: Iterable[int], least_gain: float, enough: float, bonus: np.ndarray | None = None) -> Choice:
+    """``choose`` of frames whose sharp positions, of ``total`` that count, are packed.
+
+    Of frames with equal positions at most one is taken and one refused, so the two best of them by quality stand for all.
+    """
+    cover = Cover(bits, quality, np.full(bits.shape[1], ~np.uint64(0)), np.zeros(len(bits)))
     cover.offer(frames)
     taken: list[int] = []
     gains: dict[int, float] = {}
@@ -124,6 +130,18 @@ def library(maps: np.ndarray, quality: np.ndarray, target: float = 0.995, least_
     Without such positions those above zero count, and without these all.
     """
     top = maps.max(axis=0)
-    support = next((s for s in (top >= SUPPORT, top > 0) if s.any()), np.ones(top.shape, bool))
-    bonus = QUALITY_WEIGHT * quality / len(maps) * max(1, int(support.sum()))
-    return choose(maps >= RELATIVE * np.maximum(top, 1e-6), support, quality, range(len(maps)), least_gain, target, bonus)
+    support = supported(top)
+    return choose(sharp(maps, top), support, quality, range(len(maps)), least_gain, target, bonus_of(quality, len(maps), max(1, int(support.sum()))))
+
+
+def supported(top: np.ndarray) -> np.ndarray:
+    """The library's positions that count, by the greatest value at each."""
+    return next((s for s in (top >= SUPPORT, top > 0) if s.any()), np.ones(top.shape, bool))
+
+
+def sharp(maps: np.ndarray, top: np.ndarray) -> np.ndarray:
+    return maps >= RELATIVE * np.maximum(top, 1e-6)
+
+
+def bonus_of(quality: np.ndarray, n: int, total: int) -> np.ndarray:
+    return QUALITY_WEIGHT * quality / n * total

@@ -609,3 +609,33 @@ def test_clusters_of_a_stack_beyond_the_bound(spark, monkeypatch):
             found += clusters.take(part, part.mean(axis=1), list(range(begin, begin + len(part))))
             begin += len(part)
         assert sorted(found + clusters.end()) == [(f, k, heads[k] == f) for f, k in enumerate(label)]
+
+
+def test_library_over_stacks_beyond_the_bound(spark, monkeypatch):
+    """Steps with copies, dark, black and lone frames, a frame that is refused, frames without a group or with one number."""
+    monkeypatch.setattr(stacks, "MOST_BYTES", 1000)
+    rng = np.random.default_rng(9)
+    steps = np.rint(np.clip(rng.normal(0.6, 0.3, (150, 64)), 0, 1) * 8) / 8
+    steps[100:] = steps[:50]
+    wide = np.repeat(rng.random((1, 600)), 9, axis=0) * 0.9
+    wide[1:] *= 0.5
+    for k in range(8):
+        wide[k + 1, k * 60 : k * 60 + 40] = 0.95
+    wide[7:, 300:] = 0
+    wide[8, :] = 0
+    wide[8, 599] = 0.99
+    sets = {1: steps, 2: np.zeros((5, 64)), 3: steps[:1], 4: rng.random((40, 64)) * 0.1, 5: wide, None: steps[20:60]}
+    sets = {g: np.rint(x * 65535) for g, x in sets.items()}
+    rows = [(g, f, m.tolist()) for g, x in sets.items() for f, m in enumerate(x)] + [(6, 7, m.tolist()) for m in [sets[1][0]] * 3]
+    rng.shuffle(rows)
+    got = stacks.library_selection(spark.createDataFrame(rows, "g int, f bigint, m array<double>")).collect()
+    reasons = set()
+    for g, x in sets.items():
+        x = x / 65535
+        choice = cover.library(x, x.mean(axis=1))
+        place = {i: k for k, i in enumerate(kernels.nearest_order(choice.taken, x))}
+        want = [(i, place.get(i), choice.gains.get(i, 0.0), choice.reason(i), choice.covered) for i in range(len(x))]
+        assert sorted((r.f, r.place, r.gain, r.reason, r.coverage) for r in got if r.g == g) == want
+        reasons |= {t[3] for t in want}
+    assert len(reasons) == 4
+    assert sorted(r.reason for r in got if r.g == 6) == ["nothing new", "nothing new", "seed"]
